@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from fleetpulse.config import DETECTOR, LAYOUT, DetectorConfig, LayoutConfig
 from fleetpulse.operators.cooldown import apply_cooldown
@@ -53,11 +52,3 @@ def build_alerts(
     metrics: DataFrame, config: DetectorConfig = DETECTOR, layout: LayoutConfig = LAYOUT
 ) -> DataFrame:
     return alert_records(published(metrics, config, layout))
-
-
-def encode_alerts(alerts: DataFrame) -> DataFrame:
-    """Keyed JSON messages, one per alert."""
-    body = F.struct(*[F.col(c) for c in alerts.columns])
-    return alerts.select(
-        F.col("host_id").alias("key"), F.to_json(body, {"ignoreNullFields": "false"}).alias("value")
-    )

@@ -30,8 +30,8 @@ def clamp_metrics(events: DataFrame) -> DataFrame:
         m: f"CASE WHEN {m} IS NOT NULL THEN least(greatest({m}, {lo}D), {hi}D) END"
         for m, (lo, hi) in METRIC_BOUNDS.items()
     }
-    outside = [f"({m} < {lo}D OR {m} > {hi}D)" for m, (lo, hi) in METRIC_BOUNDS.items()]
-    flag = f"coalesce({', '.join(f'nullif({o}, false)' for o in outside)}, false) AS was_clamped"
+    outside = " OR ".join(f"{m} < {lo}D OR {m} > {hi}D" for m, (lo, hi) in METRIC_BOUNDS.items())
+    flag = f"coalesce({outside}, false) AS was_clamped"
     return events.selectExpr(*others, *[f"{e} AS {m}" for m, e in bounded.items()], flag)
 
 
