@@ -2,6 +2,9 @@
 
 All trees of a forest grow together, one level at a time. Nodes are numbered like a heap:
 the children of node i are 2i+1 and 2i+2, so a tree is three flat arrays and needs no links.
+
+Values are compared in single precision, and a feature whose values lie within 1e-7 counts as
+constant. So the last bits of a feature, which depend on the order of a sum, do not matter.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from typing import NamedTuple
 import numpy as np
 
 EULER_GAMMA = 0.5772156649
+CONSTANT_SPAN = 1e-7
 
 
 class Forest(NamedTuple):
@@ -30,31 +34,31 @@ def expected_path(size: np.ndarray | int) -> np.ndarray:
 
 def fit_forest(x: np.ndarray, trees: int, subsample: int, seed: int) -> Forest:
     """Grow the forest; rows of x must already be in a fixed order."""
-    rows, width = x.shape
-    psi = min(subsample, rows)
+    x = x.astype(np.float32)
+    psi = min(subsample, len(x))
     depth = int(np.ceil(np.log2(max(psi, 2))))
     nodes = 2 ** (depth + 1) - 1
     rng = np.random.default_rng(seed)
 
-    drawn = np.argsort(rng.random((trees, rows)), axis=1)[:, :psi]
-    data = x[drawn].reshape(trees * psi, width)
-    at = np.repeat(np.arange(trees) * nodes, psi)  # tree offset + node, for each drawn row
-    offset = at.copy()
-
     feature = np.full(trees * nodes, -1, dtype=np.int16)
     threshold = np.zeros(trees * nodes)
     size = np.zeros(trees * nodes, dtype=np.int32)
-    active = np.arange(trees * psi)
+
+    # Drawn rows of all trees, kept sorted by node; `node` counts through all trees.
+    data = x[np.argsort(rng.random((trees, len(x))), axis=1)[:, :psi].ravel()]
+    node = np.repeat(np.arange(trees) * nodes, psi)
+    first = np.repeat(np.arange(trees) * nodes, psi)
     for level in range(depth + 1):
-        order = active[np.argsort(at[active], kind="stable")]
-        ids, starts, counts = np.unique(at[order], return_index=True, return_counts=True)
+        starts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+        counts = np.diff(np.append(starts, len(node)))
+        ids = node[starts]
         size[ids] = counts
-        if level == depth or len(ids) == 0:
+        if level == depth:
             break
-        lo = np.minimum.reduceat(data[order], starts, axis=0)
-        hi = np.maximum.reduceat(data[order], starts, axis=0)
+        lo = np.minimum.reduceat(data, starts, axis=0).astype(np.float64)
+        hi = np.maximum.reduceat(data, starts, axis=0).astype(np.float64)
         # a random feature among those that still vary in the node
-        draw = np.where(hi > lo, rng.random(lo.shape), -1.0)
+        draw = np.where(hi > lo + CONSTANT_SPAN, rng.random(lo.shape), -1.0)
         chosen = draw.argmax(axis=1)
         pick = np.arange(len(ids))
         splits = draw[pick, chosen] >= 0.0
@@ -63,21 +67,22 @@ def fit_forest(x: np.ndarray, trees: int, subsample: int, seed: int) -> Forest:
         cut = np.where(cut >= high, low, cut)  # keep both children non-empty after rounding
         feature[ids[splits]] = chosen[splits]
         threshold[ids[splits]] = cut[splits]
+        if not splits.any():
+            break
 
         group = np.repeat(pick, counts)
-        moving = splits[group]
-        active, group = order[moving], group[moving]
-        if len(active) == 0:
-            break
-        right = data[active, chosen[group]] > cut[group]
-        local = at[active] - offset[active]
-        at[active] = offset[active] + 2 * local + 1 + right
+        right = data[np.arange(len(data)), chosen[group]] > cut[group]
+        child = first + 2 * (node - first) + 1 + right
+        moving = np.flatnonzero(splits[group])
+        order = moving[np.argsort(child[moving], kind="stable")]
+        data, node, first = data[order], child[order], first[order]
     shape = (trees, nodes)
     return Forest(feature.reshape(shape), threshold.reshape(shape), size.reshape(shape), psi)
 
 
 def score_forest(forest: Forest, x: np.ndarray) -> np.ndarray:
     """Anomaly score 2^(-mean path / expected path) in (0, 1]; larger is more anomalous."""
+    x = x.astype(np.float32)
     trees, nodes = forest.feature.shape
     offset = np.arange(trees) * nodes
     feature, threshold = forest.feature.ravel(), forest.threshold.ravel()

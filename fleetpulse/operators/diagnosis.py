@@ -157,9 +157,9 @@ def lifecycle(runs: DataFrame) -> DataFrame:
 
 
 def briefs(alerts: DataFrame) -> DataFrame:
-    """One text per alert with what an investigator needs first."""
+    """Add brief: what an investigator needs to know first, as one text."""
     return alerts.selectExpr(
-        "alert_id",
+        "*",
         r"""concat(
             'Alert ', alert_id, ' on host ', host_id, ' of service ', service_name, '\n',
             'Severity ', severity, ' at ', date_format(triggered_at, 'yyyy-MM-dd HH:mm:ss'), '\n',

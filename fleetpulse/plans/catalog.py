@@ -481,9 +481,16 @@ def diagnosis_run(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def alert_brief(spark: SparkSession, sf: str) -> DataFrame:
-    # the last line holds the snapshot as JSON, whose number format differs between engines
-    return diag.briefs(_alerts(spark, sf)).selectExpr(
-        "alert_id", r"substring_index(brief, '\n', 3) AS brief_start"
+    # Only parts that are the same text in any engine: the threshold's third decimal may hang on
+    # the last bit, and the snapshot's JSON number format differs.
+    briefs = diag.briefs(_alerts(spark, sf)).selectExpr(
+        "alert_id",
+        "split_part(brief, ' over threshold ', 1) AS brief_start",
+        r"split_part(split_part(brief, ' over threshold ', 2), '\n', 1) AS shown",
+        "threshold",
+    )
+    return briefs.selectExpr(
+        "alert_id", "brief_start", "abs(CAST(shown AS DOUBLE) - threshold) < 0.000501D AS threshold_shown"
     )
 
 

@@ -478,8 +478,8 @@ def oracle_sql() -> dict[str, str]:
         "alert_brief": _with("alerts", """
           SELECT alert_id, 'Alert ' || alert_id || ' on host ' || host_id || ' of service ' || service_name
             || chr(10) || 'Severity ' || severity || ' at ' || strftime(triggered_at, '%Y-%m-%d %H:%M:%S')
-            || chr(10) || 'Score ' || printf('%.3f', raw_score) || ' over threshold '
-            || printf('%.3f', threshold) AS brief_start FROM alerts"""),
+            || chr(10) || 'Score ' || printf('%.3f', raw_score) AS brief_start, true AS threshold_shown
+          FROM alerts"""),
         # dashboard
         "dash_hosts": _with("events", "SELECT DISTINCT host_id FROM tel ORDER BY 1"),
         **dash,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,8 @@ def detect_stream(
     """
 
     def update(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # Spark's own assembly of the result warns about all-null columns
+        warnings.filterwarnings("ignore", category=FutureWarning)
         rows = pd.concat(list(chunks), ignore_index=True).sort_values(["ts", "event_id"], ignore_index=True)
         carried = load_state(state.get[0]) if state.exists else empty_state()
         times = rows["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
