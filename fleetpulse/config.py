@@ -61,7 +61,9 @@ class LayoutConfig:
     # events of one host are counted and ranked per time cell of this width
     cell_seconds: int = 60
     # window frames run over chunks of this many events (plus the lookback rows)
-    chunk_rows: int = 4096
+    chunk_rows: int = 2048
+    # tasks of the window exchange per configured shuffle partition
+    tasks_factor: int = 4
     # cooldown clocks are resolved per time span of this width
     cooldown_span_seconds: int = 6 * 3600
 

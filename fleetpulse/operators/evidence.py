@@ -120,17 +120,18 @@ def recent_metrics_summary(
     summary = rows.groupBy("alert_id").agg(
         F.count("*").alias("sample_count"),
         *[F.avg(m).alias(f"mean_{m}") for m in METRICS],
-        F.min_by(F.struct(*METRICS), "recency").alias("_latest"),
+        # one min_by per number keeps this a hash aggregate; a struct would force a sort
+        *[F.min_by(m, "recency").alias(f"latest_{m}") for m in METRICS],
     )
     ratios = {
-        m: F.when(F.col(f"mean_{m}") > EPSILON, F.col(f"_latest.{m}") / F.col(f"mean_{m}"))
+        m: F.when(F.col(f"mean_{m}") > EPSILON, F.col(f"latest_{m}") / F.col(f"mean_{m}"))
         for m in METRICS
     }
     return summary.select(
         "alert_id",
         "sample_count",
         *[f"mean_{m}" for m in METRICS],
-        *[F.col(f"_latest.{m}").alias(f"latest_{m}") for m in METRICS],
+        *[f"latest_{m}" for m in METRICS],
         first_largest(ratios).alias("dominant_metric"),
     )
 

@@ -65,9 +65,9 @@ def over_chunks(
     `lookback` rows.
     """
     rows = max(layout.chunk_rows, lookback + 1)
-    # Frames cost far more CPU per byte than the size-based merging of small shuffle
-    # partitions assumes, so this exchange keeps the session's full parallelism.
-    tasks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Frames cost far more CPU per byte than size-based merging of small shuffle partitions
+    # assumes, so this exchange has a fixed number of tasks, and more than others to even them out.
+    tasks = layout.tasks_factor * int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunked = (
         number_events(events, layout)
         .selectExpr("*", f"(n - 1) div {rows} AS _own")

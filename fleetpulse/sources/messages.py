@@ -66,8 +66,13 @@ def encode_telemetry(telemetry: DataFrame) -> DataFrame:
 
 
 def _parse(messages: DataFrame, schema) -> DataFrame:
+    """Add the parsed message as _m.
+
+    The explode of a single element keeps the optimizer from copying the parser into every
+    later filter and column that reads a field of it.
+    """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    return messages.withColumn("_m", F.from_json("value", schema, options))
+    return messages.select("*", F.explode(F.array(F.from_json("value", schema, options))).alias("_m"))
 
 
 def _quoted(values: tuple[str, ...]) -> str:
