@@ -43,17 +43,18 @@ def dominant_by_zscore(alerts: DataFrame) -> DataFrame:
     """Add dominant_metric: the one furthest from its recent history in standard deviations."""
 
     def deviation(m: str) -> str:
+        count = "nullif(size(recent_metrics), 0)"
         values = f"transform(recent_metrics, s -> s.{m})"
-        mean = f"(aggregate({values}, 0D, (a, v) -> a + v) / size(recent_metrics))"
+        mean = f"(aggregate({values}, 0D, (a, v) -> a + v) / {count})"
         return f"""named_struct('mean', {mean}, 'std', sqrt(
             aggregate({values}, 0D, (a, v) -> a + (v - {mean}) * (v - {mean}))
-            / size(recent_metrics)))"""
+            / {count}))"""
 
     measured = alerts.selectExpr("*", *[f"{deviation(m)} AS _{m}" for m in METRICS]).selectExpr(
         "*",
         *[
             f"""CASE WHEN _{m}.std > {EPSILON}D
-                THEN abs((metric_snapshot.{m} - _{m}.mean) / _{m}.std) ELSE 0D END AS _z_{m}"""
+                THEN abs((metric_snapshot.{m} - _{m}.mean) / nullif(_{m}.std, 0D)) ELSE 0D END AS _z_{m}"""
             for m in METRICS
         ],
     )
@@ -124,7 +125,7 @@ def recent_metrics_summary(
         *[F.min_by(m, "recency").alias(f"latest_{m}") for m in METRICS],
     )
     ratios = {
-        m: F.when(F.col(f"mean_{m}") > EPSILON, F.col(f"latest_{m}") / F.col(f"mean_{m}"))
+        m: F.when(F.col(f"mean_{m}") > EPSILON, F.try_divide(f"latest_{m}", f"mean_{m}"))
         for m in METRICS
     }
     return summary.select(

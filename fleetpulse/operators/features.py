@@ -53,7 +53,7 @@ def feature_columns() -> list[str]:
     """z-scores (0 without two previous rows or without spread) and deltas (0 at the start)."""
     zscores = [
         f"""CASE WHEN _previous >= 2 AND _{m}_std > {EPSILON}D
-            THEN ({m} - _{m}_mean) / _{m}_std ELSE 0D END AS {m}_z"""
+            THEN ({m} - _{m}_mean) / nullif(_{m}_std, 0D) ELSE 0D END AS {m}_z"""
         for m in METRICS
     ]
     return zscores + [f"coalesce({m} - _{m}_last, 0D) AS {m}_delta" for m in METRICS]

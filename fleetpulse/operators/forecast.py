@@ -42,7 +42,7 @@ def trend_windows(config: DetectorConfig = DETECTOR) -> list[str]:
 
 def forecast_column(config: DetectorConfig = DETECTOR) -> str:
     """Rounded minutes to breach, null unless the row is below its threshold on a clear rise."""
-    minutes = "((threshold - score_ma) / trend_slope / 60D)"
+    minutes = "((threshold - score_ma) / nullif(trend_slope, 0D) / 60D)"
     return f"""CASE WHEN threshold IS NOT NULL AND NOT is_anomaly AND trend_slope > 0
         AND trend_r2 >= {config.trend_min_r2}D
         AND {minutes} BETWEEN 0D AND {config.trend_horizon_minutes}D

@@ -161,3 +161,14 @@ def test_clamp_keeps_missing_values(spark):
     assert [tuple(r) for r in got] == [
         (0.5, 100.0, None, 3.0, True), (5.0, 5.0, 5.0, 5.0, False), (None, None, None, None, False)
     ]
+
+
+def test_constant_scores_give_no_alert(spark):
+    rows = [e | {"latency_ms": 7.0, "cpu_pct": 3.0} for e in host_events("flat", 400, seed=3)]
+    out = score_with_column(spark.createDataFrame([tuple(r.values()) for r in rows], SCHEMA), "latency_ms")
+    got = out.filter("n >= 130").agg(
+        F.count("*").alias("rows"), F.count_if("is_anomaly").alias("anomalies"),
+        F.count("predicted_breach_minutes").alias("forecasts"), F.max("ewma_std").alias("std"),
+        F.min("threshold").alias("threshold"), F.max(F.abs(F.element_at("features", 7))).alias("z"),
+    ).first()
+    assert tuple(got) == (271, 0, 0, 0.0, 7.0, 0.0)
