@@ -9,7 +9,8 @@ function expresses it. To keep a busy host out of a single task, time is cut int
 2. per key: walk that table span by span; this gives the clock at the start of each span;
 3. per (key, span): with the clock known, walk the span's rows and emit the kept ones.
 
-Steps 1 and 3 run in parallel over spans; step 2 reads only the small table.
+Steps 1 and 3 run in parallel over spans and see only key, time and order; step 2 reads only
+the small table. The kept rows get their other columns by a join.
 """
 
 from __future__ import annotations
@@ -57,7 +58,8 @@ def apply_cooldown(
 ) -> DataFrame:
     """Rows of `candidates` that pass the cooldown; exactly at the limit passes.
 
-    The input is read twice, so pass a stored table or something cheap to recompute.
+    order_col must identify a row within its key. The input is read three times, so pass a
+    stored table or something cheap to recompute.
     """
     limit = int(seconds * 1_000_000)
     span_width = max(span_seconds * 1_000_000, limit)
@@ -107,19 +109,21 @@ def apply_cooldown(
         rows = rows.sort_by([("_t", "ascending"), (order_col, "ascending")])
         known = clock["_clock"][0].as_py() if clock.num_rows else None
         kept = kept_rows(rows["_t"].to_numpy(), limit, known)
-        return rows.take(pa.array(kept, pa.int64())).drop_columns(["_t", "_span"])
+        return rows.select([*keys, order_col]).take(pa.array(kept, pa.int64()))
 
-    narrow = candidates.select(*keys, span, micros)
+    kept_schema = T.StructType([*key_fields, candidates.schema[order_col]])
+    narrow = candidates.select(*keys, order_col, span, micros)
     clock_table = (
-        narrow.groupBy(*group)
+        narrow.drop(order_col)
+        .groupBy(*group)
         .applyInArrow(exits, exits_schema)
         .groupBy(*keys)
         .applyInArrow(clocks, clocks_schema)
     )
-    full = candidates.select("*", span, micros)
-    return (
-        full.groupBy(*group).cogroup(clock_table.groupBy(*group)).applyInArrow(keep, candidates.schema)
+    kept = (
+        narrow.groupBy(*group).cogroup(clock_table.groupBy(*group)).applyInArrow(keep, kept_schema)
     )
+    return candidates.join(kept, [*keys, order_col], "left_semi")
 
 
 def _with_key(key: tuple, names: Sequence[str], columns: dict) -> pa.Table:

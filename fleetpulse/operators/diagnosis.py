@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fleetpulse.config import INVESTIGATION, InvestigationConfig
 from fleetpulse.operators import evidence
 from fleetpulse.schemas import RUN_COLUMNS
+from fleetpulse.session import materialize
 
 CAUSES = {
     "cpu_pct": "the CPU running at its limit",
@@ -50,9 +51,10 @@ def gather(
 ) -> DataFrame:
     """Alerts with dominant_metric, matched_log, latest deploy and runbook columns.
 
-    All evidence is keyed by alert_id, so the joins share one partitioning.
+    All evidence is keyed by alert_id, so the joins share one partitioning. The summary of the
+    recent metrics is needed twice and costs the largest join, so it is stored.
     """
-    summary = steps["recent_metrics"](alerts, metrics, config=config)
+    summary = materialize(steps["recent_metrics"](alerts, metrics, config=config), "summary")
     judged = alerts.join(summary.select("alert_id", "sample_count", "dominant_metric"), "alert_id", "left")
     judged = judged.withColumn(
         "dominant_metric", F.coalesce("dominant_metric", F.lit(evidence.FALLBACK_METRIC))

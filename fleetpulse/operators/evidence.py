@@ -87,7 +87,6 @@ def recent_metrics(
         "host_id",
         F.col("n").alias("_alert_n"),
         "triggered_at",
-        F.col("triggered_at").cast("long").alias("_at_s"),
         lookback.alias("_minutes"),
         F.explode(
             F.expr(f"sequence(greatest(n - {size}, 0) div {size}, (n - 1) div {size})")
@@ -219,8 +218,11 @@ def log_match(
 
 
 def runbook_lookup(alerts: DataFrame, runbooks: DataFrame) -> DataFrame:
-    """Add runbook_key and runbook: the service's own text, else the one named default."""
-    known = runbooks.select(F.col("service_name").alias("_own")).distinct()
+    """Add runbook_key and runbook: the service's own text, else the one named default.
+
+    runbooks has one row per service.
+    """
+    known = runbooks.select(F.col("service_name").alias("_own"))
     texts = runbooks.select(F.col("service_name").alias("runbook_key"), F.col("body").alias("runbook"))
     return (
         alerts.join(known, F.col("service_name") == F.col("_own"), "left")

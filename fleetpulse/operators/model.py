@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetpulse.config import DETECTOR, FEATURES, DetectorConfig
+from fleetpulse.config import DETECTOR, FEATURES, LAYOUT, DetectorConfig, LayoutConfig
 from fleetpulse.functions.forest import Forest, fit_forest, score_forest
+from fleetpulse.operators.series import spread
 
 GROUP = ("host_id", "model_version")
 
@@ -91,7 +92,9 @@ def _fit(x: np.ndarray, config: DetectorConfig) -> Forest:
     return fit_forest(x, config.n_trees, config.subsample, config.seed)
 
 
-def fit_models(featured: DataFrame, config: DetectorConfig = DETECTOR) -> DataFrame:
+def fit_models(
+    featured: DataFrame, config: DetectorConfig = DETECTOR, layout: LayoutConfig = LAYOUT
+) -> DataFrame:
     """One forest per (host, version) as flat arrays.
 
     Groups hold at most `train_window` rows. Scoring does not go through this table, since
@@ -118,7 +121,7 @@ def fit_models(featured: DataFrame, config: DetectorConfig = DETECTOR) -> DataFr
         return pa.table(row, schema=_MODEL_ARROW)
 
     rows = training_rows(featured.select("host_id", "n", *FEATURES), config)
-    return rows.groupBy(*GROUP).applyInArrow(fit, MODEL_SCHEMA)
+    return spread(rows, layout, *GROUP).groupBy(*GROUP).applyInArrow(fit, MODEL_SCHEMA)
 
 
 _MODEL_ARROW = pa.schema(
@@ -135,7 +138,9 @@ _MODEL_ARROW = pa.schema(
 )
 
 
-def score_events(featured: DataFrame, config: DetectorConfig = DETECTOR) -> DataFrame:
+def score_events(
+    featured: DataFrame, config: DetectorConfig = DETECTOR, layout: LayoutConfig = LAYOUT
+) -> DataFrame:
     """Add raw_score and model_version to every event; null for warm-up events.
 
     Each version's training rows and the rows it scores meet in one group of at most
@@ -183,7 +188,7 @@ def score_events(featured: DataFrame, config: DetectorConfig = DETECTOR) -> Data
         rows = rows.append_column("model_version", versions).append_column("raw_score", scores)
         return rows.select(scored_schema.names)
 
-    return copies.groupBy(*GROUP).applyInArrow(score, scored_schema)
+    return spread(copies, layout, *GROUP).groupBy(*GROUP).applyInArrow(score, scored_schema)
 
 
 # Ground-truth label of a decoded message: the type if one was injected, else null.

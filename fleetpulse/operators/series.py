@@ -53,6 +53,16 @@ def previous_rows(count: int) -> str:
     return f"OVER ({CHUNK_ORDER} ROWS BETWEEN {count} PRECEDING AND 1 PRECEDING)"
 
 
+def spread(df: DataFrame, layout: LayoutConfig, *keys: str) -> DataFrame:
+    """Partition by keys for work that is heavy for its bytes.
+
+    Merging small shuffle partitions by size would leave too few tasks, so the number is fixed:
+    a few tasks per configured shuffle partition, which also evens them out.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(layout.tasks_factor * partitions, *keys)
+
+
 def over_chunks(
     events: DataFrame,
     lookback: int,
@@ -65,9 +75,6 @@ def over_chunks(
     `lookback` rows.
     """
     rows = max(layout.chunk_rows, lookback + 1)
-    # Frames cost far more CPU per byte than size-based merging of small shuffle partitions
-    # assumes, so this exchange has a fixed number of tasks, and more than others to even them out.
-    tasks = layout.tasks_factor * int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunked = (
         number_events(events, layout)
         .selectExpr("*", f"(n - 1) div {rows} AS _own")
@@ -76,6 +83,5 @@ def over_chunks(
             f"""explode(CASE WHEN (n - 1) % {rows} >= {rows - lookback} THEN array(_own, _own + 1)
                 ELSE array(_own) END) AS _chunk""",
         )
-        .repartition(tasks, KEY, "_chunk")
     )
-    return build(chunked).filter("_chunk = _own").drop("_chunk", "_own")
+    return build(spread(chunked, layout, KEY, "_chunk")).filter("_chunk = _own").drop("_chunk", "_own")

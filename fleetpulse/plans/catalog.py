@@ -105,7 +105,8 @@ def _diagnosed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def _recorded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(run records, alerts with status); a few investigations end without a diagnosis."""
     alerts, diagnosed = _diagnosed(spark, sf)
-    return record(alerts, _runs(alerts), diagnosed.filter("event_id % 17 <> 0"))
+    runs, with_status = record(alerts, _runs(alerts), diagnosed.filter("event_id % 17 <> 0"))
+    return materialize(runs, "diagnoses"), with_status
 
 
 # Sources and tables ---------------------------------------------------------------------
@@ -526,7 +527,7 @@ def dash_active_alerts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dash_confidence(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(dash.average_confidence(materialize(_recorded(spark, sf)[0], "diagnoses")))
+    return rounded(dash.average_confidence(_recorded(spark, sf)[0]))
 
 
 def dash_alert_table(spark: SparkSession, sf: str) -> DataFrame:

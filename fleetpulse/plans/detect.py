@@ -72,7 +72,7 @@ def score_with_forest(
 ) -> DataFrame:
     """The metrics table with isolation-forest scores."""
     featured = features.add_features(telemetry, config, layout)
-    return _judge(score_events(featured, config), config, layout)
+    return _judge(score_events(featured, config, layout), config, layout)
 
 
 def detect(

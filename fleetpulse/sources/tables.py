@@ -52,12 +52,12 @@ def upsert_hosts(incoming: DataFrame, existing: DataFrame) -> DataFrame:
 
 def orphans(rows: DataFrame, parents: DataFrame, key: str, parent_key: str | None = None) -> DataFrame:
     """Rows whose key has no parent row; null keys count as having none to look for."""
-    known = parents.select(F.col(parent_key or key).alias(key)).distinct()
+    known = parents.select(F.col(parent_key or key).alias(key))
     return rows.filter(F.col(key).isNotNull()).join(known, key, "left_anti")
 
 
 def with_parent(rows: DataFrame, parents: DataFrame, key: str, parent_key: str | None = None) -> DataFrame:
-    known = parents.select(F.col(parent_key or key).alias(key)).distinct()
+    known = parents.select(F.col(parent_key or key).alias(key))
     return rows.join(known, key, "left_semi")
 
 
