@@ -45,7 +45,7 @@ def fit_forest(x: np.ndarray, trees: int, subsample: int, seed: int) -> Forest:
     size = np.zeros(trees * nodes, dtype=np.int32)
 
     # Drawn rows of all trees, kept sorted by node; `node` counts through all trees.
-    data = x[np.argsort(rng.random((trees, len(x))), axis=1)[:, :psi].ravel()]
+    data = x[np.argpartition(rng.random((trees, len(x))), psi - 1, axis=1)[:, :psi].ravel()]
     node = np.repeat(np.arange(trees) * nodes, psi)
     first = np.repeat(np.arange(trees) * nodes, psi)
     for level in range(depth + 1):
@@ -82,20 +82,20 @@ def fit_forest(x: np.ndarray, trees: int, subsample: int, seed: int) -> Forest:
 
 def score_forest(forest: Forest, x: np.ndarray) -> np.ndarray:
     """Anomaly score 2^(-mean path / expected path) in (0, 1]; larger is more anomalous."""
-    x = x.astype(np.float32)
     trees, nodes = forest.feature.shape
-    offset = np.arange(trees) * nodes
+    first = (np.arange(trees) * nodes).astype(np.int32)
     feature, threshold = forest.feature.ravel(), forest.threshold.ravel()
-    rows = np.arange(len(x))[:, None]
-    at = np.zeros((len(x), trees), dtype=np.int64)
+    values = x.astype(np.float32).ravel()
+    row = (np.arange(len(x)) * x.shape[1]).astype(np.int32)[:, None]
+    at = np.tile(first, (len(x), 1))  # node of each row in each tree, counted through all trees
     while True:
-        flat = at + offset
-        split = feature[flat]
+        split = feature.take(at)
         inner = split >= 0
         if not inner.any():
             break
-        right = x[rows, np.maximum(split, 0)] > threshold[flat]
-        at = np.where(inner, 2 * at + 1 + right, at)
-    path = np.floor(np.log2(at + 1)) + expected_path(forest.size.ravel()[at + offset])
+        right = values.take(row + np.maximum(split, 0)) > threshold.take(at)
+        at = np.where(inner, 2 * at - first + 1 + right, at)
+    depth = np.floor(np.log2(np.arange(nodes) + 1))
+    path = (np.tile(depth, trees) + expected_path(forest.size.ravel())).take(at)
     scale = float(expected_path(forest.subsample))
     return np.exp2(-path.mean(axis=1) / scale) if scale > 0 else np.full(len(x), 0.5)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import logging
+
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ from fleetpulse.operators import evidence
 from fleetpulse.schemas import RUN_COLUMNS
 from fleetpulse.session import materialize
 
+log = logging.getLogger(__name__)
+
 CAUSES = {
     "cpu_pct": "the CPU running at its limit",
     "mem_pct": "memory filling up",
@@ -26,14 +31,32 @@ REMEDIES = {
 CONFIDENCE = {"deploy": 0.90, "log": 0.78, "none": 0.63}
 HIGH_CONFIDENCE = 0.75
 
-# The evidence steps of one investigation, in order; each is DataFrame -> DataFrame and can
-# be replaced or extended by the caller.
+# The evidence steps of one investigation, in order; each is DataFrame -> DataFrame and the
+# caller may replace it.
 EVIDENCE = {
     "recent_metrics": evidence.recent_metrics_summary,
     "logs": evidence.log_match,
     "deploys": evidence.deploy_correlation,
     "runbook": evidence.runbook_lookup,
 }
+# What a step that cannot be planned counts as having found: nothing.
+_NOTHING = {
+    "recent_metrics": "alert_id string, sample_count bigint, dominant_metric string",
+    "logs": "alert_id string, matched_log string, matching_lines bigint",
+    "deploys": """alert_id string, deploy_count bigint, deploy_id string, git_sha string, author string,
+        component string, deployed_at timestamp, minutes_before_alert double""",
+}
+
+
+def _attempt(name: str, steps: dict, alerts: DataFrame, *tables: DataFrame, **options) -> DataFrame:
+    """Run one step; a missing or failing one leaves its evidence empty and the rest goes on."""
+    try:
+        return steps[name](alerts, *tables, **options)
+    except (KeyError, PySparkException) as error:
+        log.warning("evidence step %s not available: %s", name, error)
+        if name == "runbook":
+            return alerts.selectExpr("*", "CAST(NULL AS STRING) AS runbook_key", "CAST(NULL AS STRING) AS runbook")
+        return alerts.sparkSession.createDataFrame([], _NOTHING[name])
 
 
 def _choose(values: dict[str, str]) -> str:
@@ -54,15 +77,15 @@ def gather(
     All evidence is keyed by alert_id, so the joins share one partitioning. The summary of the
     recent metrics is needed twice and costs the largest join, so it is stored.
     """
-    summary = materialize(steps["recent_metrics"](alerts, metrics, config=config), "summary")
+    summary = materialize(_attempt("recent_metrics", steps, alerts, metrics, config=config), "summary")
     judged = alerts.join(summary.select("alert_id", "sample_count", "dominant_metric"), "alert_id", "left")
     judged = judged.withColumn(
         "dominant_metric", F.coalesce("dominant_metric", F.lit(evidence.FALLBACK_METRIC))
     )
-    lines = steps["logs"](judged, logs, config=config)
-    latest = steps["deploys"](alerts, deploys, config=config)
+    lines = _attempt("logs", steps, judged, logs, config=config)
+    latest = _attempt("deploys", steps, alerts, deploys, config=config)
     found = judged.join(lines, "alert_id", "left").join(latest, "alert_id", "left")
-    return steps["runbook"](found, runbooks)
+    return _attempt("runbook", steps, found, runbooks)
 
 
 def diagnose(gathered: DataFrame) -> DataFrame:

@@ -33,6 +33,11 @@ def kafka_stream(spark: SparkSession, servers: str, topic: str, **options: str)
     )
 
 
+def kafka_publish(encoded: DataFrame, servers: str, topic: str) -> None:
+    """Send encoded messages; the key decides the topic partition, so a host stays in order."""
+    encoded.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
+
+
 def file_stream(
     spark: SparkSession, path: str, fmt: str = "parquet", max_files_per_trigger: int | None = None
 ) -> DataFrame:

@@ -12,11 +12,14 @@ from fleetpulse.schemas import METRICS_COLUMNS
 def append_batch(rows: DataFrame, path: str, batch_id: int | str, date_col: str | None = None) -> None:
     """Write one batch into its own folder; writing the same batch again replaces it.
 
-    With date_col the batch is also partitioned by day, so time filters prune folders.
+    With date_col the batch is also partitioned by day, so time filters prune folders. The
+    rebalance gives files of the advisory size instead of one per task and day, and splits a day
+    or host that is much larger than others; sorting lets host filters skip row groups.
     """
     target = f"{path}/batch={batch_id}"
     if date_col:
-        rows = rows.withColumn("ds", F.to_date(date_col))
+        rows = rows.withColumn("ds", F.to_date(date_col)).hint("rebalance", "ds")
+        rows = rows.sortWithinPartitions(*[c for c in ("ds", "host_id", date_col) if c in rows.columns])
         rows.write.mode("overwrite").partitionBy("ds").parquet(target)
     else:
         rows.write.mode("overwrite").parquet(target)

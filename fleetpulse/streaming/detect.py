@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -91,11 +91,13 @@ def run_detection(
     config: DetectorConfig = DETECTOR,
     trigger: dict | None = None,
     dedup: bool = False,
+    publish: Callable[[DataFrame], None] | None = None,
 ) -> StreamingQuery:
     """Decode, detect and store: folders metrics, alerts and alert_messages under `out`.
 
     A batch that is run again after a failure overwrites its own folders, and alert ids do
-    not depend on the run, so every event and alert is stored once.
+    not depend on the run, so every event and alert is stored once. `publish` also gets each
+    batch of alert messages, for example to send them to a topic.
     """
     telemetry = check_telemetry(messages).filter("reject_reason IS NULL").selectExpr(
         "* EXCEPT (key, value, reject_reason, injected_anomaly)",
@@ -113,6 +115,8 @@ def run_detection(
         )
         append_batch(alerts, f"{out}/alerts", batch_id)
         append_batch(encode(alerts), f"{out}/alert_messages", batch_id)
+        if publish:
+            publish(encode(spark.read.schema(alerts.schema).parquet(f"{out}/alerts/batch={batch_id}")))
 
     return (
         detect_stream(telemetry, score_col, config)

@@ -202,3 +202,15 @@ def test_dashboard_selection_and_latest_diagnosis(spark):
     assert [r.time for r in dashboard.alert_table(alerts, runs, limit=1).collect()] == [at(20)]
     assert dashboard.active_alerts(alerts, as_of=at(3600)).first().value == 2
     assert dashboard.active_alerts(alerts).first().value == 3
+
+
+def test_a_failing_evidence_step_leaves_the_others(spark):
+    alerts = alerts_of(spark, alert("a", n=4, when=4))
+    metrics = metrics_of(spark, [("h1", i, at(i), float(i), 1.0, 1.0, 1.0) for i in range(1, 5)])
+    logs = spark.createDataFrame([("h1", "edge", at(1), "x throttled")], "host_id string, service_name string, ts timestamp, line string")
+    broken = spark.createDataFrame([(1,)], "unrelated int")
+    gathered = diagnosis.gather(alerts, metrics, logs, broken, broken)
+    got = diagnosis.diagnose(gathered).first()
+    assert (got.branch, got.matched_log, got.deploy_id, got.runbook) == ("log", "x throttled", None, None)
+    without = {k: v for k, v in diagnosis.EVIDENCE.items() if k != "logs"}
+    assert diagnosis.diagnose(diagnosis.gather(alerts, metrics, logs, broken, broken, steps=without)).first().branch == "none"
