@@ -123,7 +123,8 @@ def apply_cooldown(
     kept = (
         narrow.groupBy(*group).cogroup(clock_table.groupBy(*group)).applyInArrow(keep, kept_schema)
     )
-    return candidates.join(kept, [*keys, order_col], "left_semi")
+    passed = candidates.join(kept, [*keys, order_col], "left_semi")
+    return passed.select(*candidates.columns)
 
 
 def _with_key(key: tuple, names: Sequence[str], columns: dict) -> pa.Table:
