@@ -194,7 +194,7 @@ def log_evidence(
     near = _near_logs(alerts, logs, minutes, config)
     lines = near.groupBy("alert_id", "line").agg(F.count("*").alias("copies"))
     return lines.selectExpr(
-        "*", "row_number() OVER (PARTITION BY alert_id ORDER BY line) AS line_rank"
+        "*", "CAST(row_number() OVER (PARTITION BY alert_id ORDER BY line) AS BIGINT) AS line_rank"
     )
 
 
