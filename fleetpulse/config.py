@@ -62,8 +62,8 @@ class LayoutConfig:
     cell_seconds: int = 60
     # window frames run over chunks of this many events (plus the lookback rows)
     chunk_rows: int = 2048
-    # tasks per configured shuffle partition where the work is heavy for its bytes
-    tasks_factor: int = 4
+    # least number of tasks per core where the work is heavy for its bytes
+    tasks_per_core: int = 4
     # cooldown clocks are resolved per time span of this width
     cooldown_span_seconds: int = 6 * 3600
 

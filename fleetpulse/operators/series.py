@@ -57,10 +57,12 @@ def spread(df: DataFrame, layout: LayoutConfig, *keys: str) -> DataFrame:
     """Partition by keys for work that is heavy for its bytes.
 
     Merging small shuffle partitions by size would leave too few tasks, so the number is fixed:
-    a few tasks per configured shuffle partition, which also evens them out.
+    the configured shuffle partitions, but at least a few per core, which evens them out.
     """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(layout.tasks_factor * partitions, *keys)
+    session = df.sparkSession
+    configured = int(session.conf.get("spark.sql.shuffle.partitions"))
+    per_core = layout.tasks_per_core * session.sparkContext.defaultParallelism
+    return df.repartition(max(configured, per_core), *keys)
 
 
 def over_chunks(
