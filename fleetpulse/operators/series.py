@@ -2,9 +2,10 @@
 
 A host may hold a large share of all events, so nothing here puts a whole host in one
 window partition. `number_events` counts events per (host, time cell), turns the counts
-into offsets and ranks rows inside a cell only. `over_chunks` cuts a numbered series into
-chunks of a fixed number of events; each chunk also gets the last rows of the chunk before
-it, as many as the widest frame reaches back, and those copies are dropped afterwards.
+into offsets and ranks rows inside a cell, or inside a part of a very full one. `over_chunks`
+cuts a numbered series into chunks of a fixed number of events; each chunk also gets the last
+rows of the chunk before it, as many as the widest frame reaches back, and those copies are
+dropped afterwards.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from fleetpulse.config import LAYOUT, LayoutConfig
 
@@ -20,26 +22,43 @@ CHUNK_ORDER = f"PARTITION BY {KEY}, _chunk ORDER BY n"
 
 
 def number_events(events: DataFrame, layout: LayoutConfig = LAYOUT) -> DataFrame:
-    """Add n = 1, 2, ... per host in (ts, event_id) order."""
+    """Add n = 1, 2, ... per host in (ts, event_id) order.
+
+    Cells with more than `max_cell_rows` events are ranked in parts of a finer time grid. Their
+    list is broadcast: it cannot have more entries than events / max_cell_rows. Where it is
+    empty, adaptive execution drops the joins and counts that serve it.
+    """
     if "n" in events.columns:
         return events
-    cell = f"unix_micros(ts) div {layout.cell_seconds * 1_000_000} AS _cell"
-    offsets = (
-        events.selectExpr(KEY, cell)
-        .groupBy(KEY, "_cell")
-        .count()
+    width = layout.cell_seconds * 1_000_000
+    part_width = max(1, width // layout.parts_per_cell)
+    cell = f"unix_micros(ts) div {width} AS _cell"
+
+    counts = events.selectExpr(KEY, cell).groupBy(KEY, "_cell").count()
+    large = F.broadcast(
+        counts.filter(f"count > {layout.max_cell_rows}").selectExpr(KEY, "_cell", "true AS _large")
+    )
+    placed = (
+        events.selectExpr("*", cell)
+        .join(large, [KEY, "_cell"], "left")
         .selectExpr(
-            KEY,
-            "_cell",
-            f"""coalesce(sum(count) OVER (PARTITION BY {KEY} ORDER BY _cell
-                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _offset""",
+            "* EXCEPT (_large)",
+            f"CASE WHEN _large THEN pmod(unix_micros(ts), {width}) div {part_width} ELSE -1 END AS _part",
         )
     )
-    ranked = events.selectExpr("*", cell).selectExpr(
-        "*", f"row_number() OVER (PARTITION BY {KEY}, _cell ORDER BY ts, event_id) AS _rank"
+    group = [KEY, "_cell", "_part"]
+    parts = placed.select(*group).filter("_part >= 0").groupBy(*group).count()
+    whole = counts.filter(f"count <= {layout.max_cell_rows}").selectExpr(KEY, "_cell", "-1L AS _part", "count")
+    offsets = whole.unionByName(parts).selectExpr(
+        *group,
+        f"""coalesce(sum(count) OVER (PARTITION BY {KEY} ORDER BY _cell, _part
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _offset""",
+    )
+    ranked = placed.selectExpr(
+        "*", f"row_number() OVER (PARTITION BY {', '.join(group)} ORDER BY ts, event_id) AS _rank"
     )
-    return ranked.join(offsets, [KEY, "_cell"]).selectExpr(
-        "* EXCEPT (_cell, _rank, _offset)", "_offset + _rank AS n"
+    return ranked.join(offsets, group).selectExpr(
+        f"* EXCEPT ({', '.join(group[1:])}, _rank, _offset)", "_offset + _rank AS n"
     )
 
 

@@ -19,7 +19,9 @@ SCHEMA = (
     "event_id bigint, host_id string, service_name string, ts timestamp, cpu_pct double, mem_pct double, "
     "latency_ms double, error_rate_pct double, injected_anomaly_type string"
 )
-TINY = LayoutConfig(cell_seconds=7, chunk_rows=230, cooldown_span_seconds=90)
+TINY = LayoutConfig(
+    cell_seconds=7, max_cell_rows=3, parts_per_cell=6, chunk_rows=230, cooldown_span_seconds=90
+)
 
 
 def host_events(host: str, total: int, seed: int, first_id: int = 0) -> list[dict]:

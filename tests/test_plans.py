@@ -38,7 +38,9 @@ def test_detection_never_gives_one_task_a_whole_host(large_plans):
     assert len(parts) == 4
     whole_host = [p for p in parts if "_chunk" not in p and "_cell" not in p]
     assert len(whole_host) == 1
-    assert text.count("Exchange hashpartitioning") == 5
+    assert "SinglePartition" not in text
+    # the only broadcast is the bounded list of over-full cells
+    assert text.count("BroadcastExchange") == 1 and "count#" in text and "> 1000000" in text
 
 
 def test_one_shuffle_per_direction_and_no_cross_join(large_plans):
