@@ -6,12 +6,6 @@ from pyspark.sql import types as T
 
 from fleetpulse.config import METRICS
 
-SNAPSHOT = T.StructType([T.StructField(m, T.DoubleType()) for m in METRICS])
-
-INJECTED = T.StructType(
-    [T.StructField("active", T.BooleanType()), T.StructField("type", T.StringType())]
-)
-
 # What a keyed topic delivers; a file stream with these two columns works the same way.
 MESSAGE = T.StructType(
     [T.StructField("key", T.StringType()), T.StructField("value", T.StringType())]
@@ -59,14 +53,6 @@ RAW_ALERT = T.StructType(
     ]
 )
 
-HOSTS = T.StructType(
-    [
-        T.StructField("host_id", T.StringType(), False),
-        T.StructField("service_name", T.StringType(), False),
-        T.StructField("created_at", T.TimestampType(), False),
-    ]
-)
-
 # Columns of the stored tables, in order.
 METRICS_COLUMNS = (
     "event_id", "host_id", "service_name", "ts", *METRICS, "features", "raw_score",

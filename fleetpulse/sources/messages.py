@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from fleetpulse.config import ANOMALY_TYPES, METRICS, SEVERITIES
 from fleetpulse.schemas import MESSAGE, RAW_ALERT, RAW_TELEMETRY
 
-KAFKA_TOPICS = {"telemetry": "telemetry.raw", "alerts": "alerts.triggered"}
+# Topic names.
+TOPICS = {"telemetry": "telemetry.raw", "alerts": "alerts.triggered"}
 
 
 def kafka_stream(spark: SparkSession, servers: str, topic: str, **options: str) -> DataFrame:

@@ -4,7 +4,6 @@ import datetime as dt
 import json
 
 from fleetpulse.sources import messages
-from fleetpulse.sources.testdata import telemetry_from  # noqa: F401  (import check)
 
 GOOD = {
     "event_id": "e1", "host_id": "h1", "service_name": "edge", "timestamp": "2024-01-01T00:00:03Z",
