@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column end to end, and the offset of each row; null counts as empty."""
-    column = pa.compute.fill_null(column.cast(pa.large_binary()), b"")
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     held = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
@@ -50,8 +51,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> It
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pa.compute.binary_length(batch.column(column))
-        ends = np.cumsum(pa.compute.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        sizes = pc.binary_length(batch.column(column))
+        ends = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
