@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetpulse.llm import decontaminate, fingerprint, url_filter, warc
+from fleetpulse.llm import decontaminate, fingerprint, language, line_dedup, near_dup, url_filter, warc
 from fleetpulse.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.report(table(spark, sf_dir, "documents"))
+
+
+def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents")).drop("class")
+
+
 # Fixed values of the contract: rules of the URL filter.
 URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 # First host labels (without www., m. or blog.) of the sites whose pages make up the list of blocked URLs.
@@ -56,6 +64,10 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 """
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -70,7 +82,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_language_id": op2_language_id,
+        "op4_near_dup": op4_near_dup,
         "op5_url_filter": op5_url_filter,
+        "op6_line_dedup": op6_line_dedup,
         "op8_warc": op8_warc,
         "op9_fingerprints": op9_fingerprints,
         "op10_decontamination": op10_decontamination,
@@ -78,4 +93,10 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": OP5_SQL, "op8_warc": warc.ORACLE, "op10_decontamination": decontaminate.ORACLE}
+    return {
+        "op4_near_dup": near_dup.ORACLE,
+        "op5_url_filter": OP5_SQL,
+        "op6_line_dedup": line_dedup.ORACLE,
+        "op8_warc": warc.ORACLE,
+        "op10_decontamination": decontaminate.ORACLE,
+    }
