@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetpulse.session import materialize
+
 UPPER, LOWER_CASE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: byte -> byte with A-Z lower-cased
@@ -37,6 +40,18 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[f"`{name}`"].alias(new) for new, name in columns.items()])
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder; the shuffle files that led to it can go.
+
+    Spark's cleaner removes the files of shuffles that no plan refers to any more, as soon as a garbage collection
+    finds them; a driver with memory to spare may not run one for long, so ask for it.
+    """
+    out = materialize(df, name)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column end to end, and the offset of each row; null counts as empty."""
     column = pc.fill_null(column.cast(pa.large_binary()), b"")
@@ -120,6 +135,18 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
+def window_hashes(data: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of the `size` bytes from each place that has so many before the end."""
+    if len(data) < size:
+        return np.empty(0, np.uint64)
+    inverse = pow(_BASE, -1, 1 << 64)
+    letters = mix(np.arange(1, 257, dtype=np.uint64) + np.uint64(salt << 20))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(letters[data] * _table(len(data), _BASE)[: len(data)], out=sums[1:])
+    n = len(data) - size + 1
+    return mix((sums[size:] - sums[:n]) * _table(len(data), inverse)[:n])
+
+
 def shingles(hashes: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of `size` words of each row, and how many each row has.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetpulse.llm import decontaminate, fingerprint, language, line_dedup, near_dup, url_filter, warc
+from fleetpulse.llm import decontaminate, fingerprint, language, line_dedup, near_dup, suffix_dedup, url_filter, warc
 from fleetpulse.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents")).drop("class")
 
@@ -83,6 +87,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_language_id": op2_language_id,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_near_dup": op4_near_dup,
         "op5_url_filter": op5_url_filter,
         "op6_line_dedup": op6_line_dedup,
