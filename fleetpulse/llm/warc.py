@@ -1,16 +1,16 @@
 """WARC archives: write records, and read them back by boundary-chain verification.
 
-Writing: one part file is one archive. A record's payload is the page's text in UTF-8; of the records with
-equal payloads of at least `min_bytes` bytes one is a response and the others are revisits that name it.
+Writing: one part file is one archive (gzip by default). A record's payload is the page's text in UTF-8; of the
+records with equal payloads of at least `min_bytes` bytes one is a response and the others are revisits that name it.
 
-Reading: archives are split at byte ranges like any text file, with the magic as separator. Each piece is a
-candidate record; its Content-Length gives the offset where its successor must start. Pointer jumping from
+Reading: archives are read like any text file, with the magic as separator (plain ones in byte ranges). Each piece
+is a candidate record; its Content-Length gives the offset where its successor must start. Pointer jumping from
 offset 0 of each file keeps the candidates that the chain reaches, so that a magic inside a payload
 (even a whole record) stays part of that payload.
 
-Edge cases: a null payload counts as empty, a null URL writes no target, a null page_id an empty one, and
-line breaks in a URL are percent-encoded. Rows that repeat give a record each; of equal payloads the
-smallest page_id is the response (null last), and of repeated page_ids one row.
+Edge cases: a null payload counts as empty, a null URL writes no target, a null page_id an empty one, and line breaks
+in a URL are percent-encoded. Of equal payloads the smallest page_id is the response (null only if there is no other);
+rows that repeat both page_id and payload are one capture, and all of them are responses or all revisits.
 """
 
 from __future__ import annotations
@@ -40,49 +40,46 @@ def digest(payloads: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """record, page_id, url, html, digest, refers_to, original: what to write for each row of pages."""
-    rows = pick(pages, page_id="page_id", url="url", html="html")
-    rows = rows.withColumn("html", F.coalesce("html", F.lit("")))
-    rows = rows.withColumn("digest", digest(F.encode("html", "UTF-8"))).withColumn("record", F.monotonically_increasing_id())
-    rows = materialize(rows, "warc-rows")
-    small = F.octet_length("html") < min_bytes
-    first = F.struct(F.col("page_id").isNull().alias("last"), F.col("page_id"), F.col("record"))
-    firsts = rows.filter(~small).groupBy("digest").agg(F.min(first).alias("first")).select(
-        "digest", F.col("first.record").alias("original"), F.col("first.page_id").alias("refers_to")
-    )
-    own = rows.select("record", "digest", small.alias("small")).join(firsts, "digest", "left")
-    own = own.select(
-        "record",
-        F.when(~F.col("small") & (F.col("original") != F.col("record")), F.struct("original", "refers_to")).alias("of"),
-    )
-    return rows.join(own, "record").select("record", "page_id", "url", "html", "digest", "of.refers_to", "of.original")
+    """page_id, url, html, digest, first: what to write for each row; first is the response's page_id for a revisit.
+
+    Only payloads that occur again are joined with, so the pages themselves need no exchange while these are few.
+    """
+    rows = pick(pages, page_id="page_id", url="url", html="html").withColumn("html", F.coalesce("html", F.lit("")))
+    rows = rows.withColumn("page_id", F.col("page_id").cast("long")).withColumn("digest", digest(F.encode("html", "UTF-8")))
+    again = rows.filter(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("many"))
+    again = materialize(again.filter("many > 1").select("digest", "first"), "warc-again")
+    joined = rows.join(again, "digest", "left")
+    return joined.withColumn("first", F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
 
 
 def record_text(records: DataFrame) -> DataFrame:
-    """The records as text, without the magic's closing blank lines, which the writer adds."""
+    """The records as text, without the closing blank lines, which the writer adds."""
+
     def line(name, value):
         return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
 
-    revisit = F.col("original").isNotNull()
+    def name_of(page_id):
+        return F.concat(F.lit("<urn:page:"), page_id.cast("string"), F.lit(":"), F.col("digest"), F.lit(">"))
+
+    revisit = F.col("first").isNotNull()
     payload = F.when(revisit, "").otherwise(F.col("html"))
     uri = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     headers = [
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:record:"), F.col("record").cast("string"), F.lit(">"))),
+        line("WARC-Record-ID", F.coalesce(name_of(F.col("page_id")), F.concat(F.lit("<urn:page::"), F.col("digest"), F.lit(">")))),
         line("WARC-Date", F.lit(DATE)),
         line("WARC-Target-URI", uri),
-        line("WARC-Page-ID", F.col("page_id").cast("string")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        line("WARC-Refers-To", F.concat(F.lit("<urn:record:"), F.col("original").cast("string"), F.lit(">"))),
+        line("WARC-Refers-To", name_of(F.col("first"))),
         line("Content-Type", F.lit("text/html")),
         line("Content-Length", F.octet_length(payload).cast("string")),
     ]
     return records.select(F.concat(F.lit(MAGIC), *headers, F.lit("\r\n"), payload).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, compression: str = "gzip") -> None:
     """Write one archive for each task; the closing blank lines of records are the writer's line separator."""
-    record_text(plan_records(pages, min_bytes)).write.option("lineSep", END).text(path)
+    record_text(plan_records(pages, min_bytes)).write.option("lineSep", END).option("compression", compression).text(path)
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
@@ -172,22 +169,22 @@ def _owners(stray: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def parse(records: DataFrame) -> DataFrame:
-    """record, page_id, record_type, url, digest, refers_record, payload from header and payload."""
+    """page_id, record_type, url, digest, refers_to (page_id), payload from header and payload."""
+
     def field(name, pattern):
         return F.nullif(F.regexp_extract("header", rf"(?mi)^{name}:[ \t]*{pattern}\r?$", 1), F.lit(""))
 
     return records.select(
-        field("WARC-Record-ID", r"<urn:record:(\d+)>").cast("long").alias("record"),
-        field("WARC-Page-ID", r"(-?\d+)").cast("long").alias("page_id"),
+        field("WARC-Record-ID", r"<urn:page:(-?\d+):\w+>").cast("long").alias("page_id"),
         field("WARC-Type", r"(\w+)").alias("record_type"),
         field("WARC-Target-URI", r"([^\r\n]*)").alias("url"),
         field("WARC-Payload-Digest", r"sha1:(\w+)").alias("digest"),
-        field("WARC-Refers-To", r"<urn:record:(\d+)>").cast("long").alias("refers_record"),
+        field("WARC-Refers-To", r"<urn:page:(-?\d+):\w+>").cast("long").alias("refers_to"),
         "payload",
     )
 
 
-def round_trip(pages: DataFrame, path: str | None = None, min_bytes: int = 0) -> DataFrame:
+def round_trip(pages: DataFrame, path: str | None = None, min_bytes: int = 0, compression: str = "gzip") -> DataFrame:
     """Write pages to archives, read them, and describe each record by its full payload.
 
     page_id, payload_bytes, payload_digest, record_type, refers_to; the payload of a revisit is that of the
@@ -195,18 +192,17 @@ def round_trip(pages: DataFrame, path: str | None = None, min_bytes: int = 0) ->
     """
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc")
-    write_archives(pages, path, min_bytes)
-    read = parse(read_archives(spark, path))
-    read = materialize(
-        read.select("record", "page_id", "record_type", "refers_record",
-                    F.octet_length("payload").cast("long").alias("payload_bytes"), digest("payload").alias("payload_digest")),
-        "warc-read",
+    write_archives(pages, path, min_bytes, compression)
+    read = parse(read_archives(spark, path)).select(
+        "page_id", "record_type", "digest", "refers_to",
+        F.octet_length("payload").cast("long").alias("payload_bytes"), digest("payload").alias("payload_digest"),
     )
+    read = materialize(read, "warc-read")
     full = read.filter("record_type = 'response'")
-    named = full.select(F.col("record").alias("refers_record"), F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest")
-    revisits = read.filter("record_type = 'revisit'").select("page_id", "record_type", "refers_record").join(named, "refers_record", "left")
+    revisits = read.filter("record_type = 'revisit'").select("page_id", "record_type", "digest", "refers_to")
+    named = full.select(F.col("page_id").alias("refers_to"), "digest", "payload_bytes", "payload_digest").distinct()
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    return full.withColumn("refers_to", F.lit(None).cast("long")).select(columns).unionByName(revisits.select(columns))
+    return full.select(columns).unionByName(revisits.join(named, ["refers_to", "digest"], "left").select(columns))
 
 
 ORACLE = """
