@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetpulse.llm import decontaminate, fingerprint, language, line_dedup, near_dup, suffix_dedup, url_filter, warc
+from fleetpulse.llm import (
+    chat, decontaminate, fingerprint, language, line_dedup, near_dup, sentence_piece, suffix_dedup, url_filter, warc,
+)
 from fleetpulse.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Path of the tokenizer model of op1 and the pipeline.
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_piece.report(table(spark, sf_dir, "documents"), sentence_piece.load(spark, TOKENIZER))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(table(spark, sf_dir, "documents"))
 
@@ -72,6 +82,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(table(spark, sf_dir, "conversations"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -86,11 +100,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_sentencepiece": op1_sentencepiece,
         "op2_language_id": op2_language_id,
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_near_dup": op4_near_dup,
         "op5_url_filter": op5_url_filter,
         "op6_line_dedup": op6_line_dedup,
+        "op7_chat_format": op7_chat_format,
         "op8_warc": op8_warc,
         "op9_fingerprints": op9_fingerprints,
         "op10_decontamination": op10_decontamination,
@@ -102,6 +118,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_near_dup": near_dup.ORACLE,
         "op5_url_filter": OP5_SQL,
         "op6_line_dedup": line_dedup.ORACLE,
+        "op7_chat_format": chat.ORACLE,
         "op8_warc": warc.ORACLE,
         "op10_decontamination": decontaminate.ORACLE,
     }
