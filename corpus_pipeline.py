@@ -4,19 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetpulse.llm import decontaminate
-from fleetpulse.llm.queries import table
+from fleetpulse.llm import decontaminate, language, line_dedup, near_dup, sentence_piece
+from fleetpulse.llm.queries import TOKENIZER, table
 from fleetpulse.session import materialize
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in a language that the labelled ones teach; those without a letter go."""
+    return language.known_language(docs)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that an earlier line repeats, up to a word; documents of which nothing is left go."""
+    return line_dedup.without_repeated_lines(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest doc_id."""
+    return near_dup.one_of_each(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark doesn't contaminate."""
     return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("decontamination", decontamination)]
+def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, decoded_sha256, same of each document."""
+    return sentence_piece.report(docs, sentence_piece.load(spark, TOKENIZER))
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("line dedup", dedup_lines),
+    ("MinHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("SentencePiece encoding and decoding", tokenization),
+]
 
-# Language prediction, sketches and tokenisation are beyond SQL; tests compare run() with brute force.
+# Language prediction and tokenization are beyond SQL; tests compare run() with brute force.
 ORACLE_SQL = None
 
 
@@ -24,7 +50,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return docs
 
 
