@@ -30,16 +30,17 @@ from fleetpulse.session import materialize
 TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "integer": int, "number": (int, float), "null": type(None)}
 
 
-def canonical(value: Any) -> str:
-    """JSON with sorted keys and without blanks; whole numbers have no fraction."""
+def plain(x: Any) -> Any:
+    """A JSON value in which whole numbers have no fraction."""
+    if isinstance(x, dict):
+        return {k: plain(v) for k, v in x.items()}
+    if isinstance(x, list):
+        return [plain(v) for v in x]
+    return int(x) if isinstance(x, float) and x.is_integer() and abs(x) < 2**53 else x
 
-    def plain(x):
-        if isinstance(x, dict):
-            return {k: plain(v) for k, v in x.items()}
-        if isinstance(x, list):
-            return [plain(v) for v in x]
-        return int(x) if isinstance(x, float) and x.is_integer() and abs(x) < 2**53 else x
 
+def canonical(value: Any) -> str:
+    """JSON with sorted keys and without blanks."""
     return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
@@ -136,7 +137,7 @@ def _written(rows: DataFrame, schemas: dict[str, dict]) -> DataFrame:
                     lines.append(canonical({"content": content, "tool_call_id": call_id}))
                     continue
                 try:
-                    given = json.loads(arguments) if arguments is not None else None
+                    given = plain(json.loads(arguments)) if arguments is not None else None
                 except ValueError:
                     given = None
                 error = "tool: unknown" if name not in schemas else violation(given, schemas[name])

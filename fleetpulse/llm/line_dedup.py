@@ -202,7 +202,10 @@ def without_repeated_lines(documents: DataFrame) -> DataFrame:
     rows = dedup_lines(documents, name)
     new = F.col(f"{name}.text")
     rows = rows.filter((F.col(f"{name}.n_removed") <= 0) | new.rlike(r"[^\x20\x09-\x0D]"))
-    changed = {"text": new} | ({"n_chars": F.length(new).cast(dict(documents.dtypes)["n_chars"])} if "n_chars" in documents.columns else {})
+    changed = {"text": new}
+    if "n_chars" in documents.columns:
+        kind = documents.schema["n_chars"].dataType
+        changed["n_chars"] = F.when(F.col(f"{name}.n_removed") > 0, F.length(new).cast(kind)).otherwise(F.col("n_chars"))
     return rows.withColumns(changed).select(documents.columns)
 
 
