@@ -20,11 +20,18 @@ def selected(
     end: datetime | None = None,
     hosts: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Time range (both ends included) and host selection; None selects everything."""
+    """Time range (both ends included) and host selection; None selects everything.
+
+    A table with the day column ds (as `append_batch` writes it for this time column) opens only
+    the days of the range.
+    """
+    days = "ds" in df.columns
     if start is not None:
         df = df.filter(F.col(time_col) >= F.lit(start))
+        df = df.filter(F.col("ds") >= F.to_date(F.lit(start))) if days else df
     if end is not None:
         df = df.filter(F.col(time_col) <= F.lit(end))
+        df = df.filter(F.col("ds") <= F.to_date(F.lit(end))) if days else df
     if hosts is not None:
         df = df.filter(F.col("host_id").isin(*hosts))
     return df
@@ -106,7 +113,7 @@ def alert_table(alerts: DataFrame, runs: DataFrame, limit: int = 200, **selectio
         .limit(limit)
     )
     latest = (
-        runs.join(F.broadcast(newest.select("alert_id")), "alert_id", "left_semi")
+        runs.join(newest.select("alert_id"), "alert_id", "left_semi")
         .groupBy("alert_id")
         .agg(
             F.max_by(

@@ -5,10 +5,10 @@ from __future__ import annotations
 import logging
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.config import INVESTIGATION, InvestigationConfig
+from fleetpulse.config import INVESTIGATION, METRICS, InvestigationConfig
 from fleetpulse.operators import evidence
 from fleetpulse.schemas import RUN_COLUMNS
 from fleetpulse.session import materialize
@@ -46,19 +46,58 @@ _NOTHING = {
     "deploys": """alert_id string, deploy_count bigint, deploy_id string, git_sha string, author string,
         component string, deployed_at timestamp, minutes_before_alert double""",
 }
+# Columns that an investigation cannot do without; evidence from other tables may be missing.
+_REQUIRED = {
+    "alerts": ("alert_id", "host_id", "service_name", "triggered_at"),
+    "metrics": ("host_id", "event_id", "ts", *METRICS),
+}
+# What a step's record shows of its result.
+_FOUND = {
+    "recent_metrics": ("sample_count", "dominant_metric"),
+    "logs": ("matched_log", "matching_lines"),
+    "deploys": ("deploy_count", "deploy_id", "minutes_before_alert"),
+    "runbook": ("runbook_key",),
+}
+
 
+def check_tables(**tables: DataFrame) -> None:
+    """Raise ValueError if a required table lacks a column."""
+    for name, table in tables.items():
+        missing = [c for c in _REQUIRED[name] if c not in table.columns]
+        if missing:
+            raise ValueError(f"{name} has no column {', '.join(missing)}")
 
-def _attempt(name: str, steps: dict, alerts: DataFrame, *tables: DataFrame, **options) -> DataFrame:
-    """Run one step; a missing or failing one leaves its evidence empty and the rest goes on."""
+
+def _attempt(name: str, steps: dict, errors: dict, alerts: DataFrame, *tables: DataFrame, **options) -> DataFrame:
+    """Run one step; a missing or failing one leaves its evidence empty and its error in `errors`."""
     try:
         return steps[name](alerts, *tables, **options)
     except (KeyError, PySparkException) as error:
         log.warning("evidence step %s not available: %s", name, error)
+        errors[name] = f"{type(error).__name__}: {str(error).splitlines()[0]}"
         if name == "runbook":
             return alerts.selectExpr("*", "CAST(NULL AS STRING) AS runbook_key", "CAST(NULL AS STRING) AS runbook")
         return alerts.sparkSession.createDataFrame([], _NOTHING[name])
 
 
+def _tool_calls(errors: dict[str, str], config: InvestigationConfig) -> Column:
+    """One record per evidence step: id, name, arguments and result (or error) as JSON."""
+    minutes = {"recent_metrics": config.metrics_minutes, "logs": config.logs_minutes, "deploys": config.deploys_minutes}
+    calls = []
+    for place, (name, shown) in enumerate(_FOUND.items(), 1):
+        arguments = [F.col("service_name" if name in ("deploys", "runbook") else "host_id")]
+        if name in minutes:
+            arguments.append(F.lit(minutes[name]).alias("minutes"))
+        result = F.struct(F.lit(errors[name]).alias("error")) if name in errors else F.struct(*shown)
+        calls.append(
+            F.struct(
+                F.concat_ws("-", "alert_id", F.lit(place)).alias("id"), F.lit(name).alias("name"),
+                F.to_json(F.struct(*arguments)).alias("arguments"), F.to_json(result).alias("result"),
+            )
+        )
+    return F.array(*calls)
+
+
 def _choose(values: dict[str, str]) -> str:
     return "CASE dominant_metric " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items()) + " END"
 
@@ -72,20 +111,24 @@ def gather(
     config: InvestigationConfig = INVESTIGATION,
     steps: dict = EVIDENCE,
 ) -> DataFrame:
-    """Alerts with dominant_metric, matched_log, latest deploy and runbook columns.
+    """Alerts with dominant_metric, matched_log, latest deploy, runbook and tool_calls columns.
 
     All evidence is keyed by alert_id, so the joins share one partitioning. The summary of the
-    recent metrics is needed twice and costs the largest join, so it is stored.
+    recent metrics is needed twice and costs the largest join, so it is stored. Alerts or metrics
+    with a wrong schema raise; a step that fails or is missing is recorded and the others go on.
     """
-    summary = materialize(_attempt("recent_metrics", steps, alerts, metrics, config=config), "summary")
+    check_tables(alerts=alerts, metrics=metrics)
+    errors: dict[str, str] = {}
+    summary = materialize(_attempt("recent_metrics", steps, errors, alerts, metrics, config=config), "summary")
     judged = alerts.join(summary.select("alert_id", "sample_count", "dominant_metric"), "alert_id", "left")
     judged = judged.withColumn(
         "dominant_metric", F.coalesce("dominant_metric", F.lit(evidence.FALLBACK_METRIC))
     )
-    lines = _attempt("logs", steps, judged, logs, config=config)
-    latest = _attempt("deploys", steps, alerts, deploys, config=config)
+    lines = _attempt("logs", steps, errors, judged, logs, config=config)
+    latest = _attempt("deploys", steps, errors, alerts, deploys, config=config)
     found = judged.join(lines, "alert_id", "left").join(latest, "alert_id", "left")
-    return _attempt("runbook", steps, found, runbooks)
+    with_runbook = _attempt("runbook", steps, errors, found, runbooks)
+    return with_runbook.withColumn("tool_calls", _tool_calls(errors, config))
 
 
 def diagnose(gathered: DataFrame) -> DataFrame:
@@ -105,7 +148,8 @@ def diagnose(gathered: DataFrame) -> DataFrame:
     return staged.selectExpr(
         "*",
         """CASE branch
-            WHEN 'deploy' THEN concat('Deploy ', deploy_id, ' of ', component, ' by ', author, ', ',
+            WHEN 'deploy' THEN concat('Deploy ', coalesce(deploy_id, 'unknown'), ' of ',
+                coalesce(component, 'an unknown component'), ' by ', coalesce(author, 'unknown'), ', ',
                 CAST(CAST(round(minutes_before_alert) AS INT) AS STRING),
                 ' min before the alert, probably led to ', cause, '.')
             WHEN 'log' THEN concat(upper(left(cause, 1)), lower(substr(cause, 2)),
@@ -113,7 +157,8 @@ def diagnose(gathered: DataFrame) -> DataFrame:
             ELSE concat('Possibly ', cause, '; no deploy or log line confirms it.')
             END AS root_cause""",
         """CASE WHEN branch = 'deploy'
-            THEN concat('Undo deploy ', deploy_id, ' of ', component, ' and see whether ',
+            THEN concat('Undo deploy ', coalesce(deploy_id, 'unknown'), ' of ',
+                coalesce(component, 'an unknown component'), ' and see whether ',
                 dominant_metric, ' recovers.')
             ELSE concat_ws(' First runbook step: ', remedy, first_step) END AS proposed_fix""",
         f"CASE branch {levels} END AS confidence",
@@ -130,7 +175,7 @@ NO_DIAGNOSIS = {
     "confidence": 0.0,
     "severity_assessment": "medium",
 }
-TOOL_NAMES = tuple(EVIDENCE)
+TOOL_CALLS = "array<struct<id:string,name:string,arguments:string,result:string>>"
 
 
 def run_records(
@@ -138,15 +183,18 @@ def run_records(
 ) -> DataFrame:
     """One record per investigation run.
 
-    runs has run_id, alert_id, started_at, completed_at and error_message. A run with an error
-    is failed and carries no result; one without a diagnosis gets the default record.
+    runs has run_id, alert_id, started_at, completed_at and error_message, and may have
+    `concluded`. A run with an error is failed and carries no result; one that did not conclude,
+    or has no diagnosis, gets the default record. tool_calls holds what each evidence step was
+    asked and found, or its error.
     """
     result = diagnoses.select(
-        "alert_id", *[F.col(c).alias(f"_{c}") for c in NO_DIAGNOSIS]
+        "alert_id", F.col("tool_calls").alias("_calls"), *[F.col(c).alias(f"_{c}") for c in NO_DIAGNOSIS]
     )
-    tools = ", ".join(f"'{t}'" for t in TOOL_NAMES)
+    concluded = F.col("concluded") if "concluded" in runs.columns else F.lit(True)
+    joined = runs.withColumn("_concluded", concluded).join(result, "alert_id", "left")
     return (
-        runs.join(result, "alert_id", "left")
+        joined.withColumns({f"_{c}": F.when(F.col("_concluded"), F.col(f"_{c}")) for c in NO_DIAGNOSIS})
         .selectExpr(
             "*",
             "error_message IS NULL AS _ok",
@@ -155,13 +203,13 @@ def run_records(
         )
         .selectExpr(
             "*",
-            # one turn per evidence step and one for the diagnosis
-            f"CASE WHEN _ok THEN {len(TOOL_NAMES) + 1} END AS turn_count",
-            f"CASE WHEN _ok THEN array({tools}) ELSE CAST(array() AS ARRAY<STRING>) END AS tool_calls",
+            f"CASE WHEN _ok AND _calls IS NOT NULL THEN _calls ELSE CAST(array() AS {TOOL_CALLS}) END AS tool_calls",
             *[
                 f"CASE WHEN _ok THEN coalesce(_{c}, {repr(v) if isinstance(v, str) else f'{v}D'}) END AS {c}"
                 for c, v in NO_DIAGNOSIS.items()
             ],
+            # one turn per evidence step and one for the diagnosis
+            "CASE WHEN _ok THEN coalesce(size(_calls), 0) + 1 END AS turn_count",
             "CASE WHEN _ok THEN 'completed' ELSE 'failed' END AS status",
             "CAST((unix_micros(completed_at) - unix_micros(started_at)) div 1000 AS INT) AS latency_ms",
             "completed_at AS created_at",

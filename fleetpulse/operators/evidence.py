@@ -1,13 +1,14 @@
 """Evidence around an alert: recent metrics, logs, deploys and runbooks.
 
-All lookups are equi-joins on a key and a bucket of time or position, with the exact bounds
-as a residual predicate. The cooldown allows a host at most two alerts per minute, so a
-metrics or log row meets a bounded number of alerts however busy its host is.
+All lookups are equi-joins on a key and a bucket of time, with the exact bounds as a residual
+predicate. The cooldown allows a host at most two alerts per minute, so a metrics or log row
+meets a bounded number of alerts however busy its host is. Stored tables are first cut to the
+time that the alerts can see, by day folder where they have any.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetpulse.config import EPSILON, INVESTIGATION, METRICS, InvestigationConfig
@@ -21,6 +22,8 @@ LOG_KEYWORDS = {
 }
 # Fixed value: the metric to assume when there is nothing to compare.
 FALLBACK_METRIC = "latency_ms"
+# Width of the time buckets in which alerts meet metrics; narrow, so that a busy host is split.
+METRICS_BUCKET_SECONDS = 15
 
 
 def clamped_minutes(minutes: int | str, cap: int) -> Column:
@@ -29,6 +32,26 @@ def clamped_minutes(minutes: int | str, cap: int) -> Column:
     return F.least(F.greatest(value.cast("int"), F.lit(1)), F.lit(cap))
 
 
+def time_span(alerts: DataFrame) -> tuple[int, int] | None:
+    """Microseconds of the first and the last alert; None without alerts. One small aggregate."""
+    span = alerts.agg(F.min(F.unix_micros("triggered_at")).alias("lo"), F.max(F.unix_micros("triggered_at")).alias("hi")).first()
+    return None if span is None or span["lo"] is None else (span["lo"], span["hi"])
+
+
+def within_reach(table: DataFrame, time_col: str, alerts: DataFrame, minutes: int) -> DataFrame:
+    """Rows of a table not older than `minutes` before the first alert and not newer than the last.
+
+    The bounds are literals, so they reach the scan; a table with the day column ds opens only
+    the days in between.
+    """
+    span = time_span(alerts)
+    if span is None:
+        return table.filter("false")
+    lo, hi = (F.timestamp_micros(F.lit(t)) for t in (span[0] - minutes * 60_000_000, span[1]))
+    near = table.filter(F.col(time_col).between(lo, hi))
+    return near.filter(F.col("ds").between(F.to_date(lo), F.to_date(hi))) if "ds" in table.columns else near
+
+
 def first_largest(values: dict[str, Column], floor: float | None = None) -> Column:
     """Name of the largest value; the first one wins ties and nulls never win."""
     best_name, best = F.lit(FALLBACK_METRIC), F.lit(-1.0 if floor is None else floor)
@@ -74,34 +97,35 @@ def recent_metrics(
     columns: tuple[str, ...] = METRICS,
     config: InvestigationConfig = INVESTIGATION,
 ) -> DataFrame:
-    """The host's rows up to the alert's own within the lookback, newest `metrics_limit` at most.
+    """The host's rows within the lookback up to the alert's time, newest `metrics_limit` at most.
 
-    A row's position n bounds the newest rows without ranking: they are the rows just before
-    the alert's event. Position buckets of that size keep the join even on busy hosts.
-    Adds recency (1 = newest).
+    Alerts need alert_id, host_id and triggered_at only, and metrics are the stored table. Rows
+    of one time are taken in order of event_id. Adds recency (1 = newest); ranking keeps only
+    the newest rows of each alert before the shuffle.
     """
-    size = config.metrics_limit
     lookback = clamped_minutes(config.metrics_minutes if minutes is None else minutes, config.metrics_minutes_cap)
-    left = alerts.select(
-        "alert_id",
-        "host_id",
-        F.col("n").alias("_alert_n"),
-        "triggered_at",
-        lookback.alias("_minutes"),
+    width = METRICS_BUCKET_SECONDS
+    left = alerts.select("alert_id", "host_id", "triggered_at", lookback.alias("_minutes")).withColumn(
+        "_bucket",
         F.explode(
-            F.expr(f"sequence(greatest(n - {size}, 0) div {size}, (n - 1) div {size})")
-        ).alias("_bucket"),
+            F.expr(
+                f"""sequence(floor((unix_seconds(triggered_at) - _minutes * 60) / {width}),
+                    floor(unix_seconds(triggered_at) / {width}))"""
+            )
+        ),
     )
-    right = metrics.select("host_id", "n", "ts", *columns, F.expr(f"(n - 1) div {size}").alias("_bucket"))
+    right = within_reach(metrics, "ts", alerts, config.metrics_minutes_cap).select(
+        "host_id", "event_id", "ts", *columns, F.expr(f"floor(unix_seconds(ts) / {width})").alias("_bucket")
+    )
+    near = left.join(right, ["host_id", "_bucket"]).filter(
+        "ts <= triggered_at AND unix_micros(ts) >= unix_micros(triggered_at) - _minutes * 60000000L"
+    )
+    newest = Window.partitionBy("alert_id").orderBy(F.desc("ts"), F.desc("event_id"))
     return (
-        left.join(right, ["host_id", "_bucket"])
-        .filter(
-            f"""n <= _alert_n AND n > _alert_n - {size}
-            AND unix_micros(ts) >= unix_micros(triggered_at) - _minutes * 60000000L"""
-        )
+        near.withColumn("recency", F.row_number().over(newest))
+        .filter(F.col("recency") <= config.metrics_limit)
         .selectExpr(
-            "alert_id", "host_id", "_minutes AS minutes", "ts", *columns,
-            "_alert_n - n + 1 AS recency",
+            "alert_id", "host_id", "_minutes AS minutes", "ts", *columns, "CAST(recency AS BIGINT) AS recency"
         )
     )
 
@@ -175,7 +199,7 @@ def _near_logs(
             )
         ),
     )
-    right = logs.withColumnRenamed("ts", "log_ts").withColumn(
+    right = within_reach(logs, "ts", alerts, config.logs_minutes_cap).withColumnRenamed("ts", "log_ts").withColumn(
         "_bucket", F.expr(f"unix_seconds(log_ts) div {width}")
     )
     return left.join(right, ["host_id", "service_name", "_bucket", *extra_keys]).filter(
@@ -232,9 +256,10 @@ def runbook_lookup(alerts: DataFrame, runbooks: DataFrame) -> DataFrame:
     )
 
 
-# First line of the runbook that is a step 1, without surrounding blanks.
+# First line of the runbook that is a step 1, without surrounding white space.
 RUNBOOK_FIRST_STEP = (
-    r"try_element_at(filter(transform(split(runbook, '\n'), l -> trim(l)), l -> l LIKE '1.%'), 1)"
+    r"try_element_at(filter(transform(split(runbook, r'\r\n|\r|\n'), "
+    r"l -> regexp_replace(l, r'^\s+|\s+$', '')), l -> l LIKE '1.%'), 1)"
 )
 
 
@@ -260,7 +285,7 @@ def deploy_correlation(
         "alert_id", "service_name", "triggered_at", lookback.alias("_minutes"),
         F.expr("unix_seconds(triggered_at) div 60").alias("_minute"),
     )
-    right = deploys.withColumn(
+    right = within_reach(deploys, "deployed_at", alerts, config.deploys_minutes_cap).withColumn(
         "_minute",
         F.explode(
             F.expr(

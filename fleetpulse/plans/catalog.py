@@ -7,6 +7,7 @@ column), so that SQL can check them; iforest_* and the flagship use real forest
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,9 +70,21 @@ def _alerts(spark: SparkSession, sf: str) -> DataFrame:
     return detection.detect(_telemetry(spark, sf), STAND_IN)[1]
 
 
+def _stored_metrics(metrics: DataFrame) -> DataFrame:
+    """The metrics table as it is stored: its own columns only, partitioned by day."""
+    path = scratch_path(metrics.sparkSession, "metrics_table")
+    tables.append_batch(tables.metrics_rows(metrics), path, 0, date_col="ts")
+    return metrics.sparkSession.read.parquet(path).drop("batch")
+
+
 def _stored_alerts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     metrics, alerts = detection.detect(_telemetry(spark, sf), STAND_IN)
-    return metrics, materialize(alerts, "alerts")
+    return _stored_metrics(metrics), materialize(alerts, "alerts")
+
+
+def _as_messages(alerts: DataFrame) -> DataFrame:
+    """Alerts with no more than the message contract carries."""
+    return alerts.drop("n", "event_id")
 
 
 def _runs(alerts: DataFrame) -> DataFrame:
@@ -90,6 +103,7 @@ def _runs(alerts: DataFrame) -> DataFrame:
             timestampadd(SECOND, 2 + 60 * attempt, triggered_at)) AS completed_at""",
         """CASE WHEN event_id % 13 = 0 AND attempt = 0 THEN 'evidence store not reachable' END
             AS error_message""",
+        "event_id % 17 <> 0 AS concluded",
     )
 
 
@@ -99,13 +113,13 @@ def _side_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Da
 
 def _diagnosed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     metrics, alerts = _stored_alerts(spark, sf)
-    return alerts, investigate(alerts, metrics, *_side_tables(spark, sf), SHORT)
+    return alerts, investigate(_as_messages(alerts), metrics, *_side_tables(spark, sf), SHORT)
 
 
 def _recorded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(run records, alerts with status); a few investigations end without a diagnosis."""
+    """(run records, alerts with status); a few runs end without a diagnosis."""
     alerts, diagnosed = _diagnosed(spark, sf)
-    runs, with_status = record(alerts, _runs(alerts), diagnosed.filter("event_id % 17 <> 0"))
+    runs, with_status = record(alerts, _runs(alerts), diagnosed)
     return materialize(runs, "diagnoses"), with_status
 
 
@@ -170,10 +184,7 @@ def alert_encode(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def metrics_table(spark: SparkSession, sf: str) -> DataFrame:
-    path = scratch_path(spark, "metrics_table")
-    tables.append_batch(tables.metrics_rows(_judged(spark, sf)), path, 0, date_col="ts")
-    stored = spark.read.parquet(path).select(*detection_columns())
-    return rounded(stored)
+    return rounded(_stored_metrics(_judged(spark, sf)).select(*detection_columns()))
 
 
 def detection_columns() -> list[str]:
@@ -297,12 +308,36 @@ def training_set_sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def iforest_models(spark: SparkSession, sf: str) -> DataFrame:
-    return model.fit_models(features.add_features(_telemetry(spark, sf)))
+    """Each forest's size, and whether its trees are whole: leaves hold the subsample, depth has its limit."""
+    models = model.fit_models(features.add_features(_telemetry(spark, sf)))
+    nodes = models.selectExpr(
+        "host_id", "model_version", "n_train", "subsample", "n_trees", "posexplode(arrays_zip(feature, size)) AS (at, node)"
+    ).selectExpr("*", "at % (pow(2, ceil(log2(subsample)) + 1) - 1) AS place")
+    return nodes.groupBy("host_id", "model_version", "n_train", "subsample", "n_trees").agg(
+        F.sum(F.expr("CASE WHEN node.feature < 0 THEN node.size ELSE 0 END")).alias("leaf_rows"),
+        F.count_if(F.expr("place = 0 AND node.size = subsample")).alias("full_roots"),
+        F.max(F.expr("CASE WHEN node.size > 0 THEN floor(log2(place + 1)) <= ceil(log2(subsample)) END")).alias("depth_kept"),
+    )
 
 
 def iforest_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores per forest: how many, all in range, and whether a host's planted far rows mostly rank above the median."""
     scored = model.score_events(features.add_features(_telemetry(spark, sf)))
-    return scored.select("event_id", "host_id", "n", "model_version", "raw_score")
+    scored = materialize(scored.select("host_id", "n", "model_version", "raw_score", "injected_anomaly_type"), "scores")
+    middle = scored.groupBy("host_id", "model_version").agg(F.median("raw_score").alias("middle"))
+    middle = middle.withColumnsRenamed({"host_id": "h", "model_version": "v"})
+    judged = scored.join(middle, F.expr("host_id = h AND model_version <=> v"))
+    far = "injected_anomaly_type = 'spike' AND (n - 1) % 400 = 130 AND raw_score IS NOT NULL"
+    per_forest = judged.groupBy("host_id", F.coalesce("model_version", F.lit(0)).cast("long").alias("model_version")).agg(
+        F.count("*").alias("events"),
+        F.count_if(F.expr("raw_score > 0 AND raw_score <= 1")).alias("in_range"),
+        F.count_if(F.expr(far)).alias("far_rows"),
+        F.count_if(F.expr(f"{far} AND raw_score > middle")).alias("above"),
+    )
+    return per_forest.selectExpr(
+        "host_id", "model_version", "events", "in_range", "far_rows",
+        "sum(above) OVER (PARTITION BY host_id) >= 0.75 * sum(far_rows) OVER (PARTITION BY host_id) AS far_rows_stand_out",
+    )
 
 
 def label_passthrough(spark: SparkSession, sf: str) -> DataFrame:
@@ -420,7 +455,7 @@ def dominant_metric_z(spark: SparkSession, sf: str) -> DataFrame:
 
 def recent_metrics_lookback(spark: SparkSession, sf: str) -> DataFrame:
     metrics, alerts = _stored_alerts(spark, sf)
-    rows = evidence.recent_metrics(alerts, metrics)
+    rows = evidence.recent_metrics(_as_messages(alerts), metrics)
     return rounded(
         rows.selectExpr(
             "alert_id", "recency", "ts", *METRICS, "count(*) OVER (PARTITION BY alert_id) AS sample_count"
@@ -430,11 +465,11 @@ def recent_metrics_lookback(spark: SparkSession, sf: str) -> DataFrame:
 
 def dominant_metric_ratio(spark: SparkSession, sf: str) -> DataFrame:
     metrics, alerts = _stored_alerts(spark, sf)
-    return rounded(evidence.recent_metrics_summary(alerts, metrics))
+    return rounded(evidence.recent_metrics_summary(_as_messages(alerts), metrics))
 
 
 def log_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    return evidence.log_evidence(_alerts(spark, sf), testdata.logs(spark, sf), config=SHORT)
+    return evidence.log_evidence(_stored_alerts(spark, sf)[1], testdata.logs(spark, sf), config=SHORT)
 
 
 def log_match(spark: SparkSession, sf: str) -> DataFrame:
@@ -454,7 +489,7 @@ def runbook_first_step(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def deploy_correlation(spark: SparkSession, sf: str) -> DataFrame:
-    return evidence.deploy_correlation(_alerts(spark, sf), testdata.deploys(spark, sf), config=SHORT)
+    return evidence.deploy_correlation(_stored_alerts(spark, sf)[1], testdata.deploys(spark, sf), config=SHORT)
 
 
 DIAGNOSIS_COLUMNS = [
@@ -522,6 +557,18 @@ def dash_score_vs_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(dash.score_and_threshold(_judged(spark, sf)))
 
 
+CHOSEN = {"start": datetime(2024, 1, 1, 0, 5), "end": datetime(2024, 1, 1, 0, 40), "hosts": ("host-1", "host-4")}
+
+
+def dash_selected_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """The metric panels with a time range and hosts, on the stored table."""
+    return rounded(dash.all_metrics(_stored_metrics(_judged(spark, sf)), **CHOSEN))
+
+
+def dash_selected_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(dash.score_and_threshold(_stored_metrics(_judged(spark, sf)), **CHOSEN))
+
+
 def dash_active_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return dash.active_alerts(_stored_alerts(spark, sf)[1])
 
@@ -557,12 +604,12 @@ def check_latest_diagnoses(spark: SparkSession, sf: str) -> DataFrame:
 FILES_PER_SLICE = 4
 
 
-def _message_files(spark: SparkSession, telemetry: DataFrame, slices: int = 3) -> str:
-    """Telemetry messages as files that arrive slice by slice in time order."""
+def _message_files(spark: SparkSession, telemetry: DataFrame, slices: int = 3, late: bool = False) -> str:
+    """Telemetry messages as files that arrive slice by slice in time order; with `late`, the first slice last."""
     path = scratch_path(spark, "messages")
     bounds = telemetry.selectExpr("unix_seconds(min(ts)) AS lo", "unix_seconds(max(ts)) AS hi").first()
     width = (bounds.hi - bounds.lo) // slices + 1
-    for i in range(slices):
+    for i in [*range(1, slices), 0] if late else range(slices):
         part = telemetry.filter(
             (F.unix_seconds("ts") >= bounds.lo + i * width) & (F.unix_seconds("ts") < bounds.lo + (i + 1) * width)
         )
@@ -570,10 +617,10 @@ def _message_files(spark: SparkSession, telemetry: DataFrame, slices: int = 3) -
     return path
 
 
-def _message_stream(spark: SparkSession, sf: str, telemetry: DataFrame | None = None) -> DataFrame:
+def _message_stream(spark: SparkSession, sf: str, telemetry: DataFrame | None = None, late: bool = False) -> DataFrame:
     source = _telemetry(spark, sf) if telemetry is None else telemetry
     return messages.file_stream(
-        spark, _message_files(spark, source), max_files_per_trigger=FILES_PER_SLICE
+        spark, _message_files(spark, source, late=late), max_files_per_trigger=FILES_PER_SLICE
     )
 
 
@@ -624,14 +671,18 @@ def stream_batch_parity(spark: SparkSession, sf: str) -> DataFrame:
     """Rows where streaming and batch detection with forest scores disagree, per host."""
     out = _detected_stream(spark, sf, None)
     streamed = stream_detection.stored(spark, f"{out}/metrics")
-    batch = detection.score_with_forest(_telemetry(spark, sf)).withColumn(
-        "event_id", F.col("event_id").cast("string")
+    batch, alerts = detection.detect(_telemetry(spark, sf))
+    sent = alerts.select("event_id").distinct().withColumn("published", F.lit(True))
+    batch = batch.join(sent, "event_id", "left").withColumns(
+        {"published": F.coalesce("published", F.lit(False)), "event_id": F.col("event_id").cast("string")}
     )
     close = [
         f"NOT coalesce(abs(s.{c} - b.{c}) < 1e-6, s.{c} IS NULL AND b.{c} IS NULL)"
-        for c in ("raw_score", "threshold", "ewma_mean", "ewma_std")
+        for c in ("raw_score", "threshold", "ewma_mean", "ewma_std", "predicted_breach_minutes")
     ]
-    same = [f"NOT (s.{c} <=> b.{c})" for c in ("n", "is_anomaly", "severity", "model_version")]
+    same = [f"NOT (s.{c} <=> b.{c})" for c in ("n", "is_anomaly", "severity", "model_version", "published")]
+    features_apart = "NOT coalesce(forall(zip_with(s.features, b.features, (x, y) -> abs(x - y)), d -> d < 1e-6), false)"
+    same.append(features_apart)
     joined = streamed.alias("s").join(batch.alias("b"), F.expr("s.event_id = b.event_id"), "full")
     return joined.groupBy(F.expr("coalesce(s.host_id, b.host_id)").alias("host_id")).agg(
         F.count("*").alias("events"),
@@ -643,7 +694,7 @@ def stream_batch_parity(spark: SparkSession, sf: str) -> DataFrame:
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     telemetry = _telemetry(spark, sf)
     repeated = telemetry.unionByName(telemetry.filter("event_id % 3 = 0"))
-    decoded = messages.decode_telemetry(_message_stream(spark, sf, repeated))
+    decoded = messages.decode_telemetry(_message_stream(spark, sf, repeated, late=True))
     out = scratch_path(spark, "stream_dedup")
     unique = stream_detection.deduplicated(decoded)
     query = (
@@ -659,7 +710,7 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_dash_15s(spark: SparkSession, sf: str) -> DataFrame:
     out = scratch_path(spark, "stream_dash")
-    telemetry = messages.decode_telemetry(_message_stream(spark, sf))
+    telemetry = messages.decode_telemetry(_message_stream(spark, sf, late=True))
     stream_dash.run_dashboard(
         telemetry, out, scratch_path(spark, "checkpoint"), trigger={"availableNow": True}
     ).awaitTermination()
@@ -669,7 +720,7 @@ def stream_dash_15s(spark: SparkSession, sf: str) -> DataFrame:
 def stream_investigate(spark: SparkSession, sf: str) -> DataFrame:
     metrics, alerts = _stored_alerts(spark, sf)
     path = scratch_path(spark, "alert_messages")
-    messages.encode(alerts).repartition(FILES_PER_SLICE).write.parquet(path)
+    messages.encode(_as_messages(alerts)).repartition(FILES_PER_SLICE).write.parquet(path)
     stream = messages.file_stream(spark, path, max_files_per_trigger=FILES_PER_SLICE // 2)
     out = scratch_path(spark, "stream_investigate")
     run_investigation(
@@ -708,7 +759,7 @@ _QUERIES: list[Query] = [
     early_warnings, alert_log, alert_lifecycle, dominant_metric_z, recent_metrics_lookback,
     dominant_metric_ratio, log_evidence, log_match, runbook_lookup, runbook_first_step,
     deploy_correlation, diagnosis, diagnosis_confidence, diagnosis_run, alert_brief, dash_hosts,
-    dash_all_metrics, dash_score, dash_threshold, dash_score_vs_threshold, dash_active_alerts,
+    dash_all_metrics, dash_selected_metrics, dash_selected_scores, dash_score, dash_threshold, dash_score_vs_threshold, dash_active_alerts,
     dash_confidence, dash_alert_table, check_metrics_count, check_latest_alerts,
     check_latest_diagnoses, stream_detect, stream_alerts, stream_batch_parity, stream_dedup,
     stream_dash_15s, stream_investigate,

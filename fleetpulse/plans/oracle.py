@@ -147,11 +147,11 @@ dominant AS (
 
 SIDE_TABLES = """
 logs AS (
-  SELECT host_id, service_name, ts, concat(host_id, ' ', CASE event_type
-    WHEN 'error' THEN 'upstream answered 502' WHEN 'purchase' THEN 'slow query on replica'
-    WHEN 'click' THEN 'cpu throttled by limit' WHEN 'signup' THEN 'possible memory leak'
+  SELECT host_id, service_name, ts, concat(host_id, ' ', CASE WHEN event_id % 11 <> 0 THEN 'request served'
+    WHEN event_type = 'error' THEN 'upstream answered 502' WHEN event_type = 'purchase' THEN 'slow query on replica'
+    WHEN event_type = 'click' THEN 'cpu throttled by limit' WHEN event_type = 'signup' THEN 'possible memory leak'
     ELSE 'nightly backup finished' END) AS line
-  FROM tel WHERE event_id % 11 = 0),
+  FROM tel),
 deploys AS (
   SELECT concat('dep-', cast(event_id AS varchar)) AS deploy_id,
     left(md5(cast(event_id AS varchar)), 7) AS git_sha,
@@ -164,8 +164,9 @@ runbooks(service_name, body, step) AS (VALUES
     || '2. Look at cache hit rates.', '1. Compare edge errors with the services behind it.'),
   ('core', '# Core' || chr(10) || '  1. Look for exhausted connection pools.' || chr(10)
     || '2. List recent changes.', '1. Look for exhausted connection pools.'),
-  ('store', '# Store' || chr(10) || 'Keep the primary running.' || chr(10)
-    || '1. Find long transactions and lock waits.', '1. Find long transactions and lock waits.'),
+  ('store', '# Store' || chr(13) || chr(10) || 'Keep the primary running.' || chr(13) || chr(10) || chr(9)
+    || '1. Find long transactions and lock waits.' || chr(13) || chr(10) || '2. Fail over.',
+    '1. Find long transactions and lock waits.'),
   ('default', '# Any service' || chr(10) || '1. List recent changes and config edits.' || chr(10)
     || '2. Call the owning team.', '1. List recent changes and config edits.'))
 """
@@ -334,7 +335,18 @@ def oracle_sql() -> dict[str, str]:
     trained = """
       FROM num a JOIN ends e ON a.host_id = e.host_id
         JOIN versions v ON v.p <= e.total AND a.n <= v.p AND a.n > v.p - 1000"""
+    chosen = """host_id IN ('host-1', 'host-4') AND ts BETWEEN timestamp '2024-01-01 00:05:00'
+        AND timestamp '2024-01-01 00:40:00'"""
     return {
+        "dash_selected_metrics": _with("events", f"""
+          SELECT time_bucket(interval '15 seconds', ts) AS time, host_id, unnest(['cpu_pct', 'mem_pct', 'latency_ms',
+            'error_rate_pct']) AS metric, unnest([{', '.join(f'round(avg({m}) + 1e-9, 6)' for m in METRICS)}]) AS value
+          FROM tel WHERE {chosen} GROUP BY 1, 2"""),
+        "dash_selected_scores": _with("judged", f"""
+          SELECT * FROM (SELECT time_bucket(interval '15 seconds', ts) AS time,
+            host_id || ' ' || unnest(['score', 'threshold']) AS metric,
+            unnest([round(avg(raw_score) + 1e-9, 6), round(avg(threshold) + 1e-9, 6)]) AS value
+          FROM metrics WHERE {chosen} GROUP BY time_bucket(interval '15 seconds', ts), host_id) WHERE value IS NOT NULL"""),
         # sources and tables
         "telemetry_decode": _with("events", f""",{_BROKEN}
           SELECT cast(event_id AS varchar) AS event_id, host_id, service_name, ts, {_METRIC_VALUES},
@@ -404,6 +416,18 @@ def oracle_sql() -> dict[str, str]:
         "model_version": _with("events", """
           SELECT event_id, n, (SELECT max(v) FROM generate_series(1, 1000) g(v)
             WHERE num.n > 120 AND 120 + 500 * (v - 1) <= num.n) AS model_version FROM num"""),
+        "iforest_models": _with("events", f""",
+          ends AS (SELECT host_id, max(n) AS total FROM num GROUP BY host_id),
+          versions AS (SELECT v, 120 + 500 * (v - 1) AS p FROM generate_series(1, 1000) g(v)),
+          sets AS (SELECT a.host_id, cast(v.v AS int) AS model_version, cast(count(*) AS int) AS n_train {trained} GROUP BY ALL)
+          SELECT *, least(n_train, 256) AS subsample, 100 AS n_trees, least(n_train, 256) * 100 AS leaf_rows,
+            100 AS full_roots, true AS depth_kept FROM sets"""),
+        "iforest_scores": _with("events", """,
+          v AS (SELECT *, CASE WHEN n > 120 THEN 1 + (n - 120) // 500 ELSE 0 END AS model_version FROM num)
+          SELECT host_id, model_version, count(*) AS events, count(*) FILTER (n > 120) AS in_range,
+            count(*) FILTER (n > 120 AND injected_anomaly_type = 'spike' AND (n - 1) % 400 = 130) AS far_rows,
+            true AS far_rows_stand_out
+          FROM v GROUP BY ALL"""),
         "training_set_sizes": _with("events", f""",
           ends AS (SELECT host_id, max(n) AS total FROM num GROUP BY host_id),
           versions AS (SELECT v, 120 + 500 * (v - 1) AS p FROM generate_series(1, 1000) g(v))

@@ -19,7 +19,7 @@ m AS (
     CASE WHEN h % 2 = 1 AND ph BETWEEN 140 AND 179 THEN 1.0e0 + 1.5e0 * (ph - 139) / 40.0e0
          ELSE 1.0e0 END AS ramp
   FROM o)
-SELECT event_id, concat('host-', cast(h AS string)) AS host_id,
+SELECT event_id, event_type, concat('host-', cast(h AS string)) AS host_id,
   CASE WHEN h < 2 THEN 'edge' WHEN h < 4 THEN 'core' WHEN h = 4 THEN 'store' ELSE 'cache' END
     AS service_name,
   timestampadd(SECOND, tick * 3, timestamp'2024-01-01 00:00:00') AS ts,
@@ -35,7 +35,7 @@ FROM m
 RUNBOOKS = {
     "edge": "# Edge\n1. Compare edge errors with the services behind it.\n2. Look at cache hit rates.",
     "core": "# Core\n  1. Look for exhausted connection pools.\n2. List recent changes.",
-    "store": "# Store\nKeep the primary running.\n1. Find long transactions and lock waits.",
+    "store": "# Store\r\nKeep the primary running.\r\n\t1. Find long transactions and lock waits.\r\n2. Fail over.",
     "default": "# Any service\n1. List recent changes and config edits.\n2. Call the owning team.",
 }
 
@@ -49,11 +49,11 @@ def telemetry_from(events_df: DataFrame) -> DataFrame:
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telemetry_from(events(spark, sf_dir))
+    return telemetry_from(events(spark, sf_dir)).drop("event_type")
 
 
 def _with_event_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telemetry(spark, sf_dir).join(events(spark, sf_dir).select("event_id", "event_type"), "event_id")
+    return telemetry_from(events(spark, sf_dir))
 
 
 def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +61,10 @@ def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line for every event; most of them say nothing that a diagnosis looks for."""
     message = (
-        F.when(F.col("event_type") == "error", "upstream answered 502")
+        F.when(F.col("event_id") % 11 != 0, "request served")
+        .when(F.col("event_type") == "error", "upstream answered 502")
         .when(F.col("event_type") == "purchase", "slow query on replica")
         .when(F.col("event_type") == "click", "cpu throttled by limit")
         .when(F.col("event_type") == "signup", "possible memory leak")
@@ -70,7 +72,6 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return (
         _with_event_type(spark, sf_dir)
-        .filter(F.col("event_id") % 11 == 0)
         .select("host_id", "service_name", "ts", F.concat_ws(" ", "host_id", message).alias("line"))
     )
 

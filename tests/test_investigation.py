@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ def alerts_of(spark, *rows):
 
 
 def metrics_of(spark, rows):
-    return spark.createDataFrame(rows, "host_id string, n bigint, ts timestamp, " + ", ".join(f"{m} double" for m in METRICS))
+    return spark.createDataFrame(rows, "host_id string, event_id bigint, ts timestamp, " + ", ".join(f"{m} double" for m in METRICS))
 
 
 def test_dominant_metric_by_zscore(spark):
@@ -127,15 +128,19 @@ def test_diagnosis_branches_and_runs(spark):
             ("d", "cpu_pct", 2, "dep-1", "api", "ann", 3.4, "line", "1. Look."),
             ("l", "mem_pct", None, None, None, None, None, "h1 oom", "1. Look."),
             ("n", "latency_ms", None, None, None, None, None, None, "no steps"),
+            ("u", "cpu_pct", 1, "dep-2", None, None, 3.4, None, None),
         ],
         "alert_id string, dominant_metric string, deploy_count bigint, deploy_id string, component string, "
         "author string, minutes_before_alert double, matched_log string, runbook string",
     )
+    calls = "array_repeat(named_struct('id', '1', 'name', 'logs', 'arguments', '{}', 'result', '{}'), 4)"
+    gathered = gathered.withColumn("tool_calls", F.expr(calls))
     got = {r.alert_id: r for r in diagnosis.diagnose(gathered).collect()}
     assert [(got[k].branch, got[k].confidence, got[k].severity_assessment) for k in "dln"] == [
         ("deploy", 0.90, "high"), ("log", 0.78, "high"), ("none", 0.63, "medium")
     ]
     assert "dep-1" in got["d"].root_cause and "3 min" in got["d"].root_cause
+    assert "dep-2 of an unknown component by unknown" in got["u"].root_cause
     assert got["l"].root_cause == "Memory filling up, as this log line shows: h1 oom"
     assert got["l"].proposed_fix.endswith("First runbook step: 1. Look.")
     assert "First runbook step" not in got["n"].proposed_fix
@@ -150,6 +155,7 @@ def test_diagnosis_branches_and_runs(spark):
     records = {r.run_id: r for r in diagnosis.run_records(runs, diagnosis.diagnose(gathered)).collect()}
     assert records["r1"].latency_ms == 1234 and records["r1"].turn_count == 5
     assert records["r1"].status == "completed" and len(records["r1"].tool_calls) == 4
+    assert records["r2"].turn_count == 1 and records["r2"].tool_calls == []
     assert records["r2"].confidence == 0.0 and "without a diagnosis" in records["r2"].root_cause
     failed = records["r3"]
     assert (failed.status, failed.error_message, failed.root_cause, failed.turn_count) == ("failed", "store down", None, None)
@@ -212,5 +218,45 @@ def test_a_failing_evidence_step_leaves_the_others(spark):
     gathered = diagnosis.gather(alerts, metrics, logs, broken, broken)
     got = diagnosis.diagnose(gathered).first()
     assert (got.branch, got.matched_log, got.deploy_id, got.runbook) == ("log", "x throttled", None, None)
+    results = {c.name: json.loads(c.result) for c in got.tool_calls}
+    assert results["recent_metrics"] == {"sample_count": 4, "dominant_metric": "cpu_pct"}
+    assert results["logs"] == {"matched_log": "x throttled", "matching_lines": 1}
+    assert "deployed_at" in results["deploys"]["error"] and "error" in results["runbook"]
+    assert json.loads(got.tool_calls[0].arguments) == {"host_id": "h1", "minutes": 15}
     without = {k: v for k, v in diagnosis.EVIDENCE.items() if k != "logs"}
     assert diagnosis.diagnose(diagnosis.gather(alerts, metrics, logs, broken, broken, steps=without)).first().branch == "none"
+    with pytest.raises(ValueError, match="metrics has no column ts"):
+        diagnosis.gather(alerts, metrics.drop("ts"), logs, broken, broken)
+    with pytest.raises(ValueError, match="alerts has no column triggered_at"):
+        diagnosis.gather(alerts.drop("triggered_at"), metrics, logs, broken, broken)
+
+
+def test_lookback_needs_no_position_and_takes_the_newest_of_equal_times(spark):
+    rows = [("h1", i, at(i // 3), float(i), 1.0, 1.0, 1.0) for i in range(3 * 900)]
+    metrics = metrics_of(spark, rows)
+    alerts = alerts_of(spark, alert("a", when=500), alert("b", when=0.5)).select("alert_id", "host_id", "service_name", "triggered_at")
+    got = evidence.recent_metrics(alerts, metrics).collect()
+    a = sorted((r.recency, r.cpu_pct) for r in got if r.alert_id == "a")
+    assert a == [(k + 1, float(1502 - k)) for k in range(200)]
+    assert sorted(r.cpu_pct for r in got if r.alert_id == "b") == [0.0, 1.0, 2.0]
+    assert evidence.recent_metrics(alerts.limit(0), metrics).count() == 0
+
+
+def test_lookback_opens_the_days_of_the_alerts_only(spark, tmp_path):
+    rows = [("h1", i, at(86400 * i), 1.0, 1.0, 1.0, 1.0) for i in range(6)]
+    tables.append_batch(metrics_of(spark, rows), str(tmp_path), 0, date_col="ts")
+    stored = spark.read.parquet(str(tmp_path))
+    near = evidence.within_reach(stored, "ts", alerts_of(spark, alert("a", when=86400 * 3)), 180)
+    assert [r.event_id for r in near.collect()] == [3]
+    panel = dashboard.selected(stored, "ts", start=at(86400), end=at(86400 * 2))
+    assert sorted(r.event_id for r in panel.collect()) == [1, 2]
+    for df in (near, panel):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(ds" in text and "ds#" in text.split("PartitionFilters:")[1].split("]")[0]
+
+
+def test_runbook_steps_in_any_line_format(spark):
+    books = spark.createDataFrame([("edge", "# x\r\n\t1. Tabbed step \r\n2. Next"), ("core", "a\r1. Old line end\r"), ("default", "")], "service_name string, body string")
+    a = alerts_of(spark, alert("a1"), alert("a2", service="core"))
+    steps = {r.alert_id: r.first_step for r in evidence.runbook_first_step(evidence.runbook_lookup(a, books)).collect()}
+    assert steps == {"a1": "1. Tabbed step", "a2": "1. Old line end"}
