@@ -58,11 +58,10 @@ class DetectorConfig:
 class LayoutConfig:
     """How one host's series is cut so that no task holds a whole host."""
 
-    # events of one host are counted and ranked per time cell of this width
-    cell_seconds: int = 60
-    # a cell with more events than this is ranked in parts of a finer time grid
-    max_cell_rows: int = 1_000_000
-    parts_per_cell: int = 3600
+    # events of one host are ranked per time cell of this width
+    cell_micros: int = 1_000_000
+    # counts of cells are added up in groups of so many cells, then group by group
+    cells_per_group: int = 3600
     # window frames run over chunks of this many events (plus the lookback rows)
     chunk_rows: int = 2048
     # least number of tasks per core where the work is heavy for its bytes

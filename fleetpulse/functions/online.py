@@ -58,10 +58,17 @@ def _mean_std(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def features(raw: np.ndarray, new: np.ndarray, config: DetectorConfig) -> np.ndarray:
-    windows = _windows(raw, new, config.rolling_window + 1)
-    count, mean, std = _mean_std(windows[..., :-1])
-    z = np.where((count >= 2) & (std > EPSILON), (new - mean) / np.where(std > EPSILON, std, 1.0), 0.0)
-    delta = np.nan_to_num(new - windows[..., -2], nan=0.0)
+    """Readings, z-scores and deltas. Missing rows are told by their count: a reading may be NaN itself."""
+    length = config.rolling_window
+    windows = _windows(raw, new, length + 1)
+    count = np.minimum(len(raw) + np.arange(len(new)), length)
+    here = np.arange(length) >= (length - count)[:, None, None]
+    safe = np.maximum(count, 1)[:, None]
+    previous = windows[..., :-1]
+    mean = np.where(here, previous, 0.0).sum(axis=-1) / safe
+    std = np.sqrt((np.where(here, previous - mean[..., None], 0.0) ** 2).sum(axis=-1) / safe)
+    z = np.where((count >= 2)[:, None] & (std > EPSILON), (new - mean) / np.where(std > EPSILON, std, 1.0), 0.0)
+    delta = np.where((count >= 1)[:, None], new - windows[..., -2], 0.0)
     return np.hstack([new, z, delta])
 
 

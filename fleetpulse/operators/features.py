@@ -50,9 +50,12 @@ FEATURE_WINDOW_NAMES = ("_previous", *[f"_{m}_{s}" for m in METRICS for s in ("m
 
 
 def feature_columns() -> list[str]:
-    """z-scores (0 without two previous rows or without spread) and deltas (0 at the start)."""
+    """z-scores (0 without two previous rows or without spread) and deltas (0 at the start).
+
+    A NaN among the previous readings makes the spread NaN, which counts as none.
+    """
     zscores = [
-        f"""CASE WHEN _previous >= 2 AND _{m}_std > {EPSILON}D
+        f"""CASE WHEN _previous >= 2 AND NOT isnan(_{m}_std) AND _{m}_std > {EPSILON}D
             THEN ({m} - _{m}_mean) / nullif(_{m}_std, 0D) ELSE 0D END AS {m}_z"""
         for m in METRICS
     ]

@@ -1,11 +1,10 @@
 """Per-host event series: numbering, and window frames over bounded chunks.
 
 A host may hold a large share of all events, so nothing here puts a whole host in one
-window partition. `number_events` counts events per (host, time cell), turns the counts
-into offsets and ranks rows inside a cell, or inside a part of a very full one. `over_chunks`
-cuts a numbered series into chunks of a fixed number of events; each chunk also gets the last
-rows of the chunk before it, as many as the widest frame reaches back, and those copies are
-dropped afterwards.
+window partition. `number_events` counts events per host and short time cell, adds the counts
+up to offsets in two levels, and ranks rows inside a cell. `over_chunks` cuts a numbered series
+into chunks of a fixed number of events; each chunk also gets the last rows of the chunk before
+it, as many as the widest frame reaches back, and those copies are dropped afterwards.
 """
 
 from __future__ import annotations
@@ -21,45 +20,40 @@ KEY = "host_id"
 CHUNK_ORDER = f"PARTITION BY {KEY}, _chunk ORDER BY n"
 
 
+_NUMBERED = {"fleetpulse.series": True}
+
+
+def is_numbered(events: DataFrame) -> bool:
+    """Whether the column n comes from number_events; any other column of that name doesn't count."""
+    return any(f.name == "n" and f.metadata.get("fleetpulse.series") for f in events.schema.fields)
+
+
 def number_events(events: DataFrame, layout: LayoutConfig = LAYOUT) -> DataFrame:
-    """Add n = 1, 2, ... per host in (ts, event_id) order.
+    """Add n = 1, 2, ... per host in (ts, event_id) order; an input column n is replaced.
 
-    Cells with more than `max_cell_rows` events are ranked in parts of a finer time grid. Their
-    list is broadcast: it cannot have more entries than events / max_cell_rows. Where it is
-    empty, adaptive execution drops the joins and counts that serve it.
+    Rows are ranked in cells of `cell_micros`; the cells' counts are added up inside groups of
+    `cells_per_group` cells, and the groups' counts per host, so no window holds more than the
+    events of a cell, the cells of a group or the groups of a host.
     """
-    if "n" in events.columns:
+    if is_numbered(events):
         return events
-    width = layout.cell_seconds * 1_000_000
-    part_width = max(1, width // layout.parts_per_cell)
-    cell = f"unix_micros(ts) div {width} AS _cell"
+    cell = f"CAST(floor(unix_micros(ts) / {layout.cell_micros}D) AS BIGINT) AS _cell"
+    group = f"CAST(floor(_cell / {layout.cells_per_group}D) AS BIGINT) AS _group"
+    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
-    counts = events.selectExpr(KEY, cell).groupBy(KEY, "_cell").count()
-    large = F.broadcast(
-        counts.filter(f"count > {layout.max_cell_rows}").selectExpr(KEY, "_cell", "true AS _large")
-    )
-    placed = (
-        events.selectExpr("*", cell)
-        .join(large, [KEY, "_cell"], "left")
-        .selectExpr(
-            "* EXCEPT (_large)",
-            f"CASE WHEN _large THEN pmod(unix_micros(ts), {width}) div {part_width} ELSE -1 END AS _part",
-        )
-    )
-    group = [KEY, "_cell", "_part"]
-    parts = placed.select(*group).filter("_part >= 0").groupBy(*group).count()
-    whole = counts.filter(f"count <= {layout.max_cell_rows}").selectExpr(KEY, "_cell", "-1L AS _part", "count")
-    offsets = whole.unionByName(parts).selectExpr(
-        *group,
-        f"""coalesce(sum(count) OVER (PARTITION BY {KEY} ORDER BY _cell, _part
-            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _offset""",
+    counts = events.selectExpr(KEY, cell).groupBy(KEY, "_cell").count().selectExpr("*", group)
+    groups = counts.groupBy(KEY, "_group").agg(F.sum("count").alias("_events")).selectExpr(
+        KEY, "_group", f"coalesce(sum(_events) OVER (PARTITION BY {KEY} ORDER BY _group {before}), 0) AS _base"
     )
-    ranked = placed.selectExpr(
-        "*", f"row_number() OVER (PARTITION BY {', '.join(group)} ORDER BY ts, event_id) AS _rank"
+    inside = counts.selectExpr(
+        KEY, "_cell", "_group", f"coalesce(sum(count) OVER (PARTITION BY {KEY}, _group ORDER BY _cell {before}), 0) AS _before"
     )
-    return ranked.join(offsets, group).selectExpr(
-        f"* EXCEPT ({', '.join(group[1:])}, _rank, _offset)", "_offset + _rank AS n"
+    offsets = inside.join(groups, [KEY, "_group"]).selectExpr(KEY, "_cell", "_base + _before AS _offset")
+    ranked = events.drop("n").selectExpr("*", cell).selectExpr(
+        "*", f"row_number() OVER (PARTITION BY {KEY}, _cell ORDER BY ts, event_id) AS _rank"
     )
+    numbered = ranked.join(offsets, [KEY, "_cell"]).selectExpr("* EXCEPT (_cell, _rank, _offset)", "_offset + _rank AS n")
+    return numbered.withMetadata("n", _NUMBERED)
 
 
 def last_rows(count: int) -> str:

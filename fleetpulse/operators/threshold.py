@@ -37,7 +37,7 @@ def percentile_of_sorted(values: str, percent: float) -> str:
     return f"{below} + ({above} - {below}) * ({at} - {low})"
 
 
-IS_ANOMALY = "coalesce(raw_score > threshold, false)"
+IS_ANOMALY = "coalesce(NOT isnan(raw_score) AND raw_score > threshold, false)"  # SQL ranks NaN above all
 SEVERITY = """CASE WHEN is_anomaly THEN
     CASE WHEN raw_score > threshold + ewma_std THEN 'critical' ELSE 'warning' END END"""
 

@@ -10,6 +10,7 @@ from fleetpulse.operators.alerts import build_alerts
 from fleetpulse.operators.model import score_events, score_from_column
 from fleetpulse.operators.series import number_events, over_chunks
 from fleetpulse.session import materialize
+from fleetpulse.sources.tables import with_parent
 
 
 def _judge(scored: DataFrame, config: DetectorConfig, layout: LayoutConfig) -> DataFrame:
@@ -80,8 +81,15 @@ def detect(
     score_col: str | None = None,
     config: DetectorConfig = DETECTOR,
     layout: LayoutConfig = LAYOUT,
+    hosts: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(metrics, alerts). The metrics table is stored first and alerts are derived from it."""
+    """(metrics, alerts). The metrics table is stored first and alerts are derived from it.
+
+    With a hosts table, events of hosts that are not in it are left out; `sources.tables.orphans`
+    gives them.
+    """
+    if hosts is not None:
+        telemetry = with_parent(telemetry, hosts, "host_id")
     if score_col:
         metrics = score_with_column(telemetry, score_col, config, layout)
     else:

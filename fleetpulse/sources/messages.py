@@ -15,11 +15,17 @@ from fleetpulse.schemas import MESSAGE, RAW_ALERT, RAW_TELEMETRY
 TOPICS = {"telemetry": "telemetry.raw", "alerts": "alerts.triggered"}
 
 
+# Limits of one micro-batch.
+MAX_OFFSETS = 1_000_000
+MAX_FILES = 1000
+
+
 def kafka_stream(spark: SparkSession, servers: str, topic: str, **options: str) -> DataFrame:
     """key, value (text) and timestamp of a topic from its earliest offset.
 
     Needs Spark's Kafka connector on the classpath. Progress is kept in the query's
-    checkpoint, so a message is not skipped when its batch fails.
+    checkpoint, so a message is not skipped when its batch fails. A batch takes a limited number
+    of messages, the first one too; pass maxOffsetsPerTrigger for another limit.
     """
     reader = (
         spark.readStream.format("kafka")
@@ -27,7 +33,7 @@ def kafka_stream(spark: SparkSession, servers: str, topic: str, **options: str)
         .option("subscribe", topic)
         .option("startingOffsets", "earliest")
     )
-    for name, value in options.items():
+    for name, value in ({"maxOffsetsPerTrigger": MAX_OFFSETS} | options).items():
         reader = reader.option(name, value)
     return reader.load().selectExpr(
         "CAST(key AS STRING) AS key", "CAST(value AS STRING) AS value", "timestamp"
@@ -40,12 +46,10 @@ def kafka_publish(encoded: DataFrame, servers: str, topic: str) -> None:
 
 
 def file_stream(
-    spark: SparkSession, path: str, fmt: str = "parquet", max_files_per_trigger: int | None = None
+    spark: SparkSession, path: str, fmt: str = "parquet", max_files_per_trigger: int = MAX_FILES
 ) -> DataFrame:
-    """The same messages from files with the columns key and value."""
-    reader = spark.readStream.format(fmt).schema(MESSAGE)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    """The same messages from files with the columns key and value, a limited number of files a batch."""
+    reader = spark.readStream.format(fmt).schema(MESSAGE).option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.load(path)
 
 
@@ -90,6 +94,17 @@ def _first_problem(problems: dict[str, str]) -> str:
     return "CASE " + " ".join(f"WHEN {c} THEN '{name}'" for name, c in problems.items()) + " END"
 
 
+def _time(field: str) -> str:
+    """SQL: a time given as text or as epoch number, null if it is neither or beyond the year 9999.
+
+    Numbers beyond 2e10 are milliseconds, as in the message contract.
+    """
+    number = f"try_cast({field} AS DOUBLE)"
+    seconds = f"(CASE WHEN abs({number}) > 2e10D THEN {number} / 1000D ELSE {number} END)"
+    return f"""CASE WHEN {number} IS NULL THEN try_cast({field} AS TIMESTAMP)
+        WHEN abs({seconds}) <= 253402300799D THEN timestamp_seconds({seconds}) END"""
+
+
 def _numbers(prefix: str, names: tuple[str, ...]) -> str:
     """Condition: some of these text fields is missing or not a number."""
     return " OR ".join(f"try_cast({prefix}{n} AS DOUBLE) IS NULL" for n in names)
@@ -108,8 +123,7 @@ def check_telemetry(messages: DataFrame) -> DataFrame:
         "missing_host_id": "_m.host_id IS NULL",
         "missing_service_name": "_m.service_name IS NULL",
         "bad_metric": _numbers("_m.metrics.", METRICS),
-        "bad_timestamp": """_m.timestamp IS NOT NULL
-            AND coalesce(try_cast(_m.timestamp AS TIMESTAMP), _from_epoch) IS NULL""",
+        "bad_timestamp": "_m.timestamp IS NOT NULL AND _time IS NULL",
         "bad_injected_anomaly": f"""(_m.injected_anomaly.active IS NOT NULL
             AND try_cast(_m.injected_anomaly.active AS BOOLEAN) IS NULL)
             OR _m.injected_anomaly.type NOT IN ({_quoted(ANOMALY_TYPES)})""",
@@ -117,7 +131,7 @@ def check_telemetry(messages: DataFrame) -> DataFrame:
     parsed = _parse(messages, RAW_TELEMETRY).selectExpr(
         "*",
         f"{arrival} AS _arrival",
-        "timestamp_seconds(try_cast(_m.timestamp AS DOUBLE)) AS _from_epoch",
+        f"{_time('_m.timestamp')} AS _time",
     )
     return parsed.selectExpr(
         "key",
@@ -125,7 +139,7 @@ def check_telemetry(messages: DataFrame) -> DataFrame:
         "coalesce(_m.event_id, md5(concat_ws('|', key, value))) AS event_id",
         "_m.host_id AS host_id",
         "_m.service_name AS service_name",
-        "coalesce(try_cast(_m.timestamp AS TIMESTAMP), _from_epoch, _arrival) AS ts",
+        "coalesce(_time, _arrival) AS ts",
         *[f"try_cast(_m.metrics.{m} AS DOUBLE) AS {m}" for m in METRICS],
         """named_struct('active', coalesce(try_cast(_m.injected_anomaly.active AS BOOLEAN), false),
             'type', _m.injected_anomaly.type) AS injected_anomaly""",
@@ -146,7 +160,7 @@ def check_alerts(messages: DataFrame) -> DataFrame:
         "bad_severity": f"_m.severity IS NULL OR _m.severity NOT IN ({_quoted(SEVERITIES)})",
         "bad_metric": _numbers("_m.metric_snapshot.", METRICS)
         + f" OR exists(_m.recent_metrics, r -> {_numbers('r.', METRICS)})",
-        "bad_timestamp": "_m.triggered_at IS NOT NULL AND try_cast(_m.triggered_at AS TIMESTAMP) IS NULL",
+        "bad_timestamp": f"_m.triggered_at IS NOT NULL AND ({_time('_m.triggered_at')}) IS NULL",
         "bad_forecast": """_m.predicted_breach_minutes IS NOT NULL
             AND try_cast(_m.predicted_breach_minutes AS DOUBLE) IS NULL""",
     }
@@ -158,7 +172,7 @@ def check_alerts(messages: DataFrame) -> DataFrame:
         "try_cast(_m.n AS BIGINT) AS n",
         "_m.host_id AS host_id",
         "_m.service_name AS service_name",
-        f"coalesce(try_cast(_m.triggered_at AS TIMESTAMP), {arrival}) AS triggered_at",
+        f"coalesce({_time('_m.triggered_at')}, {arrival}) AS triggered_at",
         *[
             f"try_cast(_m.{c} AS DOUBLE) AS {c}"
             for c in ("raw_score", "threshold", "ewma_mean", "ewma_std")

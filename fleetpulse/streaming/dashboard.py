@@ -7,36 +7,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fleetpulse.config import METRICS
-from fleetpulse.operators.dashboard import BUCKET_SECONDS
+from fleetpulse.operators.dashboard import bucket
 from fleetpulse.sources.tables import append_batch
 
 
-def bucketed(telemetry: DataFrame, delay: str = "1 minute") -> DataFrame:
-    """Average of each metric per host and bucket; buckets older than the delay are closed."""
-    return (
-        telemetry.withWatermark("ts", delay)
-        .groupBy(F.window("ts", f"{BUCKET_SECONDS} seconds"), "host_id")
-        .agg(*[F.avg(m).alias(m) for m in METRICS])
-        .select(F.col("window.start").alias("time"), "host_id", *METRICS)
-    )
+def partial_sums(telemetry: DataFrame) -> DataFrame:
+    """Sum and count of each metric per host and bucket, to be added up when read."""
+    sums = [F.sum(m).alias(f"{m}_sum") for m in METRICS] + [F.count(m).alias(f"{m}_count") for m in METRICS]
+    return telemetry.groupBy(bucket().alias("time"), "host_id").agg(*sums)
+
 
+def run_dashboard(telemetry: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Store each batch's partial sums by day; `current` adds them up.
 
-def run_dashboard(
-    telemetry: DataFrame, out: str, checkpoint: str, delay: str = "1 minute", trigger: dict | None = None
-) -> StreamingQuery:
-    """Store each refresh's changed buckets; `current` gives the newest value of each."""
+    No state and no watermark: a row counts however late it is, and a batch that is run again
+    replaces its own folder.
+    """
     return (
-        bucketed(telemetry, delay)
-        .writeStream.outputMode("update")
-        .foreachBatch(lambda rows, batch_id: append_batch(rows, out, batch_id))
+        telemetry.writeStream.foreachBatch(lambda rows, batch_id: append_batch(partial_sums(rows), out, batch_id, date_col="time"))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "5 seconds"}))
         .start()
     )
 
 
-def current(refreshes: DataFrame) -> DataFrame:
-    """Newest value of each bucket over all stored refreshes (needs the batch column)."""
-    return refreshes.groupBy("time", "host_id").agg(
-        *[F.max_by(m, "batch").alias(m) for m in METRICS]
-    )
+def current(stored: DataFrame) -> DataFrame:
+    """Average of each metric per bucket and host over all stored batches."""
+    return stored.groupBy("time", "host_id").agg(*[(F.sum(f"{m}_sum") / F.sum(f"{m}_count")).alias(m) for m in METRICS])
+
+
+def compacted(stored: DataFrame) -> DataFrame:
+    """The same partial sums with one row per bucket and host, to replace old batches with."""
+    kept = [f"{m}_{part}" for m in METRICS for part in ("sum", "count")]
+    return stored.groupBy("time", "host_id").agg(*[F.sum(c).alias(c) for c in kept])

@@ -18,7 +18,7 @@ from fleetpulse.operators.alerts import alert_records
 from fleetpulse.operators.model import version_of
 from fleetpulse.operators.threshold import SEVERITY
 from fleetpulse.sources.messages import check_telemetry, encode, quarantine
-from fleetpulse.sources.tables import append_batch
+from fleetpulse.sources.tables import append_batch, with_parent
 
 _SNAPSHOT = "struct<" + ",".join(f"{m}:double" for m in METRICS) + ">"
 _OUTPUT = (
@@ -28,6 +28,8 @@ _OUTPUT = (
     "ewma_mean double, ewma_std double, threshold double, is_anomaly boolean, "
     f"predicted_breach_minutes double, published boolean, recent_metrics array<{_SNAPSHOT}>"
 )
+# rows of a host that are worked on at once; their windows take some kilobytes each
+SLICE_ROWS = 2000
 _INPUT = ["event_id", "host_id", "service_name", "ts", *METRICS, "injected_anomaly_type"]
 
 
@@ -46,17 +48,20 @@ def detect_stream(
         warnings.filterwarnings("ignore", category=FutureWarning)
         rows = pd.concat(list(chunks), ignore_index=True).sort_values(["ts", "event_id"], ignore_index=True)
         carried = load_state(state.get[0]) if state.exists else empty_state()
+        for start in range(0, len(rows), SLICE_ROWS):
+            yield judge(rows.iloc[start : start + SLICE_ROWS].reset_index(drop=True), carried)
+        state.update((dump_state(carried),))
+
+    def judge(rows: pd.DataFrame, carried: dict[str, np.ndarray]) -> pd.DataFrame:
         times = rows["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
         given = rows[score_col].to_numpy(dtype=float) if score_col else None
         found = advance(carried, rows[list(METRICS)].to_numpy(dtype=float), times, config, given)
-        state.update((dump_state(carried),))
-
         candidate = found["is_anomaly"] | ~np.isnan(found["predicted_breach_minutes"])
         recent = [
             [dict(zip(METRICS, map(float, s))) for s in window.T if not np.isnan(s).any()] if wanted else None
             for window, wanted in zip(found["recent"], candidate)
         ]
-        yield rows[_INPUT].assign(
+        return rows[_INPUT].assign(
             n=found["n"],
             features=list(found["features"]),
             raw_score=found["raw_score"],
@@ -75,12 +80,19 @@ def detect_stream(
         .groupBy("host_id")
         .applyInPandasWithState(update, _OUTPUT, "blob binary", "append", GroupStateTimeout.NoTimeout)
     )
+    # on the way back from pandas NaN becomes null; readings are never null, so they get it back,
+    # while a feature that is NaN is stored as null
+    judged = judged.withColumns({m: F.expr(f"coalesce({m}, CAST('NaN' AS DOUBLE))") for m in METRICS})
     return judged.selectExpr("*", f"{SEVERITY} AS severity", f"{version_of(config)} AS model_version")
 
 
-def deduplicated(telemetry: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Drop repeated event_ids that arrive within the delay (off unless asked for)."""
-    return telemetry.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+def deduplicated(telemetry: DataFrame) -> DataFrame:
+    """Drop repeated event_ids, however late they come (off unless asked for).
+
+    There is no watermark, so no first copy is ever taken for a repeat; the price is one id per
+    event in the state, for which the RocksDB state store is the right one.
+    """
+    return telemetry.dropDuplicates(["event_id"])
 
 
 def run_detection(
@@ -92,24 +104,28 @@ def run_detection(
     trigger: dict | None = None,
     dedup: bool = False,
     publish: Callable[[DataFrame], None] | None = None,
+    hosts: DataFrame | None = None,
 ) -> StreamingQuery:
     """Decode, detect and store: folders metrics, alerts and alert_messages under `out`.
 
     A batch that is run again after a failure overwrites its own folders, and alert ids do
     not depend on the run, so every event and alert is stored once. `publish` also gets each
-    batch of alert messages, for example to send them to a topic.
+    batch of alert messages, for example to send them to a topic. With a hosts table, events of
+    hosts that are not in it are left out; `run_quarantine` with the same table stores them.
     """
     telemetry = check_telemetry(messages).filter("reject_reason IS NULL").selectExpr(
         "* EXCEPT (key, value, reject_reason, injected_anomaly)",
         "CASE WHEN injected_anomaly.active THEN injected_anomaly.type END AS injected_anomaly_type",
     )
+    if hosts is not None:
+        telemetry = with_parent(telemetry, hosts, "host_id")
     if dedup:
         telemetry = deduplicated(telemetry)
 
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        append_batch(batch, f"{out}/metrics", batch_id)
-        stored = spark.read.schema(batch.schema).parquet(f"{out}/metrics/batch={batch_id}")
+        append_batch(batch, f"{out}/metrics", batch_id, date_col="ts")
+        stored = spark.read.parquet(f"{out}/metrics/batch={batch_id}").select(*batch.columns)
         alerts = alert_records(
             stored.filter("published").withColumn("is_early_warning", ~F.col("is_anomaly"))
         )
@@ -127,10 +143,18 @@ def run_detection(
     )
 
 
-def run_quarantine(messages: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Store rejected messages with their reason."""
+def run_quarantine(
+    messages: DataFrame, out: str, checkpoint: str, trigger: dict | None = None, hosts: DataFrame | None = None
+) -> StreamingQuery:
+    """Store rejected messages with their reason; with a hosts table also those of other hosts."""
+    checked = check_telemetry(messages)
+    if hosts is not None:
+        known = hosts.select("host_id", F.lit(True).alias("_known")).distinct()
+        checked = checked.join(known, "host_id", "left").withColumn(
+            "reject_reason", F.coalesce("reject_reason", F.when(F.col("_known").isNull(), "unknown_host"))
+        )
     return (
-        quarantine(check_telemetry(messages))
+        quarantine(checked)
         .writeStream.format("parquet")
         .option("path", out)
         .option("checkpointLocation", checkpoint)
@@ -140,6 +164,6 @@ def run_quarantine(messages: DataFrame, out: str, checkpoint: str, trigger: dict
 
 
 def stored(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """All batches of a stored table."""
+    """All batches of a stored table; the day column ds, if there is one, is kept for pruning."""
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(path).drop("batch")

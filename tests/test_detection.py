@@ -20,7 +20,7 @@ SCHEMA = (
     "latency_ms double, error_rate_pct double, injected_anomaly_type string"
 )
 TINY = LayoutConfig(
-    cell_seconds=7, max_cell_rows=3, parts_per_cell=6, chunk_rows=230, cooldown_span_seconds=90
+    cell_micros=7_000_000, cells_per_group=3, chunk_rows=230, cooldown_span_seconds=90
 )
 
 
@@ -68,9 +68,19 @@ def test_numbering_follows_time_and_id(fleet):
         assert [got[r["event_id"]] for r in ordered(rows)] == list(range(1, len(rows) + 1))
 
 
+def test_numbering_around_the_epoch_ignores_an_input_column_n(spark):
+    times = [dt.datetime(1970, 1, 1) + dt.timedelta(seconds=s) for s in range(-40, 40)]
+    rows = [("h", 1000 - i, t, 7) for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "host_id string, event_id bigint, ts timestamp, n bigint").repartition(5)
+    got = {r.event_id: r.n for r in number_events(df, TINY).collect()}
+    assert got == {1000 - i: i + 1 for i in range(80)}
+    again = number_events(number_events(df, TINY), TINY)
+    assert again.columns.count("n") == 1 and {r.event_id: r.n for r in again.collect()} == got
+
+
 def test_features_match_loop_across_chunk_borders(fleet):
     by_host, df = fleet
-    out = features.add_feature_vector(df, layout=LayoutConfig(cell_seconds=7, chunk_rows=11))
+    out = features.add_feature_vector(df, layout=LayoutConfig(cell_micros=7_000_000, chunk_rows=11))
     got = {r.event_id: r.features for r in out.select("event_id", "features").collect()}
     assert len(got) == sum(map(len, by_host.values()))
     for rows in by_host.values():

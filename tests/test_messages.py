@@ -22,6 +22,10 @@ CASES = {
     "no_label": (changed(injected_anomaly=...), None),
     "no_id": (changed(event_id=...), None),
     "epoch_time": (changed(timestamp=1704067203), None),
+    "epoch_millis": (changed(timestamp=1704067203000), None),
+    "epoch_text": (changed(timestamp="1704067203000"), None),
+    "far_future": (changed(timestamp=10**17), "bad_timestamp"),
+    "no_number": (changed(timestamp="NaN"), "bad_timestamp"),
     "extra_field": (changed(color="red"), None),
     "no_host": (changed(host_id=...), "missing_host_id"),
     "no_service": (changed(service_name=...), "missing_service_name"),
@@ -46,7 +50,7 @@ def test_each_message_is_kept_or_quarantined_with_its_reason(spark):
     assert {k: r.reject_reason for k, r in got.items()} == {k: reason for k, (_, reason) in CASES.items()}
     assert got["numeric_text"].cpu_pct == 7.25
     assert got["no_label"].injected_anomaly.active is False
-    assert got["good"].ts == got["epoch_time"].ts
+    assert got["good"].ts == got["epoch_time"].ts == got["epoch_millis"].ts == got["epoch_text"].ts
     assert len(got["no_id"].event_id) == 32
 
     decoded = messages.decode_telemetry(spark.createDataFrame(rows, "key string, value string")).collect()
@@ -73,12 +77,14 @@ def test_alert_round_trip_and_severity(spark):
         ("ok", json.dumps(alert)),
         ("sev", json.dumps(alert | {"severity": "fatal"})),
         ("score", json.dumps(alert | {"raw_score": "much"})),
+        ("late", json.dumps(alert | {"triggered_at": 10**17})),
         ("snap", json.dumps(alert | {"recent_metrics": [snap, {"cpu_pct": 1}]})),
         ("bare", json.dumps({k: v for k, v in alert.items() if k not in ("recent_metrics", "n")})),
     ]
     checked = messages.check_alerts(spark.createDataFrame(rows, "key string, value string"))
     assert {r.key: r.reject_reason for r in checked.collect()} == {
-        "ok": None, "sev": "bad_severity", "score": "bad_score", "snap": "bad_metric", "bare": None
+        "ok": None, "sev": "bad_severity", "score": "bad_score", "snap": "bad_metric", "bare": None,
+        "late": "bad_timestamp",
     }
     good = messages.valid(checked).orderBy("n").collect()
     assert good[0].n is None and good[0].recent_metrics == []

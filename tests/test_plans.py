@@ -34,20 +34,19 @@ def windows(text: str) -> list[str]:
 def test_detection_never_gives_one_task_a_whole_host(large_plans):
     text = plan(catalog.scored_metrics(large_plans, SF))
     parts = windows(text)
-    # per chunk, per time cell, and one over the cell counts of a host
-    assert len(parts) == 4
-    whole_host = [p for p in parts if "_chunk" not in p and "_cell" not in p]
+    # two per chunk, one per time cell, one per group of cells, and one over the groups of a host
+    assert len(parts) == 5
+    whole_host = [p for p in parts if not any(c in p for c in ("_chunk", "_cell", "_group"))]
     assert len(whole_host) == 1
     assert "SinglePartition" not in text
-    # only the bounded list of over-full cells is broadcast: to the rows and to their counts
-    lists = [line for line in text.splitlines() if "> 1000000" in line]
-    assert text.count("BroadcastExchange") == len(lists) == 2
+    assert "BroadcastExchange" not in text
 
 
 def test_one_shuffle_per_direction_and_no_cross_join(large_plans):
     metrics, found = catalog._stored_alerts(large_plans, SF)
     tables = catalog._side_tables(large_plans, SF)
-    for df in (investigate(found, metrics, *tables, catalog.SHORT), alerts.build_alerts(metrics)):
+    detected = catalog.detection.detect(catalog._telemetry(large_plans, SF), catalog.STAND_IN)[0]
+    for df in (investigate(found, metrics, *tables, catalog.SHORT), alerts.build_alerts(detected)):
         text = plan(df)
         assert "CartesianProduct" not in text and "NestedLoop" not in text
         assert "BroadcastExchange" not in text

@@ -92,12 +92,52 @@ def test_repeated_events_are_dropped_on_request(spark, fleet, tmp_path):
 
 def test_dashboard_buckets_update(spark, fleet, tmp_path):
     source, out, checkpoint = (str(tmp_path / d) for d in ("in", "out", "cp"))
-    for low, high in ((0, 303), (303, 10**9)):
+    for low, high in ((303, 10**9), (0, 303)):  # the first slice comes last, hours late for some rows
         write_slice(fleet, source, low, high)
         telemetry = messages.decode_telemetry(messages.file_stream(spark, source, max_files_per_trigger=2))
         stream_dash.run_dashboard(telemetry, out, checkpoint, trigger={"availableNow": True}).awaitTermination()
-    got = {(r.time, r.host_id): r.cpu_pct for r in stream_dash.current(spark.read.parquet(out)).collect()}
+    stored = spark.read.parquet(out)
+    assert "ds" in stored.columns
+    got = {(r.time, r.host_id): r.cpu_pct for r in stream_dash.current(stored).collect()}
+    whole = {(r.time, r.host_id): r.cpu_pct for r in stream_dash.current(stream_dash.compacted(stored)).collect()}
+    assert whole.keys() == got.keys() and all(whole[k] == pytest.approx(v) for k, v in got.items())
     want = fleet.groupBy(F.window("ts", "15 seconds").start.alias("time"), "host_id").agg(F.avg("cpu_pct").alias("v")).collect()
     assert len(got) == len(want)
     for r in want:
         assert got[(r.time, r.host_id)] == pytest.approx(r.v)
+
+
+def test_late_first_copies_are_kept_and_late_repeats_dropped(spark, fleet, tmp_path):
+    source, out, checkpoint = (str(tmp_path / d) for d in ("in", "out", "cp"))
+    for low, high in ((600, 10**9), (0, 600), (0, 600)):
+        write_slice(fleet, source, low, high)
+        rows = messages.decode_telemetry(messages.file_stream(spark, source, max_files_per_trigger=2))
+        query = stream.deduplicated(rows).writeStream.format("parquet").option("path", out)
+        query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    assert spark.read.schema(rows.schema).parquet(out).count() == fleet.count()
+
+
+def test_one_big_batch_is_worked_in_slices_and_nan_readings_agree(spark, fleet, tmp_path, monkeypatch):
+    nan = F.when(F.col("event_id") % 97 == 5, F.lit(float("nan"))).otherwise(F.col("cpu_pct"))
+    odd = fleet.withColumn("cpu_pct", nan)
+    source = str(tmp_path / "in")
+    messages.encode_telemetry(odd).write.parquet(source)
+    monkeypatch.setattr(stream, "SLICE_ROWS", 70)
+    stream.run_detection(messages.file_stream(spark, source), str(tmp_path / "out"), str(tmp_path / "cp"), "latency_ms", SMALL).awaitTermination()
+    got = {r.event_id: r.features for r in stream.stored(spark, str(tmp_path / "out/metrics")).collect()}
+    want = {str(r.event_id): r.features for r in score_with_column(odd, "latency_ms", SMALL).collect()}
+    assert got.keys() == want.keys() and sum(np.isnan(v).any() for v in want.values()) > 5
+    for k, v in want.items():
+        np.testing.assert_allclose(np.array(got[k], float), v, atol=1e-9)  # null stands for NaN
+
+
+def test_events_of_unknown_hosts_go_to_quarantine(spark, fleet, tmp_path):
+    source, hosts = str(tmp_path / "in"), spark.createDataFrame([("a",), ("c",)], "host_id string")
+    messages.encode_telemetry(fleet).write.parquet(source)
+    rows = messages.file_stream(spark, source)
+    stream.run_quarantine(rows, str(tmp_path / "bad"), str(tmp_path / "cp1"), hosts=hosts).awaitTermination()
+    stream.run_detection(rows, str(tmp_path / "out"), str(tmp_path / "cp2"), "latency_ms", SMALL, hosts=hosts).awaitTermination()
+    bad = spark.read.parquet(str(tmp_path / "bad")).groupBy("key", "reject_reason").count().collect()
+    assert [tuple(r) for r in bad] == [("b", "unknown_host", 125)]
+    kept = stream.stored(spark, str(tmp_path / "out/metrics")).groupBy("host_id").count().collect()
+    assert {r.host_id for r in kept} == {"a", "c"}
