@@ -100,7 +100,7 @@ def _list(values: np.ndarray) -> pa.Array:
 
 
 def sketched(documents: DataFrame) -> DataFrame:
-    """doc_id, n, k1, k2, bands, sketch of every row; the last two are null for empty sets."""
+    """doc_id, version (a hash of the text), n, k1, k2, bands, sketch of every row; bands and sketch are zero for empty sets."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
@@ -113,12 +113,17 @@ def sketched(documents: DataFrame) -> DataFrame:
                 signature = signatures(hashes, many[full])
                 bands[full], bits[full] = band_keys(signature), odd_sketches(signature)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(many.astype(np.int64)), pa.array(k1), pa.array(k2), _list(bands), pa.array([b.tobytes() for b in bits], pa.binary())],
-                ["doc_id", "n", "k1", "k2", "bands", "sketch"],
+                [batch.column("doc_id"), batch.column("version"), pa.array(many.astype(np.int64)), pa.array(k1), pa.array(k2), _list(bands),
+                 pa.array([b.tobytes() for b in bits], pa.binary())],
+                ["doc_id", "version", "n", "k1", "k2", "bands", "sketch"],
             )
 
-    rows = pick(documents, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(sketch, "doc_id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>, sketch binary")
+    rows = pick(documents, doc_id="doc_id", text="text").select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text"
+    )
+    return rows.mapInArrow(
+        sketch, "doc_id bigint, version bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>, sketch binary"
+    )
 
 
 def candidate_groups(classes: DataFrame) -> DataFrame:
@@ -247,7 +252,10 @@ def links(documents: DataFrame, classes: DataFrame, groups: DataFrame, block_row
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, class: a row for every row of documents; class is the key of its set."""
+    """doc_id, n_shingles, component_id, kept, component, version: a row for every row of documents.
+
+    component is the key of the component (null for empty sets), version a hash of the row's text.
+    """
     rows = materialize(sketched(documents), "near-rows")
     full = rows.filter("n > 0")
     classes = full.groupBy("k1").agg(
@@ -257,29 +265,31 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     edges = links(documents, classes, candidate_groups(classes))
     merged = components(edges)
     found = classes.select("k1", "doc_id").join(merged.select(F.col("node").alias("k1"), "label"), "k1", "left")
-    found = found.select("k1", "doc_id", F.coalesce("label", "k1").alias("label"))
-    smallest = found.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    found = found.join(smallest, "label").select("k1", "component_id")
+    found = found.select("k1", "doc_id", F.coalesce("label", "k1").alias("component"))
+    smallest = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    found = found.join(smallest, "component").select("k1", "component", "component_id")
     columns = [
         "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
-        F.col("k1").alias("class"),
+        "component", "version",
     ]
-    empty = rows.filter("n = 0").withColumn("component_id", F.col("doc_id"))
+    empty = rows.filter("n = 0").withColumns({"component_id": F.col("doc_id"), "component": F.lit(None).cast("long")})
     return full.join(found, "k1").select(columns).unionByName(empty.select(columns))
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """The rows of documents, all columns, that are kept: one of each component.
+    """The rows of documents, all columns, that are kept: one of each component, and all without words.
 
-    Of rows that repeat the kept doc_id with equal text one stays; documents without words all stay.
+    It is the one with the smallest doc_id; of rows that share that id, or of a component without any id, the one
+    whose text has the smallest hash. Rows that repeat both doc_id and text stay once.
     """
-    kept = near_duplicates(documents).filter("kept").select(F.col("doc_id").alias("__id"), "class", "n_shingles")
-    ids = kept.groupBy("__id").agg(F.count("*").alias("__rows"))
-    rows = documents.join(ids, documents["doc_id"].cast("long").eqNullSafe(ids["__id"]), "left_semi")
-    once = ids.filter("__rows = 1").select("__id")
-    alone = rows.join(once, rows["doc_id"].cast("long").eqNullSafe(once["__id"]), "left_semi")
-    repeated = rows.join(once, rows["doc_id"].cast("long").eqNullSafe(once["__id"]), "left_anti")
-    return alone.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
+    kept = materialize(near_duplicates(documents).filter("kept").select("doc_id", "component", "version"), "near-kept")
+    first = kept.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "version")).alias("k")).select("k.*")
+    wanted = first.unionByName(kept.filter("component IS NULL").select("doc_id", "version")).distinct()
+    wanted = wanted.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"))
+    same = documents["doc_id"].cast("long").eqNullSafe(wanted["__id"]) & (F.xxhash64(documents["text"]) == wanted["__version"])
+    rows = documents.join(wanted, same, "left_semi")
+    repeated = kept.groupBy("doc_id", "version").count().filter("count > 1")
+    return rows if repeated.isEmpty() else rows.dropDuplicates(["doc_id", "text"])
 
 
 ORACLE = r"""
