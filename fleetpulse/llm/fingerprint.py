@@ -89,26 +89,33 @@ def edited_fingerprints(documents: DataFrame) -> DataFrame:
     of the next document by ascending doc_id; after the last comes the first. Documents are compared by
     sketch with their edited text and with the next document; containment is that of the text in its edit.
 
-    Rows with one doc_id are each judged on their own; the next document is then any of the rows with the next
-    larger id whose text is smallest. Rows without doc_id come after all others: their next is the first document,
-    and they are nobody's next (a table without any doc_id has empty next texts).
+    Rows with one doc_id are each judged on their own; the next document is then, of the rows with the next larger id,
+    the one whose beginning sorts first. Rows without doc_id have no place in the order: they are nobody's next,
+    and their next document is empty.
 
-    Every text crosses one exchange; the part that a neighbour needs, a quarter at most, a second one.
+    Every text crosses one exchange (both joins by doc_id use the same one); the part that a neighbour needs, a quarter
+    of its text at most, crosses a second one.
     """
-    base = with_sketch(pick(documents, doc_id="doc_id", text="text").withColumn("text", F.coalesce("text", F.lit(""))), "text", "sketch")
-    ids = pick(documents, doc_id="doc_id", text="text").select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.floor(F.length(F.coalesce("text", F.lit(""))) / 4).cast("int").alias("take")
-    )
-    links = next_keys(ids, "doc_id")
-    wanted = ids.groupBy("doc_id").agg(F.max("take").alias("take")).join(links, "doc_id")
+    def texts(doc_id: str, text: str) -> DataFrame:
+        body = F.coalesce(F.col("given"), F.lit(""))
+        return pick(documents, key="doc_id", given="text").select(F.col("key").cast("long").alias(doc_id), body.alias(text))
+
+    docs = texts("own_id", "text")
+    ids = docs.select("own_id", F.floor(F.length("text") / 4).cast("int").alias("take"))
+    links = next_keys(ids, "own_id")
+    wanted = ids.groupBy("own_id").agg(F.max("take").alias("take")).join(links, "own_id")
+    # both joins read the texts by id, so the exchange has nothing but the two columns and serves twice
+    after = texts("next_id", "next_text").filter("next_id IS NOT NULL")
+    wanted = wanted.select(F.col("own_id").alias("for_id"), F.col("next").alias("next_id"), "take")
     heads = (
-        base.filter("doc_id IS NOT NULL")
-        .join(wanted.select(F.col("doc_id").alias("for_id"), F.col("next").alias("doc_id"), "take"), "doc_id")
+        with_sketch(after.join(wanted, "next_id"), "next_text", "next_sketch")
         .groupBy("for_id")
-        .agg(F.min(F.struct(F.expr("left(text, take)").alias("head"), F.col("sketch").alias("next_sketch"))).alias("n"))
+        .agg(F.min(F.struct(F.expr("left(next_text, take)").alias("head"), "next_sketch")).alias("n"))
         .select("for_id", "n.*")
     )
-    joined = base.join(heads, base["doc_id"] == heads["for_id"], "left")
+    joined = docs.filter("own_id IS NOT NULL").join(heads, F.col("own_id") == F.col("for_id"), "left").drop("for_id")
+    joined = joined.unionByName(docs.filter("own_id IS NULL"), allowMissingColumns=True).withColumnRenamed("own_id", "doc_id")
+    joined = with_sketch(joined, "text", "sketch")
     quarter = F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(
         F.substring("text", F.lit(1), F.length("text") - quarter), F.coalesce(F.substring("head", F.lit(1), quarter), F.lit(""))
