@@ -6,6 +6,7 @@ import pytest
 from check import compare, connect
 
 import __spark_entry__ as spark_entry
+from fleetpulse.plans import catalog, oracle
 
 SF = "/root/testdata/sf0.001"
 QUERIES = spark_entry.queries()
@@ -19,7 +20,7 @@ def duck():
 
 def test_every_sql_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"iforest_models", "iforest_scores"}
+    assert set(catalog.queries()) == set(oracle.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
