@@ -80,7 +80,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(strings, dtype=np.uint64)])
     context = mix(sums[stop] - sums[first] + mix(strings[first] ^ (stop - first).astype(np.uint64)) + strings[stop - 1])
     begin = offsets[row[first]]
-    return {"row": row[first], "start": first - begin, "last": stop - 1 - begin, "anchor": hashes[chosen[first]].view(np.int64), "context": context.view(np.int64)}
+    anchor = mix(hashes[chosen[first]] ^ np.uint64(0x6A09E667F3BCC909))  # smallest hashes are all small: spread them
+    return {"row": row[first], "start": first - begin, "last": stop - 1 - begin, "anchor": anchor.view(np.int64), "context": context.view(np.int64)}
 
 
 def _pieces(texts: pa.Array, size: int = SLICE) -> Iterator[dict[str, np.ndarray]]:
@@ -122,13 +123,22 @@ def anchor_rows(documents: DataFrame, repeated: np.ndarray | None = None) -> Dat
 
 
 def repeated_slots(documents: DataFrame) -> np.ndarray:
-    """Bitmap of the slots (first SLOT_BITS bits of an anchor's hash) that more than one anchor falls into."""
+    """Bitmap of the slots (first SLOT_BITS bits of an anchor's hash) that more than one anchor falls into.
+
+    Spark builds it in chunks of 2^16 slots; the driver gets these, 16 MB altogether whatever the input.
+    """
     slots = anchor_rows(documents).select(F.shiftrightunsigned("anchor", 64 - SLOT_BITS).cast("int").alias("slot"))
-    several = slots.groupBy("slot").count().filter("count > 1")
-    words = several.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits"))
+    several = slots.groupBy("slot").count().filter("count > 1").select("slot", F.shiftright("slot", 16).alias("chunk"))
+
+    def pack(table: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << 16, np.uint8)
+        slot = table.column("slot").to_numpy()
+        bits[slot & 0xFFFF] = 1
+        return pa.table({"chunk": [int(slot[0]) >> 16], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
     out = np.zeros(1 << (SLOT_BITS - 6), np.uint64)
-    found = words.toPandas()
-    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    for row in several.groupBy("chunk").applyInArrow(pack, "chunk bigint, bits binary").toLocalIterator():
+        out[row["chunk"] << 10 : (row["chunk"] + 1) << 10] = np.frombuffer(row["bits"], "<u8")
     return out
 
 
