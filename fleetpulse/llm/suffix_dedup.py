@@ -215,8 +215,14 @@ def repeats(contexts: list[bytes], time: np.ndarray, size: np.ndarray) -> tuple[
     order, shared = sort_suffixes(text, starts)
     rank = np.empty(len(contexts), np.int64)
     rank[np.argsort(time, kind="stable")] = np.arange(len(contexts))
-    best = longest_previous(rank[number] * (int(size.max()) + 1) + inside, order, shared)
-    found = best >= LENGTH
+    # a suffix whose neighbours both share less than LENGTH has a shorter factor; the others stand in runs
+    near = shared >= LENGTH
+    inner = near.copy()
+    inner[:-1] |= near[1:]
+    suffix = order[inner]
+    time_of = rank[number[suffix]] * (int(size.max()) + 1) + inside[suffix]
+    best = longest_previous(time_of, np.arange(len(suffix)), np.where(near[inner], shared[inner], 0))
+    found = suffix[best >= LENGTH]
     return number[found], inside[found]
 
 
