@@ -21,8 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.common import pick
-from fleetpulse.session import materialize
+from fleetpulse.llm.common import pick, stored
 
 SPACE = r"[\x20\x09-\x0D]+"
 LEAST_WORDS = 5
@@ -40,29 +39,32 @@ def _documents(documents: DataFrame) -> DataFrame:
     )
 
 
-def _lines(documents: DataFrame) -> DataFrame:
-    """at, version, line, words, l1, l2: the lines that count, with two hashes of their words."""
-    rows = _documents(documents).select("at", "version", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    rows = rows.select("at", "version", "line", F.array_remove(F.split("content", SPACE), "").alias("words"))
-    rows = rows.filter(F.size("words") >= LEAST_WORDS)
-    return rows.withColumn("l1", F.xxhash64("words")).withColumn("l2", F.xxhash64(F.lit(1), "words"))
+def _words(line: Column) -> Column:
+    return F.array_remove(F.split(line, SPACE), "")
 
 
 def _place() -> Column:
     return F.struct("at", "version", "line")
 
 
-def distinct_lines(documents: DataFrame) -> DataFrame:
-    """l1, l2, first, n, halves: each distinct line once, with its first place and keys of its halves."""
+def keyed_lines(documents: DataFrame) -> DataFrame:
+    """at, version, line, l1, l2, front, back: the lines that count, with hashes of their words and of their halves."""
+    rows = _documents(documents).select("at", "version", F.posexplode(F.split("text", "\n")).alias("line", "content"))
+    rows = rows.select("at", "version", "line", _words(F.col("content")).alias("words")).filter(F.size("words") >= LEAST_WORDS)
     n = F.size("words")
     a, b = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    half = [F.xxhash64(F.lit(0), F.slice("words", F.lit(1), x)) for x in (a, b)]
-    half += [F.xxhash64(F.lit(1), F.slice("words", n - x + 1, x)) for x in (a, b)]
-    keyed = _lines(documents).select(
-        "l1", "l2", _place().alias("place"), n.alias("n"), F.array(*half[:2]).alias("front"), F.array(*half[2:]).alias("back")
+    front = [F.xxhash64(F.lit(0), F.slice("words", F.lit(1), x)) for x in (a, b)]
+    back = [F.xxhash64(F.lit(1), F.slice("words", n - x + 1, x)) for x in (a, b)]
+    return rows.select(
+        "at", "version", "line", F.xxhash64("words").alias("l1"), F.xxhash64(F.lit(1), "words").alias("l2"),
+        F.array(*front).alias("front"), F.array(*back).alias("back"),
     )
+
+
+def distinct_lines(keyed: DataFrame) -> DataFrame:
+    """l1, l2, first, front, back: each distinct line once, with its first place."""
     return keyed.groupBy("l1", "l2").agg(
-        F.min("place").alias("first"), F.first("n").alias("n"), F.first("front").alias("front"), F.first("back").alias("back")
+        F.min(_place()).alias("first"), F.first("front").alias("front"), F.first("back").alias("back")
     )
 
 
@@ -123,27 +125,20 @@ def _left_out(words: str, gone: str) -> str:
 
 def near_lines(lines: DataFrame) -> DataFrame:
     """place: of the given distinct lines (place, words, front, back) those with an earlier one within one word."""
-    keys = neighbourhoods(lines)
-    first = keys.groupBy("key", "gone").agg(F.min("place").alias("first"), F.count("*").alias("many"))
-    first = materialize(first, "line-keys")
-    ends = first.groupBy("key").agg(
-        F.min(F.expr("CASE WHEN gone < 0 THEN first END")).alias("whole"),
-        F.min(F.expr("CASE WHEN gone >= 0 THEN struct(first AS place, gone AS gone) END")).alias("longer"),
-    )
-    wanted = first.filter("gone >= 0 AND many > 1").select("key", "gone", "first").unionByName(
-        first.filter("gone < 0").select("key", "gone", F.lit(None).cast(first.schema["first"].dataType).alias("first"))
-    )
-    ends = ends.filter("whole IS NOT NULL AND longer IS NOT NULL")
-    replaced = keys.join(wanted.filter("gone >= 0"), ["key", "gone"]).filter("first < place").select(
+    keys = stored(neighbourhoods(lines), "line-neighbours")
+    without, whole = keys.filter("gone >= 0"), keys.filter("gone < 0").select("key", F.col("place").alias("whole"))
+    # lines with one key that left out the same place differ there only: the earliest stands for all
+    first = without.groupBy("key", "gone").agg(F.min("place").alias("first"), F.count("*").alias("many")).filter("many > 1")
+    replaced = without.join(first.select("key", "gone", "first"), ["key", "gone"]).filter("first < place").select(
         "place", "gone", F.col("first").alias("other"), F.col("gone").alias("other_gone")
     )
-    added = keys.filter("gone >= 0").join(ends.select("key", "whole"), "key").filter("whole < place").select(
-        "place", "gone", F.col("whole").alias("other"), F.lit(-1).alias("other_gone")
-    )
-    missing = keys.filter("gone < 0").join(ends.select("key", "longer"), "key").filter("longer.place < place").select(
-        "place", "gone", F.col("longer.place").alias("other"), F.col("longer.gone").alias("other_gone")
+    # a line that is another one's key has a word less; there is one such line a key
+    shorter = without.join(whole, "key")
+    added = shorter.filter("whole < place").select("place", "gone", F.col("whole").alias("other"), F.lit(-1).alias("other_gone"))
+    missing = shorter.filter("place < whole").select(
+        F.col("whole").alias("place"), F.lit(-1).alias("gone"), F.col("place").alias("other"), F.col("gone").alias("other_gone")
     )
-    links = materialize(replaced.unionByName(added).unionByName(missing), "line-links")
+    links = stored(replaced.unionByName(added).unionByName(missing), "line-links")
     own = lines.select("place", F.col("words").alias("a"))
     others = lines.select(F.col("place").alias("other"), F.col("words").alias("b"))
     both = links.join(own, "place").join(others, "other")
@@ -152,19 +147,26 @@ def near_lines(lines: DataFrame) -> DataFrame:
     return both.filter(left == right).select("place").distinct()
 
 
+def _words_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """place, words, front, back of the wanted lines (at, version, line, front, back), from their documents' texts."""
+    held = wanted.groupBy("at", "version").agg(F.collect_list(F.struct("line", "front", "back")).alias("wanted"))
+    texts = _documents(documents).join(held, ["at", "version"]).dropDuplicates(["at", "version"])
+    rows = texts.select("at", "version", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
+    rows = rows.select("at", "version", "w.*", F.get("lines", F.col("w.line")).alias("content"))
+    return rows.select(_place().alias("place"), _words(F.col("content")).alias("words"), "front", "back")
+
+
 def removed_lines(documents: DataFrame) -> DataFrame:
     """at, version, gone: the numbers of the lines to remove, for documents that have any."""
-    lines = materialize(distinct_lines(documents), "lines")
-    sharing = sharing_lines(lines).join(lines.select("l1", "l2", "first"), ["l1", "l2"])
-    words = _lines(documents).select("l1", "l2", _place().alias("place"), "words")
-    chosen = words.join(sharing.withColumnRenamed("first", "place"), ["l1", "l2", "place"]).dropDuplicates(["place"])
-    near = near_lines(materialize(chosen.select("place", "words", "front", "back"), "line-words"))
-    near = near.withColumn("near", F.lit(True))
+    keyed = stored(keyed_lines(documents), "line-hashes")
+    lines = stored(distinct_lines(keyed), "lines")
+    sharing = sharing_lines(lines).join(lines.select("l1", "l2", "first.*"), ["l1", "l2"])
+    chosen = stored(_words_of(documents, sharing.select("at", "version", "line", "front", "back")), "line-words")
+    near = near_lines(chosen).withColumn("near", F.lit(True))
     judged = lines.select("l1", "l2", F.col("first").alias("place")).join(near, "place", "left")
     judged = judged.select("l1", "l2", F.col("place").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
-    every = _lines(documents).select("l1", "l2", "at", "version", "line")
-    gone = every.join(judged, ["l1", "l2"]).filter(F.col("near") | (_place() != F.col("first")))
-    return gone.groupBy("at", "version").agg(F.collect_set("line").alias("gone"))
+    gone = keyed.select("l1", "l2", "at", "version", "line").join(judged, ["l1", "l2"]).filter(F.col("near") | (_place() != F.col("first")))
+    return stored(gone.groupBy("at", "version").agg(F.collect_set("line").alias("gone")), "line-gone")
 
 
 def dedup_lines(documents: DataFrame, result: str = "deduped") -> DataFrame:
