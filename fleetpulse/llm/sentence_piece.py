@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -37,6 +38,7 @@ MOST_WORDS = 400_000  # of the words that a task remembers
 UNIGRAM, BPE = 1, 2  # model types of the format
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)  # piece types of the format
 NEVER = np.iinfo(np.int64).max
+BUCKET_BITS = 17
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -114,6 +116,7 @@ class Encoder:
         hashes = np.array([_hash(c) for c in codes], np.uint64)
         order = np.argsort(hashes)
         self.keys, self.ids = hashes[order], usable[order]
+        self.buckets = np.searchsorted(self.keys >> np.uint64(64 - BUCKET_BITS), np.arange((1 << BUCKET_BITS) + 1, dtype=np.uint64))
         pairs = [(int(a) << 32) | int(b) for c in codes for a, b in zip(c[:-1], c[1:], strict=True)]
         self.pairs = np.unique(np.array(pairs, np.int64))
         self.unknown = int(np.flatnonzero(model.kinds == UNKNOWN)[0]) if (model.kinds == UNKNOWN).any() else 0
@@ -127,11 +130,19 @@ class Encoder:
         self.spelling = [self._spelling(i) for i in range(len(model.pieces))]
 
     def probe(self, hashes: np.ndarray) -> np.ndarray:
-        """Piece of each hash, -1 without one."""
-        if not len(self.keys):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, self.ids[at], -1)
+        """Piece of each hash, -1 without one: the hash's first bits lead to its place among the sorted keys."""
+        out = np.full(len(hashes), -1)
+        bucket = (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+        place, end = self.buckets[bucket], self.buckets[bucket + 1]
+        left = np.flatnonzero(place < end)
+        place, end, wanted = place[left], end[left], hashes[left]
+        while len(left):
+            hit = self.keys[place] == wanted
+            out[left[hit]] = self.ids[place[hit]]
+            place = place + 1
+            more = ~hit & (place < end)
+            left, place, end, wanted = left[more], place[more], end[more], wanted[more]
+        return out
 
     def _split(self) -> None:
         """How merges build each piece: its two parts, and the order of merges (rank; a smaller one is earlier).
@@ -271,9 +282,9 @@ class Encoder:
         cut = [None if t is None else self._cut(self.prepared(t)) for t in texts]
         if len(memory) > MOST_WORDS:
             memory.clear()
-        new = list({w for words in cut if words for w in words if w not in memory})
+        new = list(set(chain.from_iterable(words for words in cut if words)).difference(memory))
         memory.update(zip(new, self.encode_words(new), strict=True))
-        return [None if words is None else [i for w in words for i in memory[w]] for words in cut]
+        return [None if words is None else list(chain.from_iterable(map(memory.__getitem__, words))) for words in cut]
 
     def _cut(self, text: str) -> list[str]:
         if not text:
