@@ -74,6 +74,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> It
             stop = max(start + 1, int(np.searchsorted(ends, before + max_bytes, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()  # workers wait for later tasks and keep what they hold
 
 
 def mix(h: np.ndarray) -> np.ndarray:

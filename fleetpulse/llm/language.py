@@ -28,7 +28,7 @@ from fleetpulse.llm.common import flat, pick, slices
 ORDER = 3
 ROWS = 400
 MAX_BYTES = 1 << 16
-SLICE = 2 << 20
+SLICE = 1 << 18
 UNKNOWN = "und"
 
 
