@@ -7,8 +7,8 @@ line also goes if the earlier one goes too. Shorter lines are kept: one word is
 Equal lines are found first, by a hash of their words; only the first of them goes on. Two lines within one word
 of each other share the words of their first or of their second half, so lines that share neither with any other
 line are done. Each other line emits its deletion neighbourhood: for each place in the half that may differ, a
-64-bit key of the line without that word (a modular sum over adjacent pairs of words, so a key costs the same for
-lines of any length), and its own key. Equal keys are joined by aggregation: the earliest line of a key stands for
+64-bit key of the line without that word (a modular sum over the words and where they stand; the keys of neighbouring
+places differ in one word, so running sums give all of them), and its own key. Equal keys are joined by aggregation: the earliest line of a key stands for
 it, so a key that many lines share gives one row a line and no pairs. Each link found is verified on the words.
 
 Edge cases: a null text has no lines; blank and short lines are kept; rows without doc_id come last. Rows that
@@ -94,29 +94,41 @@ def _minus(x: Column, y: Column) -> Column:
     return (x + (F.lit(MASK + 1) - y)).bitwiseAND(F.lit(MASK))
 
 
-def _pair(x: Column, y: Column) -> Column:
-    return F.xxhash64(x, y).bitwiseAND(F.lit(MASK))
+def _word_at(i: Column, h: Column) -> Column:
+    return F.xxhash64(i, h).bitwiseAND(F.lit(MASK))
+
+
+def _running_sums(values: Column, n: Column) -> Column:
+    """The sums of the first 1, 2, ... of n values, in rounds that double the reach, so about n log n steps."""
+    reach = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda r: r < n)
+    return F.aggregate(
+        reach, values, lambda sums, r: F.transform(sums, lambda x, i: F.when(i >= r, _add(x, F.get(sums, i - r))).otherwise(x))
+    )
 
 
 def neighbourhoods(lines: DataFrame) -> DataFrame:
     """place, gone, key: each line's own key (gone = -1) and its key without word `gone` (from 0)."""
     n = F.size("words")
-    marked = F.concat(F.array(F.lit(1).cast("long")), F.transform("words", lambda w: F.xxhash64(w)), F.array(F.lit(2).cast("long")))
-    rows = lines.withColumn("h", marked).withColumn("n", n)
+    rows = lines.withColumn("h", F.transform("words", lambda w: F.xxhash64(w))).withColumn("n", n)
     h = lambda i: F.get("h", i)
-    bag = F.aggregate(F.sequence(F.lit(0), F.col("n")), F.lit(0).cast("long"), lambda acc, i: _add(acc, _pair(h(i), h(i + 1))))
-    rows = rows.withColumn("bag", bag)
+    total = lambda last, word: F.aggregate(
+        F.sequence(F.lit(0), last), F.lit(0).cast("long"), lambda acc, i: _add(acc, _word_at(i, word(i)))
+    )
     short = F.floor((F.col("n") - 1) / 2).cast("int")
-    start = F.when(F.col("back"), 0).otherwise(short)
-    stop = F.when(F.col("front"), F.col("n") - 1).otherwise(F.col("n") - 1 - short)
-
-    def without(i: Column) -> Column:
-        left = _minus(_minus(F.col("bag"), _pair(h(i), h(i + 1))), _pair(h(i + 1), h(i + 2)))
-        key = F.xxhash64(F.col("n") - 1, _add(left, _pair(h(i), h(i + 2))))
-        return F.struct(i.alias("gone"), key.alias("key"))
-
-    own = F.array(F.struct(F.lit(-1).alias("gone"), F.xxhash64("n", "bag").alias("key")))
-    return rows.select("place", F.explode(F.concat(own, F.transform(F.sequence(start, stop), without))).alias("k")).select("place", "k.*")
+    rows = rows.withColumn("start", F.when(F.col("back"), 0).otherwise(short))
+    rows = rows.withColumn("stop", F.when(F.col("front"), F.col("n") - 1).otherwise(F.col("n") - 1 - short))
+    rows = rows.withColumn("whole", total(F.col("n") - 1, h))
+    rows = rows.withColumn("base", total(F.col("n") - 2, lambda i: h(F.when(i < F.col("start"), i).otherwise(i + 1))))
+    # without word i instead of word i - 1: word i - 1 stands at i - 1 where word i stood
+    step = lambda i: _minus(_word_at(i - 1, h(i - 1)), _word_at(i - 1, h(i)))
+    places = F.sequence("start", "stop")
+    rows = rows.withColumn("steps", F.transform(places, lambda i: F.when(i == F.col("start"), F.col("base")).otherwise(step(i))))
+    rows = rows.withColumn("sums", _running_sums(F.col("steps"), F.size("steps")))
+    without = F.transform(
+        "sums", lambda x, i: F.struct((F.col("start") + i).alias("gone"), F.xxhash64(F.col("n") - 1, x).alias("key"))
+    )
+    own = F.array(F.struct(F.lit(-1).alias("gone"), F.xxhash64("n", "whole").alias("key")))
+    return rows.select("place", F.explode(F.concat(own, without)).alias("k")).select("place", "k.*")
 
 
 def _left_out(words: str, gone: str) -> str:

@@ -129,6 +129,25 @@ def test_line_dedup(spark):
     assert full.filter("doc_id = 3").count() == 2  # a repeated row is the same document
 
 
+def test_line_dedup_tells_swapped_words_apart(spark):
+    """Lines with the same pairs of neighbouring words in another order don't stand for one another."""
+    lines = ["| yes | no | z", "| yes | no | a", "| no | yes | b", "| no | yes | c", "the a the b the x", "the b the a the x", "the b the a the y"]
+    docs = list(enumerate(lines))
+    want = brute.kept_lines(docs)
+    assert [i for i, t in want.items() if not t] == [1, 3, 6]
+    got = line_dedup.report(frame(spark, docs)).collect()
+    assert {r.doc_id: r.kept_sha256 for r in got} == {d: brute.sha(t) for d, t in want.items()}
+    words = frame(spark, [(0, "0 1 2 3 4 5 6")]).selectExpr("struct(doc_id) AS place", "split(text, ' ') AS words")
+    for n in (5, 6, 7):
+        for front, back in ((True, True), (True, False), (False, True)):
+            line = words.selectExpr("place", f"slice(words, 1, {n}) AS words", f"{front} AS front", f"{back} AS back")
+            keys = {r.gone: r.key for r in line_dedup.neighbourhoods(line).collect()}
+            assert set(keys) == {-1, *range(0 if back else (n - 1) // 2, n if front else n - (n - 1) // 2)}
+            for gone in set(keys) - {-1}:
+                left = line.selectExpr("place", f"filter(words, w -> w <> '{gone}') AS words", "front", "back")
+                assert line_dedup.neighbourhoods(left).filter("gone < 0").first().key == keys[gone]
+
+
 def test_fingerprints(spark, rows):
     docs = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0])
     got = {r.doc_id: r for r in fingerprint.edited_fingerprints(frame(spark, rows)).collect()}
