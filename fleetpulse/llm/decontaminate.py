@@ -18,15 +18,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetpulse.llm.common import LETTER_OR_DIGIT, LOWER, flat, pick, slices, word_hashes, words
+from fleetpulse.session import materialize, scratch_path
 
 WINDOW = 13
 SHARD_BYTES = 16 << 20
-BLOCK_BYTES = 32 << 20  # of benchmark text searched (and broadcast) at a time
+BLOCK_BYTES = 32 << 20  # of benchmark text and names searched (and broadcast) at a time
+GROUPS = 64  # of benchmark texts whose sizes are cumulated at once
 SAMPLE = 8  # every eighth position of a shard is kept
 
 
@@ -36,31 +38,33 @@ class Phrases:
 
     vocabulary: np.ndarray  # sorted word hashes; symbol i + 1 is vocabulary[i]
     symbols: dict[int, np.ndarray]
-    items: dict[int, list[list[str]]]  # the items of each window
+    items: dict[int, list[list[int]]]  # the texts of each window
+    names: list[list[str]]  # the items of each text
 
     @property
     def shortest(self) -> int:
         return min(self.symbols, default=0)
 
 
-def prepare(texts: list[str | None], names: list[str]) -> Phrases:
+def prepare(texts: list[str | None], names: list[list[str]]) -> Phrases:
     data, offsets = flat(pa.array(texts, pa.string()))
     data = LOWER[data]
     starts, ends, counts = words(data, offsets, LETTER_OR_DIGIT)
     hashes = word_hashes(data, starts, ends)
     vocabulary, symbol = np.unique(hashes, return_inverse=True)
     symbol = symbol.astype(np.int32) + 1
-    held: dict[int, dict[tuple, set[str]]] = {}
+    held: dict[int, dict[tuple, set[int]]] = {}
     at = 0
-    for name, count in zip(names, counts.tolist(), strict=True):
+    for text, count in enumerate(counts.tolist()):
         size = min(count, WINDOW)
         for i in range(at, at + count - size + 1 if count else at):
-            held.setdefault(size, {}).setdefault(tuple(symbol[i : i + size].tolist()), set()).add(name)
+            held.setdefault(size, {}).setdefault(tuple(symbol[i : i + size].tolist()), set()).add(text)
         at += count
     return Phrases(
         vocabulary,
         {size: np.array(list(found), np.int32) for size, found in held.items()},
         {size: [sorted(x) for x in found.values()] for size, found in held.items()},
+        names,
     )
 
 
@@ -189,7 +193,7 @@ def scan(phrases: Phrases, texts: pa.Array) -> list[dict]:
         symbol = np.where(phrases.vocabulary[at] == hashes, at + 1, 0)
     cover = np.zeros(len(hashes) + 1, np.int64)
     first_word = np.cumsum(counts) - counts
-    items: dict[int, set[str]] = {}
+    items: dict[int, set[int]] = {}
     for length, begin, window in find(phrases, symbol, counts):
         np.add.at(cover, begin, 1)
         np.add.at(cover, begin + length, -1)
@@ -198,11 +202,11 @@ def scan(phrases: Phrases, texts: pa.Array) -> list[dict]:
             items.setdefault(r, set()).update(phrases.items[length][w])
     hit = np.cumsum(cover[:-1]) > 0
     out = [{"n_words": int(c), "n_hit": 0, "items": [], "spans": []} for c in counts]
-    for r, names in items.items():
+    for r, texts_of in items.items():
         own = hit[first_word[r] : first_word[r] + counts[r]]
         edges = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]])))
         out[r]["n_hit"] = int(own.sum())
-        out[r]["items"] = sorted(names)
+        out[r]["items"] = sorted({name for text in texts_of for name in phrases.names[text]})
         a, b = first_word[r] + edges[::2], first_word[r] + edges[1::2] - 1
         out[r]["spans"] = [
             {"first_word": int(i - first_word[r]), "last_word": int(j - first_word[r]), "start": int(starts[i] - offsets[r]), "end": int(ends[j] - offsets[r])}
@@ -231,29 +235,56 @@ FOUND = (
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[Phrases]:
-    """The benchmark in blocks of at most block_bytes of text (or one item), as search phrases."""
+    """The benchmark in blocks as search phrases; a block goes beyond block_bytes (texts, names) by one text at most.
+
+    Each distinct text is in one block, with all its items. Sizes are cumulated in each of a few hashed groups at once.
+    """
     items = pick(benchmark, name="item_id", text="text").filter("text IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = int(-(-total // block_bytes)) or 1
-    for i in range(parts):
-        block = items.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == i) if parts > 1 else items
-        rows = block.select(F.coalesce(F.col("name").cast("string"), F.lit("null")).alias("name"), "text").collect()
-        yield prepare([r["text"] for r in rows], [r["name"] for r in rows])
+    name = F.coalesce(F.col("name").cast("string"), F.lit("null"))
+    texts = items.groupBy("text").agg(F.collect_set(name).alias("names"))
+    texts = texts.withColumn("size", (F.octet_length("text") + F.octet_length(F.array_join("names", ""))).cast("long"))
+    texts = materialize(texts.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(GROUPS)).cast("int")), "benchmark-texts")
+    sizes = {r["part"]: r["size"] for r in texts.groupBy("part").agg(F.sum("size").alias("size")).collect()}
+    before = np.cumsum([0, *[sizes.get(i, 0) for i in range(GROUPS)]]).tolist()
+    blocks = max(1, -(-before[-1] // block_bytes))
+    if blocks > 1:
+        own = F.sum("size").over(Window.partitionBy("part").orderBy("text")) - F.col("size")
+        start = F.get(F.array(*[F.lit(int(x)).cast("long") for x in before]), F.col("part"))
+        block = F.floor((own + start) / block_bytes).cast("long")
+        texts = materialize(texts.withColumn("block", block), "benchmark-blocks")
+    for i in range(blocks):
+        rows = (texts.filter(F.col("block") == i) if blocks > 1 else texts).select("text", "names").collect()
+        if rows or not i:  # a text that is larger than a block leaves the next ones empty
+            yield prepare([r["text"] for r in rows], [r["names"] for r in rows])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def search(documents: DataFrame, benchmark: DataFrame, found: str = "found", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """documents with a struct column: n_words, n_hit, items (names, sorted as text) and merged removal spans.
 
-    No shuffle: a document is judged in the task that reads it. The benchmark goes to the tasks in blocks of a
-    stated size, one pass over the rows for each block; later passes add to what the earlier ones found.
+    No shuffle of documents: each is judged in the task that reads it. The benchmark goes to the tasks in blocks of a
+    stated size, one pass over the rows for each block; later passes add to what the earlier ones found. A pass is
+    stored before the next one begins, so that driver and tasks hold one block at a time.
     """
     out = documents
     spark = documents.sparkSession
     schema = T.StructType([f for f in documents.schema.fields if f.name != found]).add(found, FOUND)
-    for i, phrases in enumerate(_blocks(benchmark, block_bytes)):
-        held = spark.sparkContext.broadcast(phrases)
-
-        def judge(batches: Iterator[pa.RecordBatch], held=held, again=i > 0) -> Iterator[pa.RecordBatch]:
+    held, path = None, None
+    for phrases in _blocks(benchmark, block_bytes):
+        if held is not None:
+            last, path = path, scratch_path(spark, "decontamination")
+            out.write.option("compression", "zstd").parquet(path)
+            out = spark.read.schema(schema).parquet(path)
+            held.destroy()
+            if last:
+                _delete(spark, last)
+        again, held = held is not None, spark.sparkContext.broadcast(phrases)
+
+        def judge(batches: Iterator[pa.RecordBatch], held=held, again=again) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text", SHARD_BYTES):
                 results = scan(held.value, batch.column("text"))
                 if again:

@@ -8,6 +8,7 @@ from collections import Counter
 import brute
 import pytest
 from fleetpulse.llm import decontaminate, fingerprint, line_dedup, near_dup, suffix_dedup
+from pyspark import Broadcast
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words int, score double, at long, k1 string, found string"
 
@@ -199,6 +200,23 @@ def test_decontamination(spark, rows):
     assert len(none) == len(docs) and not any(r.contaminated for r in none)
 
 
+def test_decontamination_blocks_of_a_skewed_benchmark(spark, monkeypatch):
+    rng = random.Random(11)
+    often = prose(rng, 30)
+    items = [(i, often) for i in range(40)] + [(100 + i, prose(rng, 20)) for i in range(60)]
+    docs = [(1, often), (2, f"x {items[45][1]} y {items[70][1]}"), (3, prose(rng, 50))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    sizes, held, prepare = [], [], decontaminate.prepare
+    monkeypatch.setattr(decontaminate, "prepare", lambda texts, names: (sizes.append(sum(map(len, texts))), prepare(texts, names))[1])
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value, f=type(spark.sparkContext).broadcast: (held.append(f(self, value)), held[-1])[1])
+    gone = []
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a, f=Broadcast.destroy, **b: (gone.append(self), f(self, *a, **b))[1])
+    got = decontaminate.report(frame(spark, docs), bench, 3000).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == Counter(brute.hits(docs, items))
+    assert len(sizes) > 1 and max(sizes) <= 3000 + max(len(t) for _, t in items)
+    assert gone == held[:-1]
+
+
 def test_spans_are_byte_ranges(spark):
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     row = decontaminate.report(frame(spark, [(1, "Ünï, ALPHA  beta\ngamma! rest")]), items).first()
