@@ -8,7 +8,9 @@ JSON Schema) and each call becomes one line of canonical JSON: sorted keys, no b
 (level, turn) orders the calls of a conversation: a call comes behind the one it uses.
 
 Edge cases: of calls or results that repeat an identifier in a conversation the first counts (smallest turn, then
-content) and `copies` tells how many calls there are. A call without identifier or conversation is unanswered and has
+content) and `copies` tells how many calls there are. The others are rows of kind `repeated_call` or `repeated_result`
+with the status `repeated` and no level; equal ones are one row, whose `copies` tells how many they are. Of results
+without a call all are orphans. A call without identifier or conversation is unanswered and has
 level 0; a result without either, or without a call, is an orphan. An `after` that names no call is as good as none.
 Calls on a cycle, or using one, have no level and the status `cycle`. Arguments that are no JSON object are invalid and
 written as null; so are the arguments of unknown tools, if they can't be read.
@@ -93,7 +95,7 @@ def _levels(calls: DataFrame) -> DataFrame:
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """conv_id, turn, call_id, kind, level, status, valid, error, copies, json for every call and orphan result.
+    """conv_id, turn, call_id, kind, level, status, valid, error, copies, json for every call, orphan and repeated result.
 
     calls: conv_id, turn, call_id, name, arguments (JSON), after (call_id or null). results: conv_id, turn, call_id, content.
     """
@@ -104,7 +106,12 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
         F.min(F.struct("turn", "name", "arguments", "after")).alias("c"), F.count("*").alias("copies")
     )
     first = materialize(first.select("conv_id", "call_id", "c.*", "copies"), "chat-calls")
-    answers = results.filter(whole).groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("r"))
+    answers = results.filter(whole).groupBy("conv_id", "call_id").agg(
+        F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("n")
+    )
+    later_calls = _repeated(calls.filter(whole), first.filter("copies > 1"), ["turn", "name", "arguments", "after"])
+    answered = answers.filter("n > 1").select("conv_id", "call_id", "r.*").join(first.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_semi")
+    later_results = _repeated(results.filter(whole), answered, ["turn", "content"])
     answers = answers.select("conv_id", "call_id", F.col("r.turn").alias("answer_turn"), F.col("r.content").alias("content"), F.lit(True).alias("answered"))
     linked = first.join(answers, ["conv_id", "call_id"], "left").join(_levels(first), ["conv_id", "call_id"])
     linked = linked.withColumn("status", F.expr("CASE WHEN level IS NULL THEN 'cycle' WHEN answered THEN 'linked' ELSE 'unanswered' END"))
@@ -117,9 +124,22 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
         "conv_id", "turn", "call_id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"), "content",
         F.lit(None).cast("long").alias("level"), F.lit("orphan").alias("status"), F.lit(0).cast("long").alias("copies"), F.lit("result").alias("kind"),
     )
+    for later, kind in ((later_calls, "repeated_call"), (later_results, "repeated_result")):
+        later = later.withColumns({"level": F.lit(None).cast("long"), "status": F.lit("repeated"), "kind": F.lit(kind)})
+        missing = {c: F.lit(None).cast("string") for c in ("name", "arguments", "content") if c not in later.columns}
+        orphans = orphans.unionByName(later.withColumns(missing).select(orphans.columns))
     return _written(rows.unionByName(orphans), schemas)
 
 
+def _repeated(rows: DataFrame, first: DataFrame, values: list[str]) -> DataFrame:
+    """conv_id, call_id, values, copies: the rows of the identifiers in first, but for first itself; equal ones as one."""
+    keys = ["conv_id", "call_id"]
+    first = first.select(*keys, F.struct(*values).alias("__first"))
+    found = rows.join(first, keys).groupBy(*keys, *values, "__first").agg(F.count("*").alias("copies"))
+    own = F.struct(*values).eqNullSafe(F.col("__first"))
+    return found.withColumn("copies", F.col("copies") - F.when(own, 1).otherwise(0)).filter("copies > 0").select(*keys, *values, "copies")
+
+
 def _written(rows: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     kept = ["conv_id", "turn", "call_id", "kind", "level", "status", "copies"]
     types = dict(rows.dtypes)
@@ -131,7 +151,7 @@ def _written(rows: DataFrame, schemas: dict[str, dict]) -> DataFrame:
             for kind, call_id, name, arguments, content in zip(
                 *[batch.column(c).to_pylist() for c in ("kind", "call_id", "name", "arguments", "content")], strict=True
             ):
-                if kind == "result":
+                if kind in ("result", "repeated_result"):
                     valid.append(None)
                     errors.append(None)
                     lines.append(canonical({"content": content, "tool_call_id": call_id}))

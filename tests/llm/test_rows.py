@@ -208,6 +208,22 @@ def test_chat_links(spark):
     assert chat.link_calls(calls.limit(0), results.limit(0), chat.SCHEMAS).count() == 0
 
 
+def test_chat_keeps_repeated_calls_and_results(spark):
+    calls = [(1, 0, "a", "measure", '{"chars":1}', None), (1, 2, "a", "measure", '{"chars":2}', None), (1, 2, "a", "measure", '{"chars":2}', None),
+             (1, 0, "b", "measure", '{"chars":3}', None), (1, 0, "b", "measure", '{"chars":3}', None)]
+    results = [(1, 1, "a", "first"), (1, 1, "a", "later"), (1, 3, "a", None), (1, 3, "a", None), (1, 1, "b", "only"), (1, 1, "z", "lost"), (1, 1, "z", "lost")]
+    calls = spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string, after string")
+    results = spark.createDataFrame(results, "conv_id long, turn long, call_id string, content string")
+    rows = chat.link_calls(calls, results, chat.SCHEMAS).collect()
+    got = Counter((r.kind, r.status, r.turn, r.call_id, r.copies, json.loads(r.json).get("content"), (json.loads(r.json).get("arguments") or {}).get("chars")) for r in rows)
+    assert got == Counter({
+        ("call", "linked", 0, "a", 3, None, 1): 1, ("repeated_call", "repeated", 2, "a", 2, None, 2): 1,
+        ("call", "linked", 0, "b", 2, None, 3): 1, ("repeated_call", "repeated", 0, "b", 1, None, 3): 1,
+        ("repeated_result", "repeated", 1, "a", 1, "later", None): 1, ("repeated_result", "repeated", 3, "a", 2, None, None): 1,
+        ("result", "orphan", 1, "z", 0, "lost", None): 2,
+    })
+
+
 # --- SentencePiece
 
 
