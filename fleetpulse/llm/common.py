@@ -40,6 +40,19 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[f"`{name}`"].alias(new) for new, name in columns.items()])
 
 
+def skewed_join(rows: DataFrame, side: DataFrame, keys: list[str], count: str, shares: int = 10_000) -> DataFrame:
+    """The inner join of rows with side, which has each key once and in `count` how many of the rows have it.
+
+    Keys with more than one in `shares` of the rows, fewer than `shares` of them whatever the data, are broadcast;
+    the other rows are exchanged by key, and none of those keys is large. Both inputs are read twice: pass stored tables.
+    """
+    total = side.agg(F.sum(count)).first()[0] or 0
+    hot = side.filter(F.col(count) * shares > total)
+    cold = side.filter(F.col(count) * shares <= total)
+    spread = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(spread)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder; the shuffle files that led to it can go.
 

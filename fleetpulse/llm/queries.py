@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetpulse.llm import (
-    chat, decontaminate, fingerprint, language, line_dedup, near_dup, sentence_piece, suffix_dedup, url_filter, warc,
+    chat, decontaminate, embedding_dup, fill_in_middle, fingerprint, importance, language, line_dedup, near_dup, sentence_piece, suffix_dedup,
+    url_filter, warc,
 )
 from fleetpulse.session import ship_package
 
@@ -98,6 +99,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.report(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -110,6 +123,9 @@ def queries() -> dict[str, Query]:
         "op8_warc": op8_warc,
         "op9_fingerprints": op9_fingerprints,
         "op10_decontamination": op10_decontamination,
+        "op11_importance_resampling": op11_importance_resampling,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_embedding_near_dup": op13_embedding_near_dup,
     }
 
 
@@ -121,4 +137,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_chat_format": chat.ORACLE,
         "op8_warc": warc.ORACLE,
         "op10_decontamination": decontaminate.ORACLE,
+        "op11_importance_resampling": importance.ORACLE,
+        "op12_fill_in_middle": fill_in_middle.ORACLE,
+        "op13_embedding_near_dup": embedding_dup.ORACLE,
     }
