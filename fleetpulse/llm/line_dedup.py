@@ -1,8 +1,8 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame and SQL functions only.
 
-A line (between line feeds) of at least five words is removed if an earlier line (by doc_id, then line number) has
-the same words, or differs by one word: one replaced, inserted or left out. Lines are judged on the input, so a
-line also goes if the earlier one goes too. Shorter lines are kept: one word is more than a fifth of them.
+A line (between line feeds) is removed if an earlier line (by doc_id, then line number) has the same words. It also
+goes if both have at least five words and differ by one: one replaced, inserted or left out; of shorter lines one word
+is more than a fifth. Lines are judged on the input, so a line also goes if the earlier one goes too.
 
 Equal lines are found first, by a hash of their words; only the first of them goes on. Two lines within one word
 of each other share the words of their first or of their second half, so lines that share neither with any other
@@ -11,20 +11,24 @@ line are done. Each other line emits its deletion neighbourhood: for each place
 places differ in one word, so running sums give all of them), and its own key. Equal keys are joined by aggregation: the earliest line of a key stands for
 it, so a key that many lines share gives one row a line and no pairs. Each link found is verified on the words.
 
-Edge cases: a null text has no lines; blank and short lines are kept; rows without doc_id come last. Rows that
+Edge cases: a null text has no lines; lines without words are kept; rows without doc_id come last. Rows that
 repeat both doc_id and text are one document and treated alike; rows that repeat a doc_id only are ordered by a
 hash of their text.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.llm.common import pick, stored
 
 SPACE = r"[\x20\x09-\x0D]+"
-LEAST_WORDS = 5
+OTHER_SPACE = "\t\v\f\r"  # white space in a line besides blanks
+LEAST_WORDS = 5  # of lines that are compared up to a word
 MASK = (1 << 62) - 1
 LAST = (1 << 63) - 1
 
@@ -40,7 +44,9 @@ def _documents(documents: DataFrame) -> DataFrame:
 
 
 def _words(line: Column) -> Column:
-    return F.array_remove(F.split(line, SPACE), "")
+    """The words of a line; lines with blanks only, the usual ones, are spared the pattern."""
+    odd = reduce(or_, [line.contains(c) for c in OTHER_SPACE])
+    return F.array_remove(F.when(odd, F.split(line, SPACE)).otherwise(F.split(line, " ")), "")
 
 
 def _place() -> Column:
@@ -48,16 +54,17 @@ def _place() -> Column:
 
 
 def keyed_lines(documents: DataFrame) -> DataFrame:
-    """at, version, line, l1, l2, front, back: the lines that count, with hashes of their words and of their halves."""
+    """at, version, line, l1, l2, front, back: lines with words, hashes of the words and, of long lines, of their halves."""
     rows = _documents(documents).select("at", "version", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    rows = rows.select("at", "version", "line", _words(F.col("content")).alias("words")).filter(F.size("words") >= LEAST_WORDS)
+    rows = rows.select("at", "version", "line", _words(F.col("content")).alias("words")).filter(F.size("words") > 0)
     n = F.size("words")
+    halves = lambda keys: F.when(n >= LEAST_WORDS, F.array(*keys)).otherwise(F.array().cast("array<bigint>"))
     a, b = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
     front = [F.xxhash64(F.lit(0), F.slice("words", F.lit(1), x)) for x in (a, b)]
     back = [F.xxhash64(F.lit(1), F.slice("words", n - x + 1, x)) for x in (a, b)]
     return rows.select(
         "at", "version", "line", F.xxhash64("words").alias("l1"), F.xxhash64(F.lit(1), "words").alias("l2"),
-        F.array(*front).alias("front"), F.array(*back).alias("back"),
+        halves(front).alias("front"), halves(back).alias("back"),
     )
 
 
@@ -69,7 +76,7 @@ def distinct_lines(keyed: DataFrame) -> DataFrame:
 
 
 def sharing_lines(lines: DataFrame) -> DataFrame:
-    """l1, l2, front, back: lines that share a half with another line, and which halves."""
+    """l1, l2, front, back: long lines that share a half with another one, and which halves."""
     sides = F.explode(
         F.array_distinct(
             F.concat(
@@ -227,12 +234,12 @@ ORACLE = r"""
 WITH l AS (SELECT doc_id, line, list_filter(regexp_split_to_array(content, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line
     FROM documents)),
-c AS (SELECT w, len(w) AS n, min({'d': doc_id, 'l': line}) AS p FROM l WHERE len(w) >= 5 GROUP BY w),
-v AS (SELECT w, n, p, i, list_concat(w[1:i - 1], w[i + 1:n]) AS t FROM c, range(1, 20000) r(i) WHERE i <= n),
+c AS (SELECT w, len(w) AS n, min({'d': doc_id, 'l': line}) AS p FROM l WHERE len(w) > 0 GROUP BY w),
+v AS (SELECT w, n, p, i, list_concat(w[1:i - 1], w[i + 1:n]) AS t FROM c, range(1, 20000) r(i) WHERE i <= n AND n >= 5),
 a AS (SELECT t, i, min(p) AS m FROM v GROUP BY t, i),
 x AS (SELECT v.w FROM v JOIN a ON v.t = a.t AND v.i = a.i WHERE a.m < v.p
-  UNION SELECT v.w FROM v JOIN c ON v.t = c.w WHERE c.p < v.p
-  UNION SELECT c.w FROM v JOIN c ON v.t = c.w WHERE v.p < c.p),
+  UNION SELECT v.w FROM v JOIN c ON v.t = c.w WHERE c.n >= 5 AND c.p < v.p
+  UNION SELECT c.w FROM v JOIN c ON v.t = c.w WHERE c.n >= 5 AND v.p < c.p),
 g AS (SELECT l.doc_id, l.line FROM l JOIN c ON l.w = c.w LEFT JOIN x ON l.w = x.w
   WHERE x.w IS NOT NULL OR c.p <> {'d': l.doc_id, 'l': l.line}),
 r AS (SELECT doc_id, list(line) AS gone FROM g GROUP BY doc_id)

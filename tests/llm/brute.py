@@ -50,7 +50,7 @@ def near_components(docs: list[tuple]) -> list[tuple]:
 
 
 def kept_lines(docs: list[tuple], least: int = 5) -> dict:
-    """doc_id -> text without the lines that an earlier one repeats up to a word; unique ids, null last."""
+    """doc_id -> text without the lines that an earlier one repeats, up to a word in lines of `least` words; unique ids, null last."""
     def near(a: list[str], b: list[str]) -> bool:
         if len(a) == len(b):
             return sum(x != y for x, y in zip(a, b)) <= 1
@@ -63,10 +63,10 @@ def kept_lines(docs: list[tuple], least: int = 5) -> dict:
         left = []
         for line in (text.split("\n") if text is not None else []):
             words = [w for w in re.split(r"[\x20\x09-\x0D]+", line) if w]
-            if len(words) < least:
+            if not words:
                 left.append(line)
                 continue
-            if not any(near(words, e) for e in earlier):
+            if not any(words == e or (min(len(words), len(e)) >= least and near(words, e)) for e in earlier):
                 left.append(line)
             earlier.append(words)
         out[doc_id] = "\n".join(left) if text is not None else None
