@@ -13,7 +13,9 @@ with the status `repeated` and no level; equal ones are one row, whose `copies`
 without a call all are orphans. A call without identifier or conversation is unanswered and has
 level 0; a result without either, or without a call, is an orphan. An `after` that names no call is as good as none.
 Calls on a cycle, or using one, have no level and the status `cycle`. Arguments that are no JSON object are invalid and
-written as null; so are the arguments of unknown tools, if they can't be read.
+written as null; so are the arguments of unknown tools, if they can't be read. Numbers beyond double precision, NaN
+and the like, lone surrogates, and values nested deeper than NESTED levels are no JSON here, as they can't be written
+again as such. A schema with a keyword value that this subset doesn't have is refused before any row is read.
 """
 
 from __future__ import annotations
@@ -32,18 +34,45 @@ from fleetpulse.session import materialize
 TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "integer": int, "number": (int, float), "null": type(None)}
 
 
-def plain(x: Any) -> Any:
-    """A JSON value in which whole numbers have no fraction."""
-    if isinstance(x, dict):
-        return {k: plain(v) for k, v in x.items()}
-    if isinstance(x, list):
-        return [plain(v) for v in x]
+NESTED = 100
+
+
+def plain(x: Any, levels: int = NESTED) -> Any:
+    """A JSON value in which whole numbers have no fraction; ValueError if it is nested deeper than so many levels."""
+    if isinstance(x, (dict, list)):
+        if not levels:
+            raise ValueError("nested too deep")
+        return {k: plain(v, levels - 1) for k, v in x.items()} if isinstance(x, dict) else [plain(v, levels - 1) for v in x]
     return int(x) if isinstance(x, float) and x.is_integer() and abs(x) < 2**53 else x
 
 
 def canonical(value: Any) -> str:
-    """JSON with sorted keys and without blanks."""
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with sorted keys and without blanks; ValueError for numbers that JSON doesn't have."""
+    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def _refuse(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
+
+
+def parsed(text: str | None) -> Any:
+    """The value of a JSON text, None if it isn't one or can't be written again."""
+    if text is None:
+        return None
+    try:
+        value = plain(json.loads(text, parse_constant=_refuse))
+        canonical(value).encode()  # fails for numbers out of range and lone surrogates
+    except (ValueError, RecursionError):
+        return None
+    return value
+
+
+def check_schema(schema: dict) -> None:
+    """ValueError if a schema, or one inside it, has a type that TYPES doesn't have."""
+    if schema.get("type") is not None and schema["type"] not in TYPES:
+        raise ValueError(f"unknown type {schema['type']!r}")
+    for inner in [*schema.get("properties", {}).values(), *([schema["items"]] if "items" in schema else [])]:
+        check_schema(inner)
 
 
 def violation(value: Any, schema: dict, path: str = "") -> str | None:
@@ -54,7 +83,8 @@ def violation(value: Any, schema: dict, path: str = "") -> str | None:
         return f"{where}: not {kind}"
     if "enum" in schema and value not in schema["enum"]:
         return f"{where}: not one of the values"
-    if "minimum" in schema and value < schema["minimum"] or "maximum" in schema and value > schema["maximum"]:
+    number = isinstance(value, (int, float)) and not isinstance(value, bool)
+    if number and ("minimum" in schema and value < schema["minimum"] or "maximum" in schema and value > schema["maximum"]):
         return f"{where}: out of range"
     if kind == "array" and "items" in schema:
         return next((e for i, x in enumerate(value) if (e := violation(x, schema["items"], f"{where}[{i}]"))), None)
@@ -99,6 +129,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
 
     calls: conv_id, turn, call_id, name, arguments (JSON), after (call_id or null). results: conv_id, turn, call_id, content.
     """
+    for schema in schemas.values():
+        check_schema(schema)
     calls = pick(calls, conv_id="conv_id", turn="turn", call_id="call_id", name="name", arguments="arguments", after="after")
     results = pick(results, conv_id="conv_id", turn="turn", call_id="call_id", content="content")
     whole = "conv_id IS NOT NULL AND call_id IS NOT NULL"
@@ -156,10 +188,7 @@ def _written(rows: DataFrame, schemas: dict[str, dict]) -> DataFrame:
                     errors.append(None)
                     lines.append(canonical({"content": content, "tool_call_id": call_id}))
                     continue
-                try:
-                    given = plain(json.loads(arguments)) if arguments is not None else None
-                except ValueError:
-                    given = None
+                given = parsed(arguments)
                 error = "tool: unknown" if name not in schemas else violation(given, schemas[name])
                 valid.append(error is None)
                 errors.append(error)

@@ -5,10 +5,12 @@ of a class goes on. 192 MinHash values of a class give 32 band keys of 6 values
 none with probability 3e-7) and are folded into an odd sketch: a parity bitmap of 512 bits, one flip a value.
 
 Classes that share a band key form groups (connected components over star edges to the smallest class of each
-key). A group's full sets then meet in tasks of bounded size: a group beyond the bound is cut into blocks, and
-every pair of blocks meets in a task. There, population counts of XORed sketches choose what to compare, sets are
-intersected exactly, and only edges that join two parts are emitted, so a group of n classes gives fewer than n
-edges a task and no pair of the final links is needed. Components of these edges are the result.
+key). A group's full sets then meet in tasks of bounded size: a group beyond the bound is cut into blocks. There,
+population counts of XORed sketches choose what to compare, sets are intersected exactly, and only edges that join two
+parts are emitted, so n classes give fewer than n edges a task and no pair of the final links is needed. In a group of
+several blocks one set of each connected part meets the others of its kind, and only sets that are then still outside
+the group's largest part are compared with all blocks: a group of near copies costs a copy of each set, not a
+copy for each block. Components of all edges are the result.
 
 Edge cases: a text without words has an empty set and is linked with nothing; with fewer than five words the whole
 sequence is one shingle. Rows without doc_id take part in links; component_id is the smallest doc_id present, null
@@ -22,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.common import LOWER, NOT_SPACE, flat, mix, pick, shingles, slices, word_hashes, words
+from fleetpulse.llm.common import LOWER, NOT_SPACE, flat, mix, pick, shingles, skewed_join, slices, word_hashes, words
 from fleetpulse.llm.components import components
 from fleetpulse.session import materialize
 
@@ -36,7 +38,7 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 FAR_BITS = 128  # more differing sketch bits: below the least similarity (six deviations from what 0.85 gives)
 SLICE = 1 << 20
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 512
 BLOCK_SHINGLES = 1 << 21
 
 _rng = np.random.default_rng(20240101)
@@ -126,18 +128,36 @@ def sketched(documents: DataFrame) -> DataFrame:
     )
 
 
+def set_classes(rows: DataFrame) -> DataFrame:
+    """node, k1, k2, doc_id, version, n, bands, sketch: each distinct set once, with one of its documents.
+
+    node is k1, but where sets with different k2 have one k1: all of them but one get another number.
+    """
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "version")).alias("one")
+    classes = rows.groupBy("k1", "k2").agg(one, *[F.first(c).alias(c) for c in ("n", "bands", "sketch")])
+    turn = F.row_number().over(Window.partitionBy("k1").orderBy("k2"))
+    classes = classes.withColumn("node", F.when(turn == 1, F.col("k1")).otherwise(F.xxhash64("k1", "k2")))
+    return classes.select("node", "k1", "k2", "one.doc_id", "one.version", "n", "bands", "sketch")
+
+
 def candidate_groups(classes: DataFrame) -> DataFrame:
-    """node, label: classes (k1) that share a band key with another one, by group."""
-    keys = classes.select("k1", F.explode("bands").alias("key"))
-    heads = keys.groupBy("key").agg(F.min("k1").alias("head"), F.max("k1").alias("last")).filter("head < last").select("key", "head")
-    stars = keys.join(heads, "key").filter("k1 <> head").select(F.col("k1").alias("a"), F.col("head").alias("b")).distinct()
+    """node, label: classes that share a band key with another one, by group."""
+    keys = classes.select("node", F.explode("bands").alias("key"))
+    heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last").select("key", "head")
+    stars = keys.join(heads, "key").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     return components(stars)
 
 
 def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (with doc_id, k1, k2) and its shingle hashes, worked out anew from the documents' texts."""
-    texts = pick(documents, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long").alias("id"), "text")
-    rows = texts.join(wanted, texts["id"].eqNullSafe(wanted["doc_id"])).drop("id", "doc_id")
+    """wanted (with doc_id, version, k1, k2) and its shingle hashes, worked out anew from the documents' texts.
+
+    Rows that repeat doc_id and text, as rows without either may, come out once for each of them.
+    """
+    texts = pick(documents, doc_id="doc_id", text="text").select(
+        F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_version"), "text"
+    )
+    own = texts["id"].eqNullSafe(wanted["doc_id"]) & (texts["text_version"] == wanted["version"])
+    rows = texts.join(wanted, own).drop("id", "text_version", "doc_id", "version")
     names = [c for c in rows.columns if c != "text"]
     schema = rows.drop("text").schema.simpleString()[len("struct<") : -1]
 
@@ -154,11 +174,15 @@ def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(sets, schema + ",hashes:array<bigint>")
 
 
-def link(ids: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], least: int = LEAST) -> list[tuple[int, int]]:
+def link(
+    ids: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], least: int = LEAST,
+    part: np.ndarray | None = None, turns: np.ndarray | None = None, main: int | None = None,
+) -> list[tuple[int, int]]:
     """Edges that join all linked sets of a group, fewer than there are sets.
 
     Sets are taken in turn, the one with the most common shingles first; each is compared with all others of
     which it isn't known yet that they are connected. Those inside the largest part need no turn of their own.
+    With turns, only the marked sets are taken, and only part `main` (as numbered in part) needs no turn.
     """
     n = len(ids)
     size = np.array([len(s) for s in sets])
@@ -172,11 +196,15 @@ def link(ids: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], least: i
     begins = np.concatenate([[0], ends[:-1]])
     first = np.cumsum(size) - size
     common = np.add.reduceat((ends - begins)[place].astype(float), first) / size
-    part, done, edges = np.arange(n), np.zeros(n, bool), []
+    part = np.arange(n) if part is None else part.copy()
+    done, edges = np.zeros(n, bool) if turns is None else ~turns, []
     order = np.argsort(-common, kind="stable")
     while True:
-        largest = np.bincount(part, minlength=n).argmax()
-        turn = order[~done[order] & ((part[order] != largest) | (not edges and not done.any()))]
+        if turns is None:
+            settled = np.bincount(part, minlength=n).argmax() if done.any() else -1
+        else:
+            settled = main
+        turn = order[~done[order] & (part[order] != settled)]
         if not len(turn):
             return edges
         x = turn[0]
@@ -197,7 +225,8 @@ def link(ids: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], least: i
         for y in other[100 * shared >= least * (size[x] + size[other] - shared)]:
             if part[x] != part[y]:
                 edges.append((int(ids[x]), int(ids[y])))
-                part[part == part[y]] = part[x]
+                low, high = (part[y], part[x]) if part[y] == main else (part[x], part[y])
+                part[part == high] = low
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -220,37 +249,94 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
-def links(documents: DataFrame, classes: DataFrame, groups: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Edges (a, b) between classes, enough to connect all linked ones."""
-    members = groups.join(classes.select(F.col("k1").alias("node"), "k2", "n", "sketch", "doc_id"), "node")
-    blocks = members.groupBy("label").agg(
-        F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks")
-    )
-    wanted = members.join(blocks, "label").select(
-        "doc_id", F.col("node").alias("k1"), "k2", "sketch", "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")
-    )
-    sets = _sets(documents, wanted)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    met = sets.select("k1", "sketch", "hashes", "label", "block", other)
-    met = met.select("k1", "sketch", "hashes", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+def _judged(met: DataFrame) -> DataFrame:
+    """Edges (a, b) between the sets of each (label, i, j).
+
+    met: node, label, i, j, sketch, hashes; rows with `turn` (null: all) are compared with the others, as in link().
+    """
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _grouped(batches, ["label", "i", "j"]):
-            ids, at = np.unique(group.column("k1").to_numpy(), return_index=True)  # rows of repeated documents count once
+            ids, at = np.unique(group.column("node").to_numpy(), return_index=True)  # rows that take their turn come first
             group = group.take(pa.array(at))
             bits = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
             column = group.column("hashes").combine_chunks()
-            ends = column.offsets.to_numpy()
-            values = column.values.to_numpy().view(np.uint64)
-            edges = link(ids, bits, [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])
+            values, sizes = column.flatten().to_numpy().view(np.uint64), np.diff(column.offsets.to_numpy())
+            ends = np.cumsum(sizes)
+            sets = [values[b - n : b] for b, n in zip(ends, sizes, strict=True)]
+            if group.column("turn").null_count:
+                edges = link(ids, bits, sets)
+            else:
+                parts, part = np.unique(group.column("part").to_numpy(), return_inverse=True)
+                largest = np.searchsorted(parts, group.column("main")[0].as_py())
+                main = int(largest) if largest < len(parts) and parts[largest] == group.column("main")[0].as_py() else -1
+                edges = link(ids, bits, sets, part=part, turns=np.array(group.column("turn").to_pylist()), main=main)
             if edges:
                 a, b = zip(*edges, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    dealt = met.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
+    dealt = met.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", F.desc("turn"))
     return dealt.mapInArrow(judge, "a bigint, b bigint")
 
 
+def _blocks(rows: DataFrame, block_rows: int) -> DataFrame:
+    """label, many, blocks: the rows of each label and the blocks they are cut into."""
+    blocks = F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    return materialize(rows.groupBy("label").agg(F.count("*").alias("many"), blocks.alias("blocks")), "near-blocks")
+
+
+def _dealt(rows: DataFrame, block_rows: int, name: str) -> DataFrame:
+    """rows with the blocks of their label and the block they fall into."""
+    rows = skewed_join(rows, _blocks(rows, block_rows), ["label"], "many").drop("many")
+    return materialize(rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), name)
+
+
+def _parts(large: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, label, n, part: what each of the sets is connected with by the edges."""
+    merged = components(edges).select("node", F.col("label").alias("part"))
+    found = large.select("node", "label", "n").join(merged, "node", "left")
+    return materialize(found.withColumn("part", F.coalesce("part", "node")), "near-parts")
+
+
+def links(documents: DataFrame, classes: DataFrame, groups: DataFrame, block_rows: int | None = None) -> DataFrame:
+    """Edges (a, b) between classes, enough to connect all linked ones.
+
+    Sets meet the others of their block. Where a group has several blocks, one set of each part that this leaves meets
+    the others of its kind, and what is then outside the group's largest part meets all blocks of the group.
+    """
+    block_rows = block_rows or BLOCK_ROWS
+    members = groups.join(classes.drop("bands"), "node")
+    wanted = _dealt(materialize(members, "near-members"), block_rows, "near-wanted")
+    sets = materialize(_sets(documents, wanted).dropDuplicates(["node"]), "near-sets").select("node", "label", "n", "sketch", "hashes", "blocks", "block")
+    all_turn = {"j": F.lit(0).cast("long"), "turn": F.lit(None).cast("boolean"), "part": F.lit(None).cast("long"), "main": F.lit(None).cast("long")}
+    columns = ["node", "label", "i", "j", "sketch", "hashes", "turn", "part", "main"]
+    edges = materialize(_judged(sets.withColumn("i", F.col("block")).withColumns(all_turn).select(columns)), "near-edges")
+    large = sets.filter("blocks > 1")
+    if large.isEmpty():
+        return edges
+    heads = _parts(large, edges).groupBy("label", "part").agg(F.min(F.struct("node", "n")).alias("head")).select("label", "head.*")
+    heads = _dealt(materialize(heads, "near-heads"), block_rows, "near-heads")
+    met = large.select("node", "sketch", "hashes").join(heads.select("node", "label", F.col("block").alias("i")), "node")
+    edges = materialize(edges.unionByName(_judged(met.withColumns(all_turn).select(columns))), "near-edges")
+    parts = _parts(large, edges)
+    sizes = parts.groupBy("label", "part").agg(F.count("*").alias("many"))
+    main = sizes.groupBy("label").agg(F.max(F.struct("many", "part")).alias("main"), F.sum("many").alias("many")).select("label", "main.part", "many")
+    main = materialize(main.withColumnRenamed("part", "main"), "near-main")
+    parts = materialize(skewed_join(parts, main, ["label"], "many").drop("many"), "near-parts")
+    if parts.filter("part <> main").isEmpty():
+        return edges
+    rest = _dealt(materialize(parts.filter("part <> main"), "near-rest"), block_rows, "near-rest")
+    blocks = rest.groupBy("label").agg(F.max("blocks").alias("rest_blocks"))
+    heavy = large.drop("n").join(parts.drop("label", "n"), "node")
+    number = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
+    own = heavy.drop("block").join(rest.select("node", F.col("block").alias("i")), "node").withColumn("j", number("blocks"))
+    counted = materialize(large.groupBy("label").agg(F.count("*").alias("many")).join(blocks, "label"), "near-blocks")
+    others = skewed_join(materialize(heavy, "near-heavy"), counted, ["label"], "many")
+    others = others.withColumns({"i": number("rest_blocks"), "j": F.col("block"), "turn": F.lit(False)})
+    met = own.withColumn("turn", F.lit(True)).select(columns).unionByName(others.select(columns))
+    return edges.unionByName(_judged(met))
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, component, version: a row for every row of documents.
 
@@ -258,22 +344,19 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """
     rows = materialize(sketched(documents), "near-rows")
     full = rows.filter("n > 0")
-    classes = full.groupBy("k1").agg(
-        F.min("doc_id").alias("doc_id"), F.first("k2").alias("k2"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
-    )
-    classes = materialize(classes, "near-classes")
+    classes = materialize(set_classes(full), "near-classes")
     edges = links(documents, classes, candidate_groups(classes))
     merged = components(edges)
-    found = classes.select("k1", "doc_id").join(merged.select(F.col("node").alias("k1"), "label"), "k1", "left")
-    found = found.select("k1", "doc_id", F.coalesce("label", "k1").alias("component"))
+    found = classes.select("node", "k1", "k2", "doc_id").join(merged.select("node", "label"), "node", "left")
+    found = found.select("k1", "k2", "doc_id", F.coalesce("label", "node").alias("component"))
     smallest = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    found = found.join(smallest, "component").select("k1", "component", "component_id")
+    found = found.join(smallest, "component").select("k1", "k2", "component", "component_id")
     columns = [
         "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
         "component", "version",
     ]
     empty = rows.filter("n = 0").withColumns({"component_id": F.col("doc_id"), "component": F.lit(None).cast("long")})
-    return full.join(found, "k1").select(columns).unionByName(empty.select(columns))
+    return full.join(found, ["k1", "k2"]).select(columns).unionByName(empty.select(columns))
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import brute
 import pytest
 from fleetpulse.llm import decontaminate, fingerprint, line_dedup, near_dup, suffix_dedup
 from pyspark import Broadcast
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words int, score double, at long, k1 string, found string"
 
@@ -78,12 +79,49 @@ def test_near_dup(spark, rows, monkeypatch):
 
 def test_near_dup_links_blocks(spark, rows):
     docs = frame(spark, rows)
-    marked = near_dup.materialize(near_dup.sketched(docs).filter("n > 0").dropDuplicates(["k1"]), "classes")
+    marked = near_dup.materialize(near_dup.set_classes(near_dup.sketched(docs).filter("n > 0")), "classes")
     groups = near_dup.candidate_groups(marked)
     whole, parts = (near_dup.components(near_dup.links(docs, marked, groups, n)).collect() for n in (1000, 2))
     assert sorted(whole) == sorted(parts)
 
 
+def test_near_dup_compares_the_rest_of_a_large_group_with_all_its_blocks(spark):
+    """Chains of sets, each linked with its neighbours only, some of them in one group with a dense part."""
+    rng = random.Random(9)
+    base, docs = prose(rng, 90).split(), []
+    for i in range(60):  # a chain: 4 words change from one text to the next
+        docs.append((i, " ".join(base)))
+        base[(i * 7) % 90] = f"new{i}"
+    dense = prose(rng, 80).split()
+    for i in range(60, 100):
+        words = list(dense)
+        words[rng.randrange(80)] = f"edit{i}"
+        docs.append((i, " ".join(words)))
+    rng.shuffle(docs)
+    docs = frame(spark, docs)
+    marked = near_dup.materialize(near_dup.set_classes(near_dup.sketched(docs).filter("n > 0")), "classes")
+    groups = near_dup.materialize(near_dup.candidate_groups(marked), "groups")
+    one = near_dup.materialize(groups.withColumn("label", F.lit(1).cast("long")), "groups")  # all sets in one group
+    want = sorted(near_dup.components(near_dup.links(docs, marked, groups, 1000)).collect())
+    assert len({r.label for r in want}) > 1
+    for some, n in ((groups, 7), (one, 7), (one, 3)):
+        assert sorted(near_dup.components(near_dup.links(docs, marked, some, n)).collect()) == want
+
+
+def test_near_dup_reads_a_text_once_for_each_row_without_id(spark):
+    rng = random.Random(4)
+    rows = [(None, prose(rng, 30)) for _ in range(40)] + [(None, None)] * 3
+    marked = near_dup.materialize(near_dup.set_classes(near_dup.sketched(frame(spark, rows)).filter("n > 0")), "classes")
+    assert near_dup._sets(frame(spark, rows), marked).count() == 40
+
+
+def test_sets_with_one_first_key_stay_apart(spark):
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "one two three four five six")]
+    same = near_dup.sketched(frame(spark, rows)).withColumn("k1", F.lit(5).cast("long"))
+    classes = near_dup.set_classes(same).collect()
+    assert len(classes) == 2 and len({r.node for r in classes}) == 2 and sorted(r.doc_id for r in classes) == [1, 3]
+
+
 def test_one_of_each(spark, rows):
     repeated = [*rows, rows[0], rows[0], (301, "")]
     got = near_dup.one_of_each(frame(spark, repeated))

@@ -208,6 +208,31 @@ def test_chat_links(spark):
     assert chat.link_calls(calls.limit(0), results.limit(0), chat.SCHEMAS).count() == 0
 
 
+def test_chat_refuses_what_json_cannot_hold(spark):
+    texts = ['{"query":"\\ud800","limit":1}', "[" * 5000 + "]" * 5000, '{"query":"q","limit":NaN}', '{"query":"q","limit":1e999}', '{"query":"q","limit":' + "9" * 5000 + "}",
+             '{"a":' * 150 + "1" + "}" * 150, '{"query":"q","limit":-Infinity}', "{", "", '{"query":"\\ud83d\\ude00 \\u0000","limit":3.0}', '{"query":"' + "x" * 300_000 + '","limit":2}',
+             '{"query":"q","query":"r","limit":4}']
+    calls = spark.createDataFrame(
+        [("c", i, f"k{i}", "search", t, None, "kept", 1) for i, t in enumerate(texts)],
+        "conv_id string, turn long, call_id string, name string, arguments string, after string, status string, copies int",
+    )
+    results = spark.createDataFrame([("c", 20, "k0", "r", "x")], "conv_id string, turn long, call_id string, content string, json string")
+    rows = {r.turn: r for r in chat.link_calls(calls, results, chat.SCHEMAS).collect()}
+    for i in range(9):
+        assert not rows[i].valid and json.loads(rows[i].json)["arguments"] is None and rows[i].error.endswith("not object")
+    assert all(rows[i].valid for i in (9, 10, 11))
+    assert json.loads(rows[9].json)["arguments"] == {"limit": 3, "query": "😀 \0"} and len(rows[10].json) > 300_000
+    assert json.loads(rows[11].json)["arguments"]["query"] == "r"
+
+
+def test_chat_refuses_unknown_schema_types(spark):
+    calls = spark.createDataFrame([], "conv_id string, turn long, call_id string, name string, arguments string, after string")
+    results = spark.createDataFrame([], "conv_id string, turn long, call_id string, content string")
+    with pytest.raises(ValueError, match="date"):
+        chat.link_calls(calls, results, {"t": {"type": "object", "properties": {"x": {"type": "array", "items": {"type": "date"}}}}})
+    assert chat.violation("text", {"minimum": 3}) is None
+
+
 def test_chat_keeps_repeated_calls_and_results(spark):
     calls = [(1, 0, "a", "measure", '{"chars":1}', None), (1, 2, "a", "measure", '{"chars":2}', None), (1, 2, "a", "measure", '{"chars":2}', None),
              (1, 0, "b", "measure", '{"chars":3}', None), (1, 0, "b", "measure", '{"chars":3}', None)]
