@@ -6,8 +6,6 @@ the last raw rows, the training window, the current forest, the last scores and
 
 from __future__ import annotations
 
-import io
-
 import numpy as np
 
 from fleetpulse.config import EPSILON, METRICS, DetectorConfig
@@ -29,17 +27,6 @@ def empty_state() -> dict[str, np.ndarray]:
     }
 
 
-def dump_state(state: dict[str, np.ndarray]) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **state)
-    return out.getvalue()
-
-
-def load_state(blob: bytes) -> dict[str, np.ndarray]:
-    with np.load(io.BytesIO(blob)) as stored:
-        return {name: stored[name] for name in stored.files}
-
-
 def _windows(history: np.ndarray, new: np.ndarray, length: int) -> np.ndarray:
     """For each new row the last `length` rows up to it, missing ones as NaN in front."""
     rows = np.concatenate([history[max(0, len(history) - length + 1):], new])

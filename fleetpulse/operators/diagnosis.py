@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ EVIDENCE = {
     "deploys": evidence.deploy_correlation,
     "runbook": evidence.runbook_lookup,
 }
-# What a step that cannot be planned counts as having found: nothing.
+# What a step that fails counts as having found: nothing.
 _NOTHING = {
     "recent_metrics": "alert_id string, sample_count bigint, dominant_metric string",
     "logs": "alert_id string, matched_log string, matching_lines bigint",
@@ -68,13 +69,26 @@ def check_tables(**tables: DataFrame) -> None:
             raise ValueError(f"{name} has no column {', '.join(missing)}")
 
 
+def _message(error: Exception) -> str:
+    """The first line of the fault itself; Spark wraps what happened in a task into errors of the job."""
+    if isinstance(error, Py4JJavaError):
+        cause = error.java_exception
+        while cause.getCause() is not None:
+            cause = cause.getCause()
+        return str(cause.getMessage()).splitlines()[0]
+    return str(error).splitlines()[0]
+
+
 def _attempt(name: str, steps: dict, errors: dict, alerts: DataFrame, *tables: DataFrame, **options) -> DataFrame:
-    """Run one step; a missing or failing one leaves its evidence empty and its error in `errors`."""
+    """Run one step and store its result; a missing or failing one leaves its evidence empty and its error in `errors`.
+
+    The step's jobs run here, so a fault that only its data show stays with it too.
+    """
     try:
-        return steps[name](alerts, *tables, **options)
-    except (KeyError, PySparkException) as error:
+        return materialize(steps[name](alerts, *tables, **options), f"evidence-{name}")
+    except (KeyError, PySparkException, Py4JJavaError) as error:
         log.warning("evidence step %s not available: %s", name, error)
-        errors[name] = f"{type(error).__name__}: {str(error).splitlines()[0]}"
+        errors[name] = f"{type(error).__name__}: {_message(error)}"
         if name == "runbook":
             return alerts.selectExpr("*", "CAST(NULL AS STRING) AS runbook_key", "CAST(NULL AS STRING) AS runbook")
         return alerts.sparkSession.createDataFrame([], _NOTHING[name])
@@ -113,13 +127,13 @@ def gather(
 ) -> DataFrame:
     """Alerts with dominant_metric, matched_log, latest deploy, runbook and tool_calls columns.
 
-    All evidence is keyed by alert_id, so the joins share one partitioning. The summary of the
-    recent metrics is needed twice and costs the largest join, so it is stored. Alerts or metrics
-    with a wrong schema raise; a step that fails or is missing is recorded and the others go on.
+    Each step is run and stored on its own, keyed by alert_id. Alerts or metrics with a wrong schema
+    raise; a step that fails, be it in its plan or on its data, or is missing, is recorded and the
+    others go on.
     """
     check_tables(alerts=alerts, metrics=metrics)
     errors: dict[str, str] = {}
-    summary = materialize(_attempt("recent_metrics", steps, errors, alerts, metrics, config=config), "summary")
+    summary = _attempt("recent_metrics", steps, errors, alerts, metrics, config=config)
     judged = alerts.join(summary.select("alert_id", "sample_count", "dominant_metric"), "alert_id", "left")
     judged = judged.withColumn(
         "dominant_metric", F.coalesce("dominant_metric", F.lit(evidence.FALLBACK_METRIC))

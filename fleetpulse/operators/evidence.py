@@ -1,17 +1,21 @@
 """Evidence around an alert: recent metrics, logs, deploys and runbooks.
 
-All lookups are equi-joins on a key and a bucket of time, with the exact bounds as a residual
-predicate. The cooldown allows a host at most two alerts per minute, so a metrics or log row
-meets a bounded number of alerts however busy its host is. Stored tables are first cut to the
+Lookups of logs and deploys are equi-joins on a key and a bucket of time, with the exact bounds as a
+residual predicate; recent metrics are found by their numbers. The cooldown allows a host at most two
+alerts per minute, so a log row meets a bounded number of alerts however busy its host is. Stored tables are first cut to the
 time that the alerts can see, by day folder where they have any.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetpulse.config import EPSILON, INVESTIGATION, METRICS, InvestigationConfig
+from fleetpulse.operators.series import number_events
 
 # Words that tie a log line to a metric.
 LOG_KEYWORDS = {
@@ -22,8 +26,8 @@ LOG_KEYWORDS = {
 }
 # Fixed value: the metric to assume when there is nothing to compare.
 FALLBACK_METRIC = "latency_ms"
-# Width of the time buckets in which alerts meet metrics; narrow, so that a busy host is split.
-METRICS_BUCKET_SECONDS = 15
+# Span of time of one host in which alerts are merged with its rows in one task.
+ASOF_SECONDS = 600
 
 
 def clamped_minutes(minutes: int | str, cap: int) -> Column:
@@ -90,6 +94,27 @@ def dominant_by_zscore(alerts: DataFrame) -> DataFrame:
     )
 
 
+def last_event_numbers(alerts: DataFrame, numbered: DataFrame) -> DataFrame:
+    """alert_id, host_id, triggered_at, last: the number of the host's last row up to the alert's time (0: none).
+
+    An as-of merge: alerts stand among the rows in order of time, and the number runs along. It is cut into spans of
+    ASOF_SECONDS; what a span has before its first row comes from a table with a row a span.
+    """
+    span = F.floor(F.unix_micros("ts") / (ASOF_SECONDS * 1e6)).alias("_span")
+    rows = numbered.select("host_id", "ts", "n", span)
+    marks = alerts.select("host_id", F.col("triggered_at").alias("ts"), "alert_id").select("*", span)
+    both = rows.unionByName(marks, allowMissingColumns=True)
+    order = Window.partitionBy("host_id", "_span").orderBy("ts", F.col("alert_id").isNotNull())
+    seen = both.withColumn("_inside", F.max("n").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    spans = both.groupBy("host_id", "_span").agg(F.max("n").alias("_top"))
+    earlier = Window.partitionBy("host_id").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("host_id", "_span", F.max("_top").over(earlier).alias("_before"))
+    found = seen.filter("alert_id IS NOT NULL").join(spans, ["host_id", "_span"])
+    return found.select(
+        "alert_id", "host_id", F.col("ts").alias("triggered_at"), F.coalesce("_inside", "_before", F.lit(0).cast("long")).alias("last")
+    )
+
+
 def recent_metrics(
     alerts: DataFrame,
     metrics: DataFrame,
@@ -99,35 +124,26 @@ def recent_metrics(
 ) -> DataFrame:
     """The host's rows within the lookback up to the alert's time, newest `metrics_limit` at most.
 
-    Alerts need alert_id, host_id and triggered_at only, and metrics are the stored table. Rows
-    of one time are taken in order of event_id. Adds recency (1 = newest); ranking keeps only
-    the newest rows of each alert before the shuffle.
+    Alerts need alert_id (unique), host_id and triggered_at only, and metrics are the stored table. Rows
+    of one time are taken in order of event_id. Adds recency (1 = newest). Rows are numbered per host, each alert
+    gets the number of the last row it can see, and meets the blocks of `metrics_limit` numbers that its rows
+    fall into, two at most: a lookback costs the rows it may return, however busy the host is.
     """
+    limit = config.metrics_limit
     lookback = clamped_minutes(config.metrics_minutes if minutes is None else minutes, config.metrics_minutes_cap)
-    width = METRICS_BUCKET_SECONDS
-    left = alerts.select("alert_id", "host_id", "triggered_at", lookback.alias("_minutes")).withColumn(
-        "_bucket",
-        F.explode(
-            F.expr(
-                f"""sequence(floor((unix_seconds(triggered_at) - _minutes * 60) / {width}),
-                    floor(unix_seconds(triggered_at) / {width}))"""
-            )
-        ),
-    )
-    right = within_reach(metrics, "ts", alerts, config.metrics_minutes_cap).select(
-        "host_id", "event_id", "ts", *columns, F.expr(f"floor(unix_seconds(ts) / {width})").alias("_bucket")
-    )
-    near = left.join(right, ["host_id", "_bucket"]).filter(
-        "ts <= triggered_at AND unix_micros(ts) >= unix_micros(triggered_at) - _minutes * 60000000L"
+    near = within_reach(metrics, "ts", alerts, config.metrics_minutes_cap).select("host_id", "event_id", "ts", *columns)
+    numbered = number_events(near)
+    seen = last_event_numbers(alerts.select("alert_id", "host_id", "triggered_at"), numbered).filter("last > 0")
+    if isinstance(minutes, str):
+        seen = seen.join(alerts.select("alert_id", F.col(minutes)), "alert_id")
+    left = seen.select("*", lookback.alias("_minutes")).selectExpr(
+        "*", f"explode(sequence(greatest(last - {limit}, 0) div {limit}, (last - 1) div {limit})) AS _block"
     )
-    newest = Window.partitionBy("alert_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return (
-        near.withColumn("recency", F.row_number().over(newest))
-        .filter(F.col("recency") <= config.metrics_limit)
-        .selectExpr(
-            "alert_id", "host_id", "_minutes AS minutes", "ts", *columns, "CAST(recency AS BIGINT) AS recency"
-        )
+    joined = left.join(numbered.drop("event_id").selectExpr("*", f"(n - 1) div {limit} AS _block"), ["host_id", "_block"])
+    inside = joined.filter(
+        f"n <= last AND n > last - {limit} AND unix_micros(ts) >= unix_micros(triggered_at) - _minutes * 60000000L"
     )
+    return inside.selectExpr("alert_id", "host_id", "_minutes AS minutes", "ts", *columns, "last - n + 1 AS recency")
 
 
 def recent_metrics_summary(
@@ -160,14 +176,14 @@ def recent_metrics_summary(
     )
 
 
-def matched_metrics(keywords: dict[str, list[str]] = LOG_KEYWORDS) -> str:
-    """SQL: array of the metrics for which `line` holds a keyword."""
-    def hit(metric: str, words: list[str]) -> str:
-        return "CASE WHEN " + " OR ".join(
-            f"contains(lower(line), '{w}')" for w in words
-        ) + f" THEN '{metric}' END"
-
-    return f"array_compact(array({', '.join(hit(m, w) for m, w in keywords.items())}))"
+def matched_metrics(keywords: dict[str, list[str]] = LOG_KEYWORDS) -> Column:
+    """Array of the metrics for which `line` holds a keyword, whatever the case of either."""
+    line = F.lower("line")
+    hits = []
+    for metric, words in keywords.items():
+        held = [F.contains(line, F.lit(w.lower())) for w in words]
+        hits.append(F.when(reduce(or_, held, F.lit(False)), F.lit(metric)))
+    return F.array_compact(F.array(*hits).cast("array<string>"))
 
 
 def _near_logs(
@@ -234,7 +250,7 @@ def log_match(
     Lines without any keyword are filtered out before the join, and the minimum is taken
     map-side, so no alert collects its lines.
     """
-    relevant = logs.withColumn("dominant_metric", F.explode(F.expr(matched_metrics(keywords))))
+    relevant = logs.withColumn("dominant_metric", F.explode(matched_metrics(keywords)))
     near = _near_logs(alerts, relevant, minutes, config, extra_keys=("dominant_metric",))
     return near.groupBy("alert_id").agg(
         F.min("line").alias("matched_log"), F.count("*").alias("matching_lines")

@@ -97,8 +97,9 @@ def fit_models(
 ) -> DataFrame:
     """One forest per (host, version) as flat arrays.
 
-    Groups hold at most `train_window` rows. Scoring does not go through this table, since
-    a forest is far larger than the events it scores; see `score_events`.
+    Groups hold at most `train_window` rows. Scoring a whole history does not go through this table,
+    since a forest is far larger than the events it scores, see `score_events`; scoring new events of
+    known versions does, see `score_with_models`.
     """
 
     def fit(key: tuple, table: pa.Table) -> pa.Table:
@@ -191,5 +192,34 @@ def score_events(
     return spread(copies, layout, *GROUP).groupBy(*GROUP).applyInArrow(score, scored_schema)
 
 
+def score_with_models(
+    featured: DataFrame, models: DataFrame, config: DetectorConfig = DETECTOR, layout: LayoutConfig = LAYOUT
+) -> DataFrame:
+    """Add raw_score and model_version from the table that `fit_models` gave, without a fit.
+
+    A version meets the events that it scores, `retrain_interval` of a host at most, in one group of a cogroup; only
+    models that some event needs are read into the exchange, and warm-up events are left out of it. Events whose
+    model is not in the table get their version and no score. Pass new events only, with their features and numbers.
+    """
+    versioned = featured.selectExpr("*", f"{version_of(config)} AS model_version")
+    schema = T.StructType([*versioned.schema.fields, T.StructField("raw_score", T.DoubleType())])
+    due = versioned.filter("model_version IS NOT NULL")
+    wanted = due.select(*GROUP).distinct()
+    own = models.join(wanted, list(GROUP), "left_semi").select([f.name for f in MODEL_SCHEMA])
+
+    def score(key: tuple, events: pa.Table, model: pa.Table) -> pa.Table:
+        if not model.num_rows or not events.num_rows:
+            scores = pa.nulls(events.num_rows, pa.float64())
+        else:
+            trees, first = model["n_trees"][0].as_py(), model.slice(0, 1)
+            arrays = [first[c].combine_chunks().flatten().to_numpy().reshape(trees, -1) for c in ("feature", "threshold", "size")]
+            scores = pa.array(score_forest(Forest(*arrays, first["subsample"][0].as_py()), _matrix(events)))
+        return events.append_column("raw_score", scores).select(schema.names)
+
+    groups = [spread(side, layout, *GROUP).groupBy(*GROUP) for side in (due, own)]
+    scored = groups[0].cogroup(groups[1]).applyInArrow(score, schema)
+    return scored.unionByName(versioned.filter("model_version IS NULL").withColumn("raw_score", F.lit(None).cast("double")))
+
+
 # Ground-truth label of a decoded message: the type if one was injected, else null.
 LABEL = "CASE WHEN injected_anomaly.active THEN injected_anomaly.type END"

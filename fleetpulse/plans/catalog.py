@@ -18,7 +18,7 @@ from fleetpulse.config import METRICS, InvestigationConfig
 from fleetpulse.operators import alerts as alert_ops
 from fleetpulse.operators import dashboard as dash
 from fleetpulse.operators import diagnosis as diag
-from fleetpulse.operators import evidence, features, forecast, model, threshold
+from fleetpulse.operators import evidence, features, forecast, model, quality, threshold
 from fleetpulse.operators.cooldown import apply_cooldown
 from fleetpulse.operators.series import number_events
 from fleetpulse.plans import detect as detection
@@ -369,6 +369,24 @@ def iforest_scores(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def iforest_stored_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores from the stored model table against those of one pass over the history: per host and version."""
+    featured = materialize(features.add_features(_telemetry(spark, sf)), "featured")
+    models = materialize(model.fit_models(featured), "models")
+    stored = model.score_with_models(featured, models).select("host_id", "n", "model_version", "raw_score")
+    fitted = model.score_events(featured).select("host_id", "n", F.col("model_version").alias("v"), F.col("raw_score").alias("s"))
+    both = stored.join(fitted, ["host_id", "n"], "full")
+    return both.groupBy("host_id", F.coalesce("model_version", F.lit(0)).cast("long").alias("model_version")).agg(
+        F.count("*").alias("events"),
+        F.count("raw_score").alias("scored"),
+        F.count_if(F.expr("NOT (raw_score <=> s AND model_version <=> v)")).alias("differences"),
+    )
+
+
+def detection_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(quality.detection_quality(materialize(_judged(spark, sf), "judged")))
+
+
 def label_passthrough(spark: SparkSession, sf: str) -> DataFrame:
     nested = _telemetry(spark, sf).selectExpr(
         "event_id",
@@ -737,6 +755,41 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(unique.schema).parquet(out).groupBy("host_id").agg(F.count("*").alias("events"))
 
 
+def stream_dedup_bounded(spark: SparkSession, sf: str) -> DataFrame:
+    """Repeats within an hour of event time; messages come in order of time, slice by slice."""
+    telemetry = _telemetry(spark, sf)
+    repeated = telemetry.unionByName(telemetry.filter("event_id % 3 = 0"))
+    out = scratch_path(spark, "stream_dedup_bounded")
+    unique = stream_detection.deduplicated(messages.decode_telemetry(_message_stream(spark, sf, repeated)), "1 hour")
+    messages.stream_sink(unique.select("event_id", "host_id"), scratch_path(spark, "checkpoint"), out).awaitTermination()
+    stored = spark.read.schema("event_id string, host_id string").parquet(out)
+    return stored.groupBy("host_id").agg(F.count("*").alias("events"), F.countDistinct("event_id").alias("distinct_events"))
+
+
+def stream_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """Alerts of the detector's log, decoded from a stream, written by a streaming sink and decoded again."""
+    _, alerts = _stored_alerts(spark, sf)
+    path, out = scratch_path(spark, "alert_messages"), scratch_path(spark, "stream_sink")
+    messages.encode(_as_messages(alerts)).repartition(FILES_PER_SLICE).write.parquet(path)
+    stream = messages.decode_alerts(messages.file_stream(spark, path, max_files_per_trigger=FILES_PER_SLICE // 2))
+    messages.stream_sink(messages.encode(stream.drop("n", "event_id")), scratch_path(spark, "checkpoint"), out).awaitTermination()
+    back = messages.decode_alerts(spark.read.schema("key string, value string").parquet(out))
+    return rounded(
+        back.selectExpr(
+            "alert_id", "host_id", "triggered_at", "severity", "is_early_warning", "raw_score", "threshold", "ewma_mean", "ewma_std",
+            "predicted_breach_minutes", *[f"metric_snapshot.{m} AS {m}" for m in METRICS], "CAST(size(recent_metrics) AS BIGINT) AS n_recent",
+        )
+    )
+
+
+def stream_window_15s(spark: SparkSession, sf: str) -> DataFrame:
+    out = scratch_path(spark, "stream_windows")
+    stream_dash.run_windows(
+        messages.decode_telemetry(_message_stream(spark, sf)), out, scratch_path(spark, "checkpoint"), trigger={"availableNow": True}
+    ).awaitTermination()
+    return rounded(stream_dash.latest(spark.read.parquet(out)))
+
+
 def stream_dash_15s(spark: SparkSession, sf: str) -> DataFrame:
     out = scratch_path(spark, "stream_dash")
     telemetry = messages.decode_telemetry(_message_stream(spark, sf, late=True))
@@ -762,6 +815,22 @@ def stream_investigate(spark: SparkSession, sf: str) -> DataFrame:
     return stream_detection.stored(spark, f"{out}/diagnoses").select(*DIAGNOSIS_COLUMNS)
 
 
+def stream_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """The investigation follows the detector's own alert messages, and both are stopped and started again half-way."""
+    telemetry = _telemetry(spark, sf)
+    middle = telemetry.agg(F.percentile_approx(F.unix_seconds("ts"), 0.5)).first()[0]
+    early = F.unix_seconds("ts") < (0 if middle is None else middle)
+    source, out, found = (scratch_path(spark, name) for name in ("chain_in", "chain_detect", "chain_investigate"))
+    checkpoints = scratch_path(spark, "checkpoint"), scratch_path(spark, "checkpoint")
+    table = lambda: stream_detection.stored(spark, f"{out}/metrics")
+    for part in (early, ~early):
+        messages.encode_telemetry(telemetry.filter(part)).repartition(FILES_PER_SLICE).write.mode("append").parquet(source)
+        stream_detection.run_detection(messages.file_stream(spark, source), out, checkpoints[0], STAND_IN).awaitTermination()
+        alerts = messages.file_stream(spark, f"{out}/alert_messages")
+        run_investigation(alerts, lambda: (table(), *_side_tables(spark, sf)), found, checkpoints[1], SHORT).awaitTermination()
+    return stream_detection.stored(spark, f"{found}/diagnoses").select(*DIAGNOSIS_COLUMNS)
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Whole detection with forest scores, up to the alert log."""
     ship_package(spark)
@@ -791,7 +860,8 @@ _QUERIES: list[Query] = [
     dash_all_metrics, dash_selected_metrics, dash_selected_scores, dash_score, dash_threshold, dash_score_vs_threshold, dash_active_alerts,
     dash_confidence, dash_alert_table, check_metrics_count, check_latest_alerts,
     check_latest_diagnoses, stream_detect, stream_alerts, stream_batch_parity, stream_dedup,
-    stream_dash_15s, stream_investigate,
+    stream_dash_15s, stream_investigate, iforest_stored_scores, detection_quality, stream_dedup_bounded, stream_sink,
+    stream_window_15s, stream_chain,
 ]
 _NAMED: dict[str, Query] = {
     "trend_smooth": _with_trend("score_ma"),

@@ -553,5 +553,39 @@ def oracle_sql() -> dict[str, str]:
         "stream_dash_15s": _with("events", f"""
           SELECT time_bucket(interval '15 seconds', ts) AS time, host_id,
             {', '.join(f'round(avg({m}) + 1e-9, 6) AS {m}' for m in METRICS)} FROM tel GROUP BY ALL"""),
+        "stream_dedup_bounded": _with("events", """
+          SELECT host_id, count(*) AS events, count(DISTINCT event_id) AS distinct_events FROM tel GROUP BY host_id"""),
+        "stream_window_15s": _with("events", f"""
+          SELECT time_bucket(interval '15 seconds', ts) AS time, host_id,
+            {', '.join(f'round(avg({m}) + 1e-9, 6) AS {m}' for m in METRICS)} FROM tel GROUP BY ALL"""),
+        "stream_sink": _with("alerts", f"""
+          SELECT alert_id, host_id, triggered_at, severity, is_early_warning, {r6('raw_score', 'threshold', 'ewma_mean', 'ewma_std',
+            'predicted_breach_minutes', *METRICS)}, least(n, 10) AS n_recent FROM alerts"""),
+        "stream_chain": _with("evidence", f"SELECT {diagnosis_columns} FROM diagnosed"),
+        "iforest_stored_scores": _with("events", """,
+          v AS (SELECT *, CASE WHEN n > 120 THEN 1 + (n - 120) // 500 ELSE 0 END AS model_version FROM num)
+          SELECT host_id, model_version, count(*) AS events, count(*) FILTER (n > 120) AS scored, 0 AS differences
+          FROM v GROUP BY ALL"""),
+        "detection_quality": _with("judged", """,
+          f AS (SELECT *, coalesce(is_anomaly, false) OR predicted_breach_minutes IS NOT NULL AS flagged,
+              row_number() OVER (PARTITION BY host_id ORDER BY n) - row_number() OVER (PARTITION BY host_id, injected_anomaly_type ORDER BY n) AS island
+            FROM metrics),
+          e AS (SELECT host_id, injected_anomaly_type AS label, island, min(ts) AS started_at, min(ts) FILTER (flagged) AS found_at
+            FROM f WHERE injected_anomaly_type IS NOT NULL GROUP BY ALL),
+          ev AS (SELECT coalesce(injected_anomaly_type, 'none') AS label, count(*) AS events, count(*) FILTER (flagged) AS flagged_events FROM f GROUP BY ALL),
+          ep AS (SELECT label, count(*) AS episodes, count(found_at) AS detected_episodes, sum(epoch_us(found_at) - epoch_us(started_at)) / 1e6 AS delay
+            FROM e GROUP BY label),
+          one AS (SELECT ev.*, coalesce(episodes, 0) AS episodes, coalesce(detected_episodes, 0) AS detected_episodes, delay,
+              CASE WHEN ev.label <> 'none' THEN events END AS labelled, CASE WHEN ev.label <> 'none' THEN flagged_events END AS hits
+            FROM ev LEFT JOIN ep ON ev.label = ep.label),
+          al AS (SELECT * FROM one UNION ALL
+            SELECT 'all', sum(events), sum(flagged_events), sum(episodes), sum(detected_episodes), sum(delay), sum(labelled), sum(hits) FROM one)
+          SELECT label, cast(events AS bigint) AS events, cast(flagged_events AS bigint) AS flagged_events,
+            round(hits / nullif(labelled, 0)::double + 1e-9, 6) AS event_recall,
+            round(CASE WHEN label = 'all' THEN hits / nullif(flagged_events, 0)::double END + 1e-9, 6) AS precision,
+            cast(episodes AS bigint) AS episodes, cast(detected_episodes AS bigint) AS detected_episodes,
+            round(CASE WHEN label <> 'none' THEN detected_episodes / nullif(episodes, 0)::double END + 1e-9, 6) AS episode_recall,
+            round(delay / nullif(detected_episodes, 0)::double + 1e-9, 6) AS mean_delay_seconds
+          FROM al"""),
         "stream_investigate": _with("evidence", f"SELECT {diagnosis_columns} FROM diagnosed"),
     }

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from fleetpulse.config import ANOMALY_TYPES, METRICS, SEVERITIES
 from fleetpulse.schemas import MESSAGE, RAW_ALERT, RAW_TELEMETRY
@@ -45,6 +46,19 @@ def kafka_publish(encoded: DataFrame, servers: str, topic: str) -> None:
     encoded.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
 
 
+def stream_sink(
+    encoded: DataFrame, checkpoint: str, path: str | None = None, servers: str | None = None, topic: str | None = None,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Write a stream of encoded messages to files, each once, or to a topic, each at least once."""
+    writer = encoded.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True}))
+    if path is not None:
+        return writer.format("parquet").option("path", path).start()
+    if servers is None or topic is None:
+        raise ValueError("a sink needs a path, or servers and a topic")
+    return writer.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).start()
+
+
 def file_stream(
     spark: SparkSession, path: str, fmt: str = "parquet", max_files_per_trigger: int = MAX_FILES
 ) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sequential import METRICS, features_of, judge, versions
 
 from fleetpulse.config import DetectorConfig, LayoutConfig
-from fleetpulse.operators import alerts, features, model
+from fleetpulse.operators import alerts, features, model, quality
 from fleetpulse.operators.series import number_events
 from fleetpulse.plans.detect import score_with_column, score_with_forest
 
@@ -184,3 +184,36 @@ def test_constant_scores_give_no_alert(spark):
         F.min("threshold").alias("threshold"), F.max(F.abs(F.element_at("features", 7))).alias("z"),
     ).first()
     assert tuple(got) == (271, 0, 0, 0.0, 7.0, 0.0)
+
+
+def test_stored_models_score_like_a_whole_pass(spark):
+    config = DetectorConfig(n_trees=12, warmup_events=60, retrain_interval=100, train_window=150)
+    rows = [tuple(r.values()) for host, total, seed in (("a", 330, 1), ("b", 61, 2), ("c", 20, 3)) for r in host_events(host, total, seed, 1000 * seed)]
+    featured = features.add_features(spark.createDataFrame(rows, SCHEMA), config, TINY).cache()
+    models = model.fit_models(featured, config, TINY).cache()
+    want = {r.event_id: (r.model_version, r.raw_score) for r in model.score_events(featured, config, TINY).collect()}
+    got = model.score_with_models(featured, models, config, TINY)
+    assert {r.event_id: (r.model_version, r.raw_score) for r in got.collect()} == want
+    new = featured.filter("n > 300")  # new events alone, and a table without one of the models they need
+    assert {r.event_id: (r.model_version, r.raw_score) for r in model.score_with_models(new, models, config, TINY).collect()} == {
+        r.event_id: want[r.event_id] for r in new.collect()
+    }
+    missing = model.score_with_models(featured, models.filter("NOT (host_id = 'a' AND model_version = 2)"), config, TINY).collect()
+    for r in missing:
+        gone = r.host_id == "a" and r.model_version == 2
+        assert (r.model_version, r.raw_score) == (want[r.event_id][0], None if gone else want[r.event_id][1])
+    assert got.columns[:-2] == featured.columns
+
+
+def test_detection_quality_counts_episodes(spark):
+    labels = [None, None, "spike", "spike", None, "ramp", "ramp", "ramp", "spike", None, "ramp", "spike"]
+    flags = [True, False, False, True, False, False, False, False, True, False, False, False]
+    rows = [(h, i, START + dt.timedelta(seconds=10 * i), lab, f if h == "a" else None, 3.0 if h == "b" and i == 10 else None) for h in "ab" for i, (lab, f) in enumerate(zip(labels, flags))]
+    judged = spark.createDataFrame(rows, "host_id string, event_id bigint, ts timestamp, injected_anomaly_type string, is_anomaly boolean, predicted_breach_minutes double")
+    got = {r.label: r for r in quality.detection_quality(judged, LayoutConfig(chunk_rows=3)).collect()}
+    spike, ramp, none, whole = (got[k] for k in ("spike", "ramp", "none", "all"))
+    assert (spike.events, spike.flagged_events, spike.episodes, spike.detected_episodes, spike.mean_delay_seconds) == (8, 2, 6, 2, 5.0)
+    assert (ramp.events, ramp.flagged_events, ramp.episodes, ramp.detected_episodes, ramp.mean_delay_seconds) == (8, 1, 4, 1, 0.0)
+    assert (none.events, none.flagged_events, none.episodes, none.event_recall) == (8, 1, 0, None)
+    assert (whole.events, whole.flagged_events, whole.precision, whole.event_recall, whole.episode_recall) == (24, 4, 0.75, 3 / 16, 0.3)
+    assert quality.detection_quality(judged.limit(0)).filter("label <> 'all'").count() == 0

@@ -260,3 +260,50 @@ def test_runbook_steps_in_any_line_format(spark):
     a = alerts_of(spark, alert("a1"), alert("a2", service="core"))
     steps = {r.alert_id: r.first_step for r in evidence.runbook_first_step(evidence.runbook_lookup(a, books)).collect()}
     assert steps == {"a1": "1. Tabbed step", "a2": "1. Old line end"}
+
+
+def test_a_step_that_fails_on_its_data_leaves_the_others(spark):
+    alerts = alerts_of(spark, alert("a", when=100))
+    metrics = metrics_of(spark, [("h1", 1, at(50), 1.0, 1.0, 1.0, 1.0)])
+    logs = spark.createDataFrame([("h1", "edge", at(90), "slow query")], "host_id string, service_name string, ts timestamp, line string")
+    logs = logs.withColumn("line", F.when(F.length("line") > 0, F.raise_error(F.lit("block missing")).cast("string")))
+    deploys = spark.createDataFrame([("d1", "abc", "dana", "router", "edge", at(60))], "deploy_id string, git_sha string, author string, component string, service_name string, deployed_at timestamp")
+    runbooks = spark.createDataFrame([("edge", "1. look")], "service_name string, body string")
+    got = diagnosis.diagnose(diagnosis.gather(alerts, metrics, logs, deploys, runbooks)).first()
+    results = {c.name: json.loads(c.result) for c in got.tool_calls}
+    assert "block missing" in results["logs"]["error"] and set(results["logs"]) == {"error"}
+    assert got.branch == "deploy" and results["recent_metrics"]["sample_count"] == 1 and results["runbook"]["runbook_key"] == "edge"
+
+
+def test_keywords_with_quotes_and_in_any_case(spark):
+    logs = spark.createDataFrame([("It CAN'T connect",), ("Slow Query",), ("fine \\",)], "line string")
+    words = {"cpu_pct": ["can't", "\\"], "latency_ms": ["SLOW query"], "mem_pct": []}
+    got = {r.line: r.m for r in logs.select("line", evidence.matched_metrics(words).alias("m")).collect()}
+    assert got == {"It CAN'T connect": ["cpu_pct"], "Slow Query": ["latency_ms"], "fine \\": ["cpu_pct"]}
+
+
+def test_lookback_joins_no_more_than_the_rows_it_may_return(spark, monkeypatch):
+    limit = InvestigationConfig(metrics_limit=20)
+    metrics = metrics_of(spark, [("h1", i, at(i / 10), float(i), 1.0, 1.0, 1.0) for i in range(6000)] + [("h2", 9000, at(5), 1.0, 1.0, 1.0, 1.0)])
+    alerts = alerts_of(spark, *[alert(f"a{i}", when=50 * i + 0.05) for i in range(12)], alert("early", when=-1), alert("other", host="h2", when=800), alert("none", host="h9"))
+    got = evidence.recent_metrics(alerts, metrics, 15, config=limit)
+    rows = {}
+    for r in got.collect():
+        rows.setdefault(r.alert_id, []).append((r.recency, r.cpu_pct))
+    for i in range(12):
+        newest = 500 * i
+        assert sorted(rows[f"a{i}"]) == [(k + 1, float(newest - k)) for k in range(min(20, newest + 1))]
+    assert rows["other"] == [(1, 1.0)] and not {"early", "none"} & set(rows)
+    blocks = evidence.last_event_numbers(alerts, evidence.number_events(metrics)).filter("last > 0")
+    probes = blocks.selectExpr("size(sequence(greatest(last - 20, 0) div 20, (last - 1) div 20)) AS probes").collect()
+    assert max(p.probes for p in probes) <= 2
+
+
+def test_positions_across_spans(spark, monkeypatch):
+    monkeypatch.setattr(evidence, "ASOF_SECONDS", 7)
+    times = [0, 1, 1, 8, 9, 30, 31, 100]
+    metrics = metrics_of(spark, [("h1", i, at(t), 1.0, 1.0, 1.0, 1.0) for i, t in enumerate(times)])
+    marks = [-5, 0, 1, 7.5, 8, 29, 30, 99, 100, 1000]
+    alerts = alerts_of(spark, *[alert(str(m), when=m) for m in marks])
+    got = {r.alert_id: r.last for r in evidence.last_event_numbers(alerts, evidence.number_events(metrics)).collect()}
+    assert got == {str(m): sum(t <= m for t in times) for m in marks}

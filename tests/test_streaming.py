@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 
 import numpy as np
 import pytest
@@ -15,6 +16,7 @@ from fleetpulse.plans.detect import score_with_column, score_with_forest
 from fleetpulse.sources import messages
 from fleetpulse.streaming import dashboard as stream_dash
 from fleetpulse.streaming import detect as stream
+from fleetpulse.streaming.investigate import run_investigation
 
 SMALL = DetectorConfig(n_trees=15)
 
@@ -141,3 +143,72 @@ def test_events_of_unknown_hosts_go_to_quarantine(spark, fleet, tmp_path):
     assert [tuple(r) for r in bad] == [("b", "unknown_host", 125)]
     kept = stream.stored(spark, str(tmp_path / "out/metrics")).groupBy("host_id").count().collect()
     assert {r.host_id for r in kept} == {"a", "c"}
+
+
+def test_bounded_dedup_forgets_and_counts_late_rows(spark, fleet, tmp_path):
+    source, out, checkpoint = (str(tmp_path / d) for d in ("in", "out", "cp"))
+    queries = []
+    # one slice after the other; then a repeat within the span, and rows that are hours late
+    for low, high in ((0, 600), (600, 1200), (1100, 1200), (1200, 10**9), (0, 100)):
+        write_slice(fleet, source, low, high)
+        query = stream.run_detection(messages.file_stream(spark, source), out, checkpoint, "latency_ms", SMALL, dedup="5 minutes")
+        query.awaitTermination()
+        queries.append(query)
+    assert stream.stored(spark, f"{out}/metrics").count() == fleet.count()
+    seconds = F.unix_seconds("ts") - F.unix_seconds(F.lit(dt.datetime(2024, 1, 1)))
+    late = fleet.filter(seconds < 100).count()
+    for _ in range(50):  # progress arrives a moment after the query has ended
+        counted = [p for p in (tmp_path / "out" / "late").glob("batch=*")] if (tmp_path / "out" / "late").exists() else []
+        if counted:
+            break
+        time.sleep(0.2)
+    rows = stream.stored(spark, f"{out}/late").collect()
+    assert [(r.reject_reason, r.rows) for r in rows] == [("late", late)]
+    states = [op for p in queries[-1].recentProgress for op in p["stateOperators"] if "dedup" in op["operatorName"].lower()]
+    assert states[-1]["numRowsTotal"] < fleet.count() / 3  # ids older than the span are gone
+
+
+def test_windows_are_upserted_over_restarts(spark, fleet, tmp_path):
+    source, out, checkpoint = (str(tmp_path / d) for d in ("in", "out", "cp"))
+    for low, high in ((0, 303), (303, 307), (307, 10**9)):  # cuts inside windows
+        write_slice(fleet, source, low, high)
+        telemetry = messages.decode_telemetry(messages.file_stream(spark, source, max_files_per_trigger=1))
+        stream_dash.run_windows(telemetry, out, checkpoint, trigger={"availableNow": True}).awaitTermination()
+    got = {(r.time, r.host_id): (r.cpu_pct, r.latency_ms) for r in stream_dash.latest(spark.read.parquet(out)).collect()}
+    means = [F.avg(m).alias(m) for m in ("cpu_pct", "latency_ms")]
+    want = fleet.groupBy(F.window("ts", "15 seconds").start.alias("time"), "host_id").agg(*means).collect()
+    assert len(got) == len(want)
+    for r in want:
+        assert got[(r.time, r.host_id)] == pytest.approx((r.cpu_pct, r.latency_ms))
+
+
+def test_chain_neither_loses_nor_doubles_alerts(spark, fleet, tmp_path):
+    source, out, found, cp1, cp2 = (str(tmp_path / d) for d in ("in", "out", "found", "cp1", "cp2"))
+    empty = {
+        "logs": "host_id string, service_name string, ts timestamp, line string",
+        "deploys": "deploy_id string, git_sha string, author string, component string, service_name string, deployed_at timestamp",
+        "runbooks": "service_name string, body string",
+    }
+    side = [spark.createDataFrame([], schema) for schema in empty.values()]
+    for low, high in ((0, 2000), (2000, 10**9)):
+        write_slice(fleet, source, low, high)
+        stream.run_detection(messages.file_stream(spark, source), out, cp1, "latency_ms", SMALL).awaitTermination()
+        run_investigation(
+            messages.file_stream(spark, f"{out}/alert_messages"), lambda: (stream.stored(spark, f"{out}/metrics"), *side), found, cp2
+        ).awaitTermination()
+    # the detection's first batch runs again: its folder gets new files
+    again = spark.read.schema("key string, value string").parquet(f"{out}/alert_messages/batch=0").collect()
+    spark.createDataFrame(again, "key string, value string").write.mode("overwrite").parquet(f"{out}/alert_messages/batch=0")
+    run_investigation(
+        messages.file_stream(spark, f"{out}/alert_messages"), lambda: (stream.stored(spark, f"{out}/metrics"), *side), found, cp2
+    ).awaitTermination()
+    sent = [r.alert_id for r in stream.stored(spark, f"{out}/alerts").collect()]
+    rows = stream.stored(spark, f"{found}/diagnoses").collect()
+    assert sorted(r.alert_id for r in rows) == sorted(sent) and len(sent) == len(set(sent)) > 5
+    assert all(r.sample_count > 0 for r in rows)
+
+
+def test_stream_sink_needs_a_target(spark, fleet, tmp_path):
+    messages.encode_telemetry(fleet).write.parquet(str(tmp_path / "in"))
+    with pytest.raises(ValueError, match="sink"):
+        messages.stream_sink(messages.file_stream(spark, str(tmp_path / "in")), str(tmp_path / "cp"))
