@@ -34,7 +34,8 @@ from fleetpulse.llm.common import mix, slices
 
 MARK = 0x2581
 SLICE = 8 << 20
-MOST_WORDS = 400_000  # of the words that a task remembers
+MOST_WORDS = 300_000  # of the words that a generation of a worker's memory takes before a new one begins
+PAIR_BITS = 20
 UNIGRAM, BPE = 1, 2  # model types of the format
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)  # piece types of the format
 NEVER = np.iinfo(np.int64).max
@@ -128,6 +129,10 @@ class Encoder:
         if model.model_type == BPE:
             self._split()
         self.spelling = [self._spelling(i) for i in range(len(model.pieces))]
+        self.pair_keys = np.full(1 << PAIR_BITS, -2)
+        self.pair_ok = np.zeros(1 << PAIR_BITS, bool)
+        self.memory: dict[str, list[int]] = {}  # ids of words met before, by any task of this worker
+        self.older: dict[str, list[int]] = {}
 
     def probe(self, hashes: np.ndarray) -> np.ndarray:
         """Piece of each hash, -1 without one: the hash's first bits lead to its place among the sorted keys."""
@@ -208,6 +213,19 @@ class Encoder:
             x, y = np.where(undo_y, x, self.right[x]), np.where(undo_y, self.left[y], y)
         return ok
 
+    def known_apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """apart(), with the answers of pairs met before in a table of 2^PAIR_BITS places; a new pair takes its place over."""
+        key = a * len(self.model.pieces) + b
+        place = (mix(key.view(np.uint64)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        out = self.pair_ok[place]
+        new = np.flatnonzero(self.pair_keys[place] != key)
+        if len(new):
+            out[new] = self.apart(a[new], b[new])
+            self.pair_keys[place[new]] = -2  # of new pairs with one place either may stand there, but key and answer go together
+            order = new[np.unique(place[new], return_index=True)[1]]
+            self.pair_keys[place[order]], self.pair_ok[place[order]] = key[order], out[order]
+        return out
+
     def _words(self, codes: np.ndarray) -> list[list[int]]:
         """Pieces of equally long words (rows of codes), by dynamic programming from left to right."""
         n, length = codes.shape
@@ -232,7 +250,7 @@ class Encoder:
             else:
                 value = np.full((sizes, n), -np.inf)
                 size, word = np.nonzero(hit & (before > -np.inf) & self.reached[found])
-                fits = self.apart(last[end - 1 - size, word], found[size, word])
+                fits = self.known_apart(last[end - 1 - size, word], found[size, word])
                 value[size[fits], word[fits]] = 0  # at most one path holds
                 value[0] = np.where(hit[0], value[0], before[0])
             word = np.arange(n)
@@ -277,12 +295,16 @@ class Encoder:
             text = " " + text
         return text.replace(" ", chr(MARK))
 
-    def encode(self, texts: list[str | None], memory: dict[str, list[int]]) -> list[list[int] | None]:
-        """Ids of each text; memory holds the ids of words met before."""
+    def encode(self, texts: list[str | None]) -> list[list[int] | None]:
+        """Ids of each text. Words met before are remembered in two generations; those in use move to the younger one."""
         cut = [None if t is None else self._cut(self.prepared(t)) for t in texts]
-        if len(memory) > MOST_WORDS:
-            memory.clear()
-        new = list(set(chain.from_iterable(words for words in cut if words)).difference(memory))
+        if len(self.memory) > MOST_WORDS:
+            self.memory, self.older = {}, self.memory
+        memory, older = self.memory, self.older
+        unknown = set(chain.from_iterable(words for words in cut if words)).difference(memory)
+        known = unknown.intersection(older)
+        memory.update(zip(known, map(older.__getitem__, known), strict=True))
+        new = list(unknown.difference(known))
         memory.update(zip(new, self.encode_words(new), strict=True))
         return [None if words is None else list(chain.from_iterable(map(memory.__getitem__, words))) for words in cut]
 
@@ -345,9 +367,9 @@ def encode(documents: DataFrame, model: Model, text: str = "text", ids: str = "i
         schema = schema.add(decoded, T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, memory = held.value, {}
+        encoder = held.value
         for batch in slices(batches, text, SLICE):
-            found = encoder.encode(batch.column(text).to_pylist(), memory)
+            found = encoder.encode(batch.column(text).to_pylist())
             columns = [*[batch.column(f.name) for f in kept], pa.array(found, pa.list_(pa.int32()))]
             if decoded:
                 columns.append(pa.array([None if x is None else encoder.decode(x) for x in found], pa.string()))

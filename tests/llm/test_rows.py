@@ -6,6 +6,7 @@ import json
 import random
 from collections import Counter
 from math import log2
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -183,6 +184,17 @@ def test_warc_edges(spark):
     )
 
 
+def test_words_and_pairs_remembered_or_forgotten_give_equal_ids(monkeypatch):
+    model = sentence_piece.Model.parse(Path(queries.TOKENIZER).read_bytes())
+    rng = random.Random(12)
+    texts = [" ".join("".join(rng.choice("aeiourstln") for _ in range(rng.randint(1, 9))) for _ in range(40)) for _ in range(60)]
+    whole = sentence_piece.Encoder(model).encode(texts)
+    monkeypatch.setattr(sentence_piece, "MOST_WORDS", 50)
+    monkeypatch.setattr(sentence_piece, "PAIR_BITS", 4)
+    encoder = sentence_piece.Encoder(model)
+    assert [x for _ in range(2) for i in range(0, 60, 5) for x in encoder.encode(texts[i : i + 5])] == whole * 2
+
+
 # --- chat
 
 
@@ -266,8 +278,8 @@ def test_encoding_equals_the_library(model):
     texts += ["".join(rng.choice("abcdehilnorst ") for _ in range(rng.randint(0, 80))) for _ in range(500)]
     texts += ["", " ", "   x  y   ", "a" * 300, "ab" * 200, "\n\n", " " * 50, "=" * 160]
     texts += pd.read_parquet(f"{SMALL}/documents.parquet").text.tolist()[:60]
-    encoder, memory = sentence_piece.Encoder(model), {}
-    got = [x for i in range(0, len(texts), 150) for x in encoder.encode(texts[i : i + 150], memory)]
+    encoder = sentence_piece.Encoder(model)
+    got = [x for i in range(0, len(texts), 150) for x in encoder.encode(texts[i : i + 150])]
     library = sentencepiece.SentencePieceProcessor(model_file=queries.TOKENIZER)
     assert got == library.encode(texts)
     assert [encoder.decode(x) for x in got] == texts == library.decode(got)
@@ -292,7 +304,7 @@ def test_unigram_path_is_the_best():
 
     for _ in range(200):
         text = "".join(rng.choice("abcd") for _ in range(rng.randint(1, 14)))
-        ids = encoder.encode([text], {})[0]
+        ids = encoder.encode([text])[0]
         got = sum(encoder.floor if i == 0 else scores[i] for i in ids)
         assert abs(got - best(text)) < 1e-9
 
