@@ -66,8 +66,8 @@ class LayoutConfig:
     chunk_rows: int = 2048
     # least number of tasks per core where the work is heavy for its bytes
     tasks_per_core: int = 4
-    # cooldown clocks are resolved per time span of this width
-    cooldown_span_seconds: int = 6 * 3600
+    # cooldowns are walked over spans of this many candidates (cut between cells)
+    cooldown_span_rows: int = 8192
 
 
 @dataclass(frozen=True)

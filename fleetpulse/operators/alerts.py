@@ -33,7 +33,7 @@ def published(
         alert_candidates(metrics),
         keys=("host_id", "is_early_warning"),
         seconds=config.cooldown_seconds,
-        span_seconds=layout.cooldown_span_seconds,
+        layout=layout,
     )
 
 

@@ -9,7 +9,7 @@ it, as many as the widest frame reaches back, and those copies are dropped after
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +28,24 @@ def is_numbered(events: DataFrame) -> bool:
     return any(f.name == "n" and f.metadata.get("fleetpulse.series") for f in events.schema.fields)
 
 
+def cell_offsets(rows: DataFrame, keys: Sequence[str], layout: LayoutConfig = LAYOUT) -> DataFrame:
+    """keys, _cell, _offset: how many rows of the keys stand in cells before each cell; rows need _cell.
+
+    Counts are added up inside groups of `cells_per_group` cells, and the groups' counts per key.
+    """
+    by = ", ".join(keys)
+    group = f"CAST(floor(_cell / {layout.cells_per_group}D) AS BIGINT) AS _group"
+    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    counts = rows.groupBy(*keys, "_cell").count().selectExpr("*", group)
+    groups = counts.groupBy(*keys, "_group").agg(F.sum("count").alias("_events")).selectExpr(
+        *keys, "_group", f"coalesce(sum(_events) OVER (PARTITION BY {by} ORDER BY _group {before}), 0) AS _base"
+    )
+    inside = counts.selectExpr(
+        *keys, "_cell", "_group", f"coalesce(sum(count) OVER (PARTITION BY {by}, _group ORDER BY _cell {before}), 0) AS _before"
+    )
+    return inside.join(groups, [*keys, "_group"]).selectExpr(*keys, "_cell", "_base + _before AS _offset")
+
+
 def number_events(events: DataFrame, layout: LayoutConfig = LAYOUT) -> DataFrame:
     """Add n = 1, 2, ... per host in (ts, event_id) order; an input column n is replaced.
 
@@ -38,17 +56,7 @@ def number_events(events: DataFrame, layout: LayoutConfig = LAYOUT) -> DataFrame
     if is_numbered(events):
         return events
     cell = f"CAST(floor(unix_micros(ts) / {layout.cell_micros}D) AS BIGINT) AS _cell"
-    group = f"CAST(floor(_cell / {layout.cells_per_group}D) AS BIGINT) AS _group"
-    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
-
-    counts = events.selectExpr(KEY, cell).groupBy(KEY, "_cell").count().selectExpr("*", group)
-    groups = counts.groupBy(KEY, "_group").agg(F.sum("count").alias("_events")).selectExpr(
-        KEY, "_group", f"coalesce(sum(_events) OVER (PARTITION BY {KEY} ORDER BY _group {before}), 0) AS _base"
-    )
-    inside = counts.selectExpr(
-        KEY, "_cell", "_group", f"coalesce(sum(count) OVER (PARTITION BY {KEY}, _group ORDER BY _cell {before}), 0) AS _before"
-    )
-    offsets = inside.join(groups, [KEY, "_group"]).selectExpr(KEY, "_cell", "_base + _before AS _offset")
+    offsets = cell_offsets(events.selectExpr(KEY, cell), [KEY], layout)
     ranked = events.drop("n").selectExpr("*", cell).selectExpr(
         "*", f"row_number() OVER (PARTITION BY {KEY}, _cell ORDER BY ts, event_id) AS _rank"
     )

@@ -20,7 +20,7 @@ SCHEMA = (
     "latency_ms double, error_rate_pct double, injected_anomaly_type string"
 )
 TINY = LayoutConfig(
-    cell_micros=7_000_000, cells_per_group=3, chunk_rows=230, cooldown_span_seconds=90
+    cell_micros=7_000_000, cells_per_group=3, chunk_rows=230, cooldown_span_rows=9
 )
 
 
