@@ -146,6 +146,39 @@ def recent_metrics(
     return inside.selectExpr("alert_id", "host_id", "_minutes AS minutes", "ts", *columns, "last - n + 1 AS recency")
 
 
+def recent_means(
+    alerts: DataFrame, stored: DataFrame, minutes: int | None = None, config: InvestigationConfig = INVESTIGATION
+) -> DataFrame:
+    """alert_id, host_id, sample_count and mean of each metric over the whole lookback, from a table by host.
+
+    `stored` is in the layout of `write_by_host`: only the alerts are exchanged, once for each hour that
+    their lookback touches, and the table's rows are joined where they are read. They are added up per alert
+    before the second exchange. Alerts without a row in the lookback count 0.
+    """
+    width = min(max(config.metrics_minutes if minutes is None else minutes, 1), config.metrics_minutes_cap) * 60_000_000
+    asked = alerts.select("alert_id", "host_id", F.unix_micros("triggered_at").alias("_upto")).selectExpr(
+        "*", f"explode(sequence(floor((_upto - {width}) / 3600000000D), floor(_upto / 3600000000D))) AS hour"
+    )
+    near = within_reach(stored, "ts", alerts, config.metrics_minutes_cap).select("host_id", "hour", "ts", *METRICS)
+    met = asked.join(near, ["host_id", "hour"]).filter(f"unix_micros(ts) BETWEEN _upto - {width} AND _upto")
+    means = met.groupBy("alert_id").agg(F.count("*").alias("sample_count"), *[F.avg(m).alias(f"mean_{m}") for m in METRICS])
+    return alerts.select("alert_id", "host_id").join(means, "alert_id", "left").fillna(0, ["sample_count"])
+
+
+def hourly_gaps(stored: DataFrame) -> DataFrame:
+    """host_id, hour, events, anomalies, largest_gap (seconds between neighbouring events inside the hour).
+
+    On a table by host the window and the aggregate run where the rows are read.
+    """
+    seen = stored.selectExpr(
+        "host_id", "hour", "is_anomaly",
+        "unix_micros(ts) - lag(unix_micros(ts)) OVER (PARTITION BY host_id, hour ORDER BY ts) AS _gap",
+    )
+    return seen.groupBy("host_id", "hour").agg(
+        F.count("*").alias("events"), F.count_if("is_anomaly").alias("anomalies"), (F.max("_gap") / 1e6).alias("largest_gap")
+    )
+
+
 def recent_metrics_summary(
     alerts: DataFrame,
     metrics: DataFrame,

@@ -6,6 +6,7 @@ column), so that SQL can check them; iforest_* and the flagship use real forest
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 from functools import wraps
@@ -847,6 +848,32 @@ def _shipped(query: Query) -> Query:
     return run
 
 
+def _metrics_by_host(spark: SparkSession, sf: str) -> tuple[str, str]:
+    """(folder, view) of metrics that came in three batches: two compactions, the last batch still apart."""
+    path, view = scratch_path(spark, "metrics_batches"), f"metrics_by_host_{uuid.uuid4().hex}"
+    metrics = materialize(tables.metrics_rows(_judged(spark, sf)), "metrics")
+    for batch in range(3):
+        part = metrics.filter(f"CASE WHEN minute(ts) < 20 THEN 0 WHEN minute(ts) < 40 THEN 1 ELSE 2 END = {batch}")
+        tables.append_batch(part, path, batch, date_col="ts")
+        if batch < 2:
+            tables.compact_batches(spark, path, view, upto=batch)
+    return path, view
+
+
+def compacted_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Events and gaps per host and hour from the compacted table, once all batches are in it."""
+    path, view = _metrics_by_host(spark, sf)
+    tables.compact_batches(spark, path, view, upto=2)
+    return evidence.hourly_gaps(spark.table(view)).withColumn("largest_gap", F.round(F.col("largest_gap") + 1e-9, 6))
+
+
+def stored_lookback(spark: SparkSession, sf: str) -> DataFrame:
+    """Means over each alert's lookback from the compacted table and the batch since."""
+    alerts = _stored_alerts(spark, sf)[1]
+    path, view = _metrics_by_host(spark, sf)
+    return rounded(evidence.recent_means(alerts, tables.read_by_host(spark, path, view)))
+
+
 _QUERIES: list[Query] = [
     telemetry_decode, telemetry_quarantine, telemetry_stream, alert_decode, alert_encode,
     metrics_table, alerts_table, hosts_upsert, orphan_rows, alert_status_latest, diagnoses_table,
@@ -861,7 +888,7 @@ _QUERIES: list[Query] = [
     dash_confidence, dash_alert_table, check_metrics_count, check_latest_alerts,
     check_latest_diagnoses, stream_detect, stream_alerts, stream_batch_parity, stream_dedup,
     stream_dash_15s, stream_investigate, iforest_stored_scores, detection_quality, stream_dedup_bounded, stream_sink,
-    stream_window_15s, stream_chain,
+    stream_window_15s, stream_chain, compacted_metrics, stored_lookback,
 ]
 _NAMED: dict[str, Query] = {
     "trend_smooth": _with_trend("score_ma"),

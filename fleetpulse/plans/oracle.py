@@ -587,5 +587,15 @@ def oracle_sql() -> dict[str, str]:
             round(CASE WHEN label <> 'none' THEN detected_episodes / nullif(episodes, 0)::double END + 1e-9, 6) AS episode_recall,
             round(delay / nullif(detected_episodes, 0)::double + 1e-9, 6) AS mean_delay_seconds
           FROM al"""),
+        "compacted_metrics": _with("judged", """,
+          h AS (SELECT *, cast(floor(epoch_us(ts) / 3600000000) AS bigint) AS hour FROM metrics),
+          g AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY host_id, hour ORDER BY ts) AS gap FROM h)
+          SELECT host_id, hour, count(*) AS events, count(*) FILTER (is_anomaly) AS anomalies, round(max(gap) / 1e6 + 1e-9, 6) AS largest_gap
+          FROM g GROUP BY host_id, hour"""),
+        "stored_lookback": _with("alerts", f"""
+          SELECT a.alert_id, a.host_id, count(m.ts) AS sample_count,
+            {', '.join(f'round(avg(m.{x}) + 1e-9, 6) AS mean_{x}' for x in METRICS)}
+          FROM alerts a LEFT JOIN metrics m ON m.host_id = a.host_id AND m.ts BETWEEN a.triggered_at - INTERVAL 15 MINUTE AND a.triggered_at
+          GROUP BY a.alert_id, a.host_id"""),
         "stream_investigate": _with("evidence", f"SELECT {diagnosis_columns} FROM diagnosed"),
     }

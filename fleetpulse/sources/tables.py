@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from fleetpulse.config import ALERT_STATUSES
 from fleetpulse.schemas import METRICS_COLUMNS
+from fleetpulse.session import scratch_path
+
+HOST_LAYOUT = ("host_id", "hour")  # the bucket columns; a busy host is spread over its hours
+UPTO = "fleetpulse.upto"
 
 
 def append_batch(rows: DataFrame, path: str, batch_id: int | str, date_col: str | None = None) -> None:
@@ -25,6 +30,76 @@ def append_batch(rows: DataFrame, path: str, batch_id: int | str, date_col: str
         rows.write.mode("overwrite").parquet(target)
 
 
+def by_host(rows: DataFrame, time_col: str = "ts") -> DataFrame:
+    """Add the columns of the host layout: hour (since 1970) and the day ds."""
+    hour = F.floor(F.unix_micros(time_col) / F.lit(3_600_000_000)).alias("hour")
+    return rows.drop("hour", "ds").select("*", hour, F.to_date(time_col).alias("ds"))
+
+
+def write_by_host(rows: DataFrame, table: str, path: str, buckets: int, time_col: str = "ts") -> None:
+    """Store rows as a table bucketed by host and hour, sorted by time, in day folders.
+
+    Joins, aggregates and windows whose keys include host_id and hour read it without an exchange. The
+    rows are exchanged by the bucket columns first, so a day has one file a bucket.
+    """
+    placed = by_host(rows, time_col).repartition(buckets, *HOST_LAYOUT)
+    writer = placed.sortWithinPartitions("ds", *HOST_LAYOUT, time_col).write.mode("overwrite").format("parquet")
+    writer = writer.partitionBy("ds").bucketBy(buckets, *HOST_LAYOUT).sortBy(*HOST_LAYOUT, time_col)
+    writer.option("path", path).saveAsTable(table)
+
+
+def compacted_upto(spark: SparkSession, view: str) -> int:
+    """Number of the last batch that the compacted view holds; -1 if there is no such view."""
+    try:
+        found = spark.sql(f"SHOW TBLPROPERTIES {view}").filter(F.col("key") == UPTO).first()
+    except AnalysisException:
+        return -1
+    return int(found["value"]) if found else -1
+
+
+def fresh_batches(spark: SparkSession, path: str, done: int, upto: int | None = None) -> DataFrame:
+    """Rows of the batches after number `done`, in the host layout; the folders of others are not opened."""
+    batches = spark.read.parquet(path).filter(F.col("batch") > done)
+    return by_host(batches if upto is None else batches.filter(F.col("batch") <= upto)).drop("batch")
+
+
+def compact_batches(
+    spark: SparkSession, path: str, view: str, upto: int, buckets: int | None = None, root: str | None = None
+) -> int:
+    """Gather the numbered batch folders of `path` up to `upto` in one table by host, seen through `view`.
+
+    `upto` must be a batch that is not written again: on a running stream the one before the newest.
+    Each call writes a generation of its own from the one before and the batches since, then turns the view
+    over to it, so readers see the one or the other and never a half; a call that fails changes nothing and
+    can be repeated. The generation before the last one is dropped from the catalog. No files are deleted:
+    old generations and batch folders are for the owner of the folder to remove. Returns the batch that
+    the view goes up to.
+    """
+    done = compacted_upto(spark, view)
+    if upto <= done:
+        return done
+    rows = fresh_batches(spark, path, done, upto)
+    if done >= 0:
+        rows = spark.table(view).unionByName(rows)
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{view}_{upto}"
+    target = scratch_path(spark, table) if root is None else f"{root.rstrip('/')}/{table}"
+    write_by_host(rows, table, target, buckets)
+    spark.sql(f"CREATE OR REPLACE VIEW {view} TBLPROPERTIES ('{UPTO}' = '{upto}', 'fleetpulse.before' = '{done}') AS SELECT * FROM {table}")
+    old = [t.name for t in spark.catalog.listTables(pattern=f"{view}_*") if t.tableType == "EXTERNAL"]
+    for name in old:
+        if name not in (table, f"{view}_{done}") and name.rsplit("_", 1)[-1].isdigit():
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return upto
+
+
+def read_by_host(spark: SparkSession, path: str, view: str) -> DataFrame:
+    """All stored rows in the host layout: the compacted ones and those of the batches since."""
+    done = compacted_upto(spark, view)
+    rows = fresh_batches(spark, path, done)
+    return rows if done < 0 else spark.table(view).unionByName(rows)
+
+
 def metrics_rows(metrics: DataFrame) -> DataFrame:
     """The columns of the metrics table, one row per event, warm-up rows included."""
     return metrics.select(*METRICS_COLUMNS)

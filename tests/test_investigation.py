@@ -191,6 +191,47 @@ def test_repeated_batches_are_stored_once(spark, tmp_path):
     assert stored.count() == 4 and stored.filter("ds = DATE'2024-01-02'").count() == 2
 
 
+def test_compaction_can_be_repeated_and_keeps_every_row(spark, tmp_path):
+    path, view = str(tmp_path / "batches"), "compaction_test"
+
+    def stored():
+        return sorted(r.event_id for r in tables.read_by_host(spark, path, view).collect())
+
+    def batch(number, ids):
+        rows = spark.createDataFrame([("h1" if i % 3 else "h2", i, at(1800 * i)) for i in ids], "host_id string, event_id int, ts timestamp")
+        tables.append_batch(rows, path, number, date_col="ts")
+
+    def compact(upto):
+        return tables.compact_batches(spark, path, view, upto, buckets=3, root=str(tmp_path / "tables"))
+
+    batch(0, range(0, 40))
+    batch(1, range(40, 70))
+    assert tables.compacted_upto(spark, view) == -1 and stored() == list(range(70))
+    assert compact(0) == 0 and stored() == list(range(70)) and spark.table(view).count() == 40
+    assert compact(0) == 0 and spark.table(view).count() == 40
+    early = spark.table(view)
+    batch(2, range(70, 80))
+    batch(1, range(40, 70))  # a batch written again before it is gathered
+    assert compact(1) == 1 and stored() == list(range(80)) and spark.table(view).count() == 70
+    assert early.count() == 40  # readers of the generation before are not disturbed
+    assert compact(5) == 5 and stored() == list(range(80))
+    batch(6, [])
+    batch(7, [500])
+    assert stored() == [*range(80), 500]
+    days = spark.table(view).filter("ds = DATE'2024-01-02'")
+    assert sorted(r.event_id for r in days.collect()) == list(range(24, 72))
+    kept = [t.name for t in spark.catalog.listTables(pattern=f"{view}_*")]
+    assert sorted(kept) == [f"{view}_1", f"{view}_5"]
+
+
+def test_means_of_a_lookback_from_a_table_by_host(spark):
+    rows = [("h1", i, at(60 * i), float(i), 1.0, 1.0, 1.0) for i in range(200)] + [("h2", 900, at(0), 9.0, 1.0, 1.0, 1.0)]
+    stored = tables.by_host(metrics_of(spark, rows))
+    asked = alerts_of(spark, alert("a", when=60 * 65), alert("b", host="h2", when=9000), alert("c", host="h3", when=60))
+    got = {r.alert_id: (r.sample_count, r.mean_cpu_pct) for r in evidence.recent_means(asked, stored).collect()}
+    assert got == {"a": (16, 57.5), "b": (0, None), "c": (0, None)}  # both ends of the 15 minutes count, across the hour
+
+
 def test_dashboard_selection_and_latest_diagnosis(spark):
     metrics = metrics_of(spark, [("h1", 1, at(0), 1.0, 1.0, 1.0, 1.0), ("h1", 2, at(14), 2.0, 1.0, 1.0, 1.0), ("h2", 1, at(15), 9.0, 1.0, 1.0, 1.0)])
     got = dashboard.series(metrics, "cpu_pct", hosts=["h1"]).collect()

@@ -6,10 +6,11 @@ import re
 
 import pytest
 
-from fleetpulse.operators import alerts, dashboard
+from fleetpulse.operators import alerts, dashboard, evidence
 from fleetpulse.plans import catalog
 from fleetpulse.plans.investigate import investigate
 from fleetpulse.session import materialize
+from fleetpulse.sources import tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -66,3 +67,17 @@ def test_top_rows_are_taken_before_the_join(spark):
     runs, found = catalog._recorded(spark, SF)
     text = plan(dashboard.alert_table(found, runs))
     assert "TakeOrderedAndProject(limit=200" in text and "LeftSemi" in text
+
+
+def test_table_by_host_is_read_without_an_exchange(large_plans, tmp_path):
+    """Windows, aggregates and joins by host and hour start on the stored side without a shuffle."""
+    metrics, found = catalog._stored_alerts(large_plans, SF)
+    tables.write_by_host(tables.metrics_rows(metrics.drop("ds")), "by_host_plan", str(tmp_path / "t"), 5)
+    stored = large_plans.table("by_host_plan")
+    assert stored.count() == metrics.count()
+    text = plan(evidence.hourly_gaps(stored))
+    assert "Window" in text and "Exchange" not in text and "Bucketed: true" in text
+    text = plan(evidence.recent_means(found, stored))
+    join = re.search(r"SortMergeJoin \[host_id[^\n]*\n(.*?)(?=\n\s*\+- [^\n]*alert_id[^\n]*LeftOuter|\Z)", text, re.S).group(1)
+    assert join.count("Exchange") == 1 and "Bucketed: true" in join  # the alerts, not the table
+    large_plans.sql("DROP TABLE by_host_plan")
