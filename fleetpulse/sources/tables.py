@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from fleetpulse.config import ALERT_STATUSES
 from fleetpulse.schemas import METRICS_COLUMNS
@@ -50,10 +49,9 @@ def write_by_host(rows: DataFrame, table: str, path: str, buckets: int, time_col
 
 def compacted_upto(spark: SparkSession, view: str) -> int:
     """Number of the last batch that the compacted view holds; -1 if there is no such view."""
-    try:
-        found = spark.sql(f"SHOW TBLPROPERTIES {view}").filter(F.col("key") == UPTO).first()
-    except AnalysisException:
+    if not spark.catalog.tableExists(view):
         return -1
+    found = spark.sql(f"SHOW TBLPROPERTIES {view}").filter(F.col("key") == UPTO).first()
     return int(found["value"]) if found else -1
 
 
