@@ -42,60 +42,93 @@ LAST = (1 << 63) - 1
 
 
 def _last_smallest(values: np.ndarray, size: int) -> np.ndarray:
-    """For each window of `size` values the place of the smallest, the last one of equals."""
-    place = np.arange(len(values))
-    width = 1
-    low = place
-    while width * 2 <= size:
-        a, b = low[:-width], low[width:]
-        low = np.where(values[b] <= values[a], b, a)
-        width *= 2
-    if width < size:
-        n = len(values) - size + 1
-        a, b = low[:n], low[size - width : size - width + n]
-        low = np.where(values[b] <= values[a], b, a)
-    return low
-
+    """For each window of `size` values the place of the smallest, the last one of equals.
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """The anchors of rows of text: row, first and last start that belong to each, hash of anchor and of context.
-
-    Start s belongs to the anchor of its own window [s, s + SPAN): starts of an anchor follow one another.
+    The place never goes back. It moves to a value that enters and is the smallest now, or on to another one when
+    the smallest has left the window, which shows as a larger minimum.
     """
+    low, width = values, 1
+    while width * 2 <= size:
+        low = np.minimum(low[:-width], low[width:])
+        width *= 2
+    n = len(values) - size + 1
+    low = np.minimum(low[:n], low[size - width : size - width + n])
+    place = np.zeros(n, np.int64)
+    entered = np.flatnonzero(values[size - 1 :] == low)
+    place[entered] = entered + size - 1
+    left = np.concatenate([[0], np.flatnonzero(low[1:] > low[:-1]) + 1])
+    for i in range(0, len(left), 1 << 12):
+        begin = left[i : i + (1 << 12)]
+        inside = values[begin[:, None] + np.arange(size - 1, -1, -1)] == low[begin][:, None]
+        place[begin] = begin + size - 1 - inside.argmax(1)
+    return np.maximum.accumulate(place)
+
+
+def _chosen(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of text: first start and end of the starts of each anchor, and the anchor's hash."""
     n = len(data) - LENGTH + 1
-    out = {k: np.empty(0, np.int64) for k in ("row", "start", "last", "anchor", "context")}
     if n <= 0:
-        return out
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     hashes = window_hashes(data, ANCHOR)
     chosen = _last_smallest(hashes, SPAN)[:n]
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:n]
-    valid = np.arange(n) + LENGTH <= offsets[1:][row]
-    new = np.ones(n, bool)
-    new[1:] = (chosen[1:] != chosen[:-1]) | (row[1:] != row[:-1])
+    valid = np.zeros(n + 1, bool)
+    sizes = np.diff(offsets)
+    valid[:n] = np.repeat(sizes >= LENGTH, sizes)[:n]
+    for back in range(1, LENGTH):  # the last starts of a row have no LENGTH bytes behind them
+        ends = offsets[1:] - back
+        valid[ends[(ends >= offsets[:-1]) & (ends < n)]] = False
+    new = np.ones(n + 1, bool)
+    new[1:n] = chosen[1:] != chosen[:-1]
+    begins = offsets[:-1]
+    new[begins[begins < n]] = True
     first = np.flatnonzero(new & valid)
+    stop = np.flatnonzero((new | ~valid)[1:] & valid[:-1]) + 1
+    anchor = mix(hashes[chosen[first]] ^ np.uint64(0x6A09E667F3BCC909))  # smallest hashes are all small: spread them
+    return first, stop, anchor.view(np.int64)
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, repeated: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """The anchors of rows of text: row, first and last start that belong to each, hash of anchor and of context.
+
+    Start s belongs to the anchor of its own window [s, s + SPAN): starts of an anchor follow one another. With a
+    bitmap of slots, only the anchors in these slots.
+    """
+    first, stop, anchor = _chosen(data, offsets)
+    if repeated is not None:
+        slot = anchor.view(np.uint64) >> np.uint64(64 - SLOT_BITS)
+        passed = (repeated[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)
+        first, stop, anchor = (x[passed.astype(bool)] for x in (first, stop, anchor))
     if not len(first):
-        return out
-    stop = np.flatnonzero(np.concatenate([(new | ~valid)[1:], [True]]) & valid) + 1
+        return {k: np.empty(0, np.int64) for k in ("row", "start", "last", "anchor", "context")}
     strings = window_hashes(data, LENGTH)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(strings, dtype=np.uint64)])
     context = mix(sums[stop] - sums[first] + mix(strings[first] ^ (stop - first).astype(np.uint64)) + strings[stop - 1])
-    begin = offsets[row[first]]
-    anchor = mix(hashes[chosen[first]] ^ np.uint64(0x6A09E667F3BCC909))  # smallest hashes are all small: spread them
-    return {"row": row[first], "start": first - begin, "last": stop - 1 - begin, "anchor": anchor.view(np.int64), "context": context.view(np.int64)}
+    row = np.searchsorted(offsets, first, "right") - 1
+    begin = offsets[row]
+    return {"row": row, "start": first - begin, "last": stop - 1 - begin, "anchor": anchor, "context": context.view(np.int64)}
 
 
-def _pieces(texts: pa.Array, size: int = SLICE) -> Iterator[dict[str, np.ndarray]]:
-    """Anchors of texts, looked for in pieces of about `size` bytes; a cut in a long text only cuts a context."""
+def _cuts(texts: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, first byte in it, bytes, offsets) of texts in pieces of about `size` bytes.
+
+    A cut in a long text only cuts a context.
+    """
     data, offsets = flat(texts)
     if len(data) <= 2 * size:
-        yield anchors(data, offsets)
+        yield 0, 0, data, offsets
         return
     for row in range(len(texts)):
         own = data[offsets[row] : offsets[row + 1]]
         for begin in range(0, max(len(own) - LENGTH + 1, 0), size):
             part = own[begin : begin + size + LENGTH - 1]
-            found = anchors(part, np.array([0, len(part)]))
-            yield found | {"row": found["row"] + row, "start": found["start"] + begin, "last": found["last"] + begin}
+            yield row, begin, part, np.array([0, len(part)])
+
+
+def _pieces(texts: pa.Array, size: int = SLICE, repeated: np.ndarray | None = None) -> Iterator[dict[str, np.ndarray]]:
+    """Anchors of texts, looked for in pieces of about `size` bytes."""
+    for row, begin, data, offsets in _cuts(texts, size):
+        found = anchors(data, offsets, repeated)
+        yield found | {"row": found["row"] + row, "start": found["start"] + begin, "last": found["last"] + begin}
 
 
 def anchor_rows(documents: DataFrame, repeated: np.ndarray | None = None) -> DataFrame:
@@ -107,11 +140,7 @@ def anchor_rows(documents: DataFrame, repeated: np.ndarray | None = None) -> Dat
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
-            for found in _pieces(batch.column("text")):
-                if held is not None:
-                    slot = found["anchor"].view(np.uint64) >> np.uint64(64 - SLOT_BITS)
-                    passed = (held.value[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)
-                    found = {k: v[passed.astype(bool)] for k, v in found.items()}
+            for found in _pieces(batch.column("text"), repeated=None if held is None else held.value):
                 if len(found["row"]):
                     keys = batch.select(["at", "version"]).take(pa.array(found["row"]))
                     names = ["start", "last", "anchor", "context"]
@@ -122,12 +151,20 @@ def anchor_rows(documents: DataFrame, repeated: np.ndarray | None = None) -> Dat
     )
 
 
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The slot of every anchor of the texts."""
+    for batch in slices(batches, "text", SLICE):
+        for _, _, data, offsets in _cuts(batch.column("text")):
+            anchor = _chosen(data, offsets)[2].view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array((anchor >> np.uint64(64 - SLOT_BITS)).astype(np.int32))], ["slot"])
+
+
 def repeated_slots(documents: DataFrame) -> np.ndarray:
     """Bitmap of the slots (first SLOT_BITS bits of an anchor's hash) that more than one anchor falls into.
 
     Spark builds it in chunks of 2^16 slots; the driver gets these, 16 MB altogether whatever the input.
     """
-    slots = anchor_rows(documents).select(F.shiftrightunsigned("anchor", 64 - SLOT_BITS).cast("int").alias("slot"))
+    slots = documents.select("text").mapInArrow(_slots, "slot int")
     several = slots.groupBy("slot").count().filter("count > 1").select("slot", F.shiftright("slot", 16).alias("chunk"))
 
     def pack(table: pa.Table) -> pa.Table:
@@ -175,13 +212,11 @@ def sort_suffixes(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) ->
     """
     n = -(-length // 8)
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    words = []
-    for i in range(n):
-        word = np.zeros(len(starts), np.uint64)
-        for j in range(8):
-            byte = padded[starts + 8 * i + j].astype(np.uint64) if 8 * i + j < length else np.zeros(len(starts), np.uint64)
-            word = (word << np.uint64(8)) | byte
-        words.append(word)
+    at_byte = np.ndarray((len(text) + 1,), ">u8", padded, strides=(1,)).astype(np.uint64)
+    words = [at_byte[starts + 8 * i] for i in range(n)]
+    if length % 8:
+        words[-1] >>= np.uint64(8 * (8 - length % 8))
+        words[-1] <<= np.uint64(8 * (8 - length % 8))
     order = np.lexsort(words[::-1])
     shared = np.zeros(len(starts), np.int64)
     open_ = np.ones(max(len(starts) - 1, 0), bool)
@@ -212,6 +247,15 @@ def repeats(contexts: list[bytes], time: np.ndarray, size: np.ndarray) -> tuple[
     number = np.repeat(np.arange(len(contexts)), size)
     inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
     starts = begins[number] + inside
+    # only strings with a hash that comes again can repeat; the order of the suffixes decides on those
+    hashes = window_hashes(text, LENGTH)[starts]
+    by_hash = np.argsort(hashes)
+    again = np.flatnonzero(hashes[by_hash][1:] == hashes[by_hash][:-1])
+    open_ = np.zeros(len(starts), bool)
+    open_[by_hash[again]] = open_[by_hash[again + 1]] = True
+    number, inside, starts = number[open_], inside[open_], starts[open_]
+    if not len(starts):
+        return number, inside
     order, shared = sort_suffixes(text, starts)
     rank = np.empty(len(contexts), np.int64)
     rank[np.argsort(time, kind="stable")] = np.arange(len(contexts))
