@@ -5,36 +5,57 @@ Needs raw_score, null for events that have none; the frames skip those.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from fleetpulse.config import DETECTOR, LAYOUT, DetectorConfig, LayoutConfig
-from fleetpulse.operators.series import last_rows, over_chunks
+from fleetpulse.functions.order import window_moments, window_percentiles
+from fleetpulse.operators.series import KEY, over_chunks
 
 
-def history_windows(config: DetectorConfig = DETECTOR) -> list[str]:
-    """Sorted scores, mean and population deviation of the last scores.
+HISTORY = "_history"
 
-    Sorting the frame's scores is exact and several times faster than the percentile
-    aggregate, which fills a count map for every row.
-    """
-    frame = last_rows(config.score_history)
-    return [
-        f"sort_array(collect_list(raw_score) {frame}) AS _scores",
-        f"avg(raw_score) {frame} AS _mean",
-        f"stddev_pop(raw_score) {frame} AS _std",
-    ]
 
+def add_history(ordered: DataFrame, config: DetectorConfig = DETECTOR) -> DataFrame:
+    """Add _history: number, percentile, mean and deviation of the last scores.
 
-HISTORY_WINDOW_NAMES = ("_scores", "_mean", "_std")
-
-
-def percentile_of_sorted(values: str, percent: float) -> str:
-    """Linear-interpolation percentile of an ascending array (null if empty)."""
-    at = f"({percent / 100.0}D * (size({values}) - 1))"
-    low = f"CAST(floor({at}) AS INT)"
-    below = f"try_element_at({values}, {low} + 1)"
-    above = f"coalesce(try_element_at({values}, {low} + 2), {below})"
-    return f"{below} + ({above} - {below}) * ({at} - {low})"
+    The rows of a chunk have to come sorted. One pass goes over them as they come; only three narrow columns leave the
+    JVM. A window ends where the chunk changes or a number doesn't follow the one before. The pass has to stay above the
+    sort and below the cut of the copied rows, which a function that counts as nondeterministic does. Exchanges above it
+    don't know the order of its rows, so it is the last step that needs the order.
+    """
+    length, percent = config.score_history, config.threshold_percentile
+
+    @F.arrow_udf("struct<count: int, percentile: double, mean: double, std: double>")
+    def history(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        chunk, number, score, has = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, bool)
+        for chunks, numbers, scores in parts:
+            held = len(chunk)
+            chunk = np.concatenate([chunk, chunks.to_numpy(zero_copy_only=False)])
+            number = np.concatenate([number, numbers.to_numpy(zero_copy_only=False)])
+            has = np.concatenate([has, scores.is_valid().to_numpy(zero_copy_only=False)])
+            score = np.concatenate([score, scores.fill_null(0.0).to_numpy(zero_copy_only=False)])
+            row = np.arange(len(chunk))
+            new = np.ones(len(chunk), bool)
+            new[1:] = (chunk[1:] != chunk[:-1]) | (number[1:] != number[:-1] + 1)
+            first = np.maximum(np.maximum.accumulate(np.where(new, row, 0)), row - length + 1)[held:]
+            before = np.concatenate([[0], np.cumsum(has)])
+            begin, end = before[first], before[held + 1 :]
+            mean, std = window_moments(score[has], begin, end, length)
+            columns = (window_percentiles(score[has], begin, end, percent), mean, std)
+            yield pa.StructArray.from_arrays(
+                [pa.array((end - begin).astype(np.int32)), *[pa.array(c, mask=end == begin) for c in columns]],
+                ["count", "percentile", "mean", "std"],
+            )
+            kept = slice(max(0, len(chunk) - length + 1), None)
+            chunk, number, score, has = chunk[kept], number[kept], score[kept], has[kept]
+
+    score = F.col("raw_score").cast("double")
+    return ordered.withColumn(HISTORY, history.asNondeterministic()(F.xxhash64(KEY, "_chunk"), F.col("n").cast("long"), score))
 
 
 IS_ANOMALY = "coalesce(NOT isnan(raw_score) AND raw_score > threshold, false)"  # SQL ranks NaN above all
@@ -43,13 +64,12 @@ SEVERITY = """CASE WHEN is_anomaly THEN
 
 
 def threshold_columns(config: DetectorConfig = DETECTOR) -> list[str]:
-    value = percentile_of_sorted("_scores", config.threshold_percentile)
+    enough = f"raw_score IS NOT NULL AND {HISTORY}.count >= {config.min_history}"
     return [
-        "CASE WHEN raw_score IS NOT NULL THEN size(_scores) END AS history_count",
-        f"""CASE WHEN raw_score IS NOT NULL AND size(_scores) >= {config.min_history}
-            THEN {value} END AS threshold""",
-        "CASE WHEN raw_score IS NOT NULL THEN _mean END AS ewma_mean",
-        "CASE WHEN raw_score IS NOT NULL THEN _std END AS ewma_std",
+        f"CASE WHEN raw_score IS NOT NULL THEN {HISTORY}.count END AS history_count",
+        f"CASE WHEN {enough} THEN {HISTORY}.percentile END AS threshold",
+        f"CASE WHEN raw_score IS NOT NULL THEN {HISTORY}.mean END AS ewma_mean",
+        f"CASE WHEN raw_score IS NOT NULL THEN {HISTORY}.std END AS ewma_std",
         f"{IS_ANOMALY} AS is_anomaly",
         f"{SEVERITY} AS severity",
     ]
@@ -61,8 +81,7 @@ def add_threshold(
     """Add history_count, threshold, ewma_mean, ewma_std, is_anomaly and severity."""
 
     def build(df: DataFrame) -> DataFrame:
-        return df.selectExpr("*", *history_windows(config)).selectExpr(
-            f"* EXCEPT ({', '.join(HISTORY_WINDOW_NAMES)})", *threshold_columns(config)
-        )
+        ordered = df.sortWithinPartitions(KEY, "_chunk", "n")
+        return add_history(ordered, config).selectExpr(f"* EXCEPT ({HISTORY})", *threshold_columns(config))
 
     return over_chunks(scored, config.score_history - 1, build, layout)

@@ -17,34 +17,36 @@ def _judge(scored: DataFrame, config: DetectorConfig, layout: LayoutConfig) -> D
     """Features, threshold, forecast and recent snapshots in one pass over the series.
 
     All windows that read input columns share one Window node; only the trend line, which
-    reads the smoothed scores, needs a second one on the same partitioning and order.
+    reads the smoothed scores, needs a second one on the same partitioning and order. The
+    score history is read after both, from the rows as they are sorted for them.
     """
     with_features = features.DERIVED[0] in scored.columns
 
     def build(df: DataFrame) -> DataFrame:
-        dropped = [*threshold.HISTORY_WINDOW_NAMES]
         windows = [
             *features.recent_windows(config),
-            *threshold.history_windows(config),
             *forecast.smoothing_windows(config),
         ]
         derived = []
         if with_features:
-            dropped += features.DERIVED
+            dropped = [*features.DERIVED]
         else:
-            dropped += features.FEATURE_WINDOW_NAMES
+            dropped = [*features.FEATURE_WINDOW_NAMES]
             windows += features.feature_windows(config)
             derived = features.feature_columns()
         # only alert candidates need their recent snapshots; the table keeps null elsewhere
-        return (
+        windowed = (
             df.selectExpr("*", *windows)
             .selectExpr(
                 f"* EXCEPT ({', '.join(dropped)})",
                 *derived,
                 f"{features.FEATURE_ARRAY} AS features",
-                *threshold.threshold_columns(config),
             )
             .selectExpr("*", *forecast.trend_windows(config))
+        )
+        return (
+            threshold.add_history(windowed, config)
+            .selectExpr(f"* EXCEPT ({threshold.HISTORY})", *threshold.threshold_columns(config))
             .selectExpr("*", forecast.forecast_column(config))
             .selectExpr(
                 f"* EXCEPT (_x, {', '.join(features.RECENT_WINDOW_NAMES)})",
