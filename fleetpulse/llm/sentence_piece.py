@@ -33,8 +33,9 @@ from pyspark.sql import types as T
 from fleetpulse.llm.common import mix, slices
 
 MARK = 0x2581
-SLICE = 8 << 20
-MOST_WORDS = 300_000  # of the words that a generation of a worker's memory takes before a new one begins
+SLICE = 2 << 20
+MOST_WORDS = 80_000  # of the words that a generation of a worker's memory takes before a new one begins
+MOST_CHARS = 1 << 16  # of the words that advance together; a place of a character takes some hundred bytes
 PAIR_BITS = 20
 UNIGRAM, BPE = 1, 2  # model types of the format
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)  # piece types of the format
@@ -131,8 +132,9 @@ class Encoder:
         self.spelling = [self._spelling(i) for i in range(len(model.pieces))]
         self.pair_keys = np.full(1 << PAIR_BITS, -2)
         self.pair_ok = np.zeros(1 << PAIR_BITS, bool)
-        self.memory: dict[str, list[int]] = {}  # ids of words met before, by any task of this worker
-        self.older: dict[str, list[int]] = {}
+        self.numbers = list(range(len(model.pieces)))  # one object for each id, shared by all words that have it
+        self.memory: dict[str, tuple[int, ...]] = {}  # ids of words met before, by any task of this worker
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def probe(self, hashes: np.ndarray) -> np.ndarray:
         """Piece of each hash, -1 without one: the hash's first bits lead to its place among the sorted keys."""
@@ -268,16 +270,16 @@ class Encoder:
             rows, at = rows[at > 0], at[at > 0]
         return [x[::-1] for x in out]
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Pieces of words, all words of one length together."""
-        codes = [_codes(w) for w in words]
-        lengths = np.array([len(c) for c in codes])
-        out: list[list[int]] = [[]] * len(words)
+    def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
+        """Pieces of words; words of one length together, in parts of MOST_CHARS characters or a single word."""
+        lengths = np.array([len(w) for w in words])
+        out: list[tuple[int, ...]] = [()] * len(words)
         for length in np.unique(lengths):
             group = np.flatnonzero(lengths == length)
-            for part in np.array_split(group, -(-len(group) * int(length) // (1 << 20)) or 1):
-                for i, pieces in zip(part, self._words(np.stack([codes[k] for k in part])), strict=True):
-                    out[i] = [p for piece in pieces for p in self._spelled(piece)]
+            for part in np.array_split(group, -(-len(group) * int(length) // MOST_CHARS) or 1):
+                codes = np.stack([_codes(words[k]) for k in part])
+                for i, pieces in zip(part.tolist(), self._words(codes), strict=True):
+                    out[i] = tuple(self.numbers[p] for piece in pieces for p in self._spelled(piece))
         return out
 
     def _spelled(self, piece: int) -> list[int]:

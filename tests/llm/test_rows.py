@@ -316,3 +316,18 @@ def test_encoding_rows(spark, model):
     assert len(got) == len(rows) and all(r.same for r in got)
     assert Counter((r.doc_id, r.n_tokens) for r in got if r.doc_id in (1, 2)) == {(1, 0): 1, (2, 0): 2}
     assert sentence_piece.report(docs.limit(0), model).count() == 0
+
+
+def test_few_words_advance_together_and_equal_ids_are_one_object(monkeypatch):
+    letters = "abcdefghijklmnop"
+    pieces = [(c, 0.0, 1) for c in letters]
+    encoder = sentence_piece.Encoder(
+        sentence_piece.Model([p for p, *_ in pieces], np.zeros(16), np.ones(16, int), sentence_piece.UNIGRAM, False, False, True)
+    )
+    sizes, step = [], encoder._words
+    monkeypatch.setattr(encoder, "_words", lambda codes: sizes.append(codes.size) or step(codes))
+    words = [a + b + c + d for a in letters for b in letters for c in letters for d in letters]
+    found = encoder.encode_words(words)
+    assert max(sizes) <= 1 << 16 and sum(sizes) == 4 * len(words)
+    assert found[0] == (0, 0, 0, 0) and found[-1] == (15, 15, 15, 15)
+    assert all(isinstance(ids, tuple) for ids in found)
