@@ -848,10 +848,10 @@ def _shipped(query: Query) -> Query:
     return run
 
 
-def _metrics_by_host(spark: SparkSession, sf: str) -> tuple[str, str]:
-    """(folder, view) of metrics that came in three batches: two compactions, the last batch still apart."""
+def _metrics_by_host(metrics: DataFrame) -> tuple[str, str]:
+    """(folder, view) of stored metrics that came in three batches: two compactions, the last batch still apart."""
+    spark = metrics.sparkSession
     path, view = scratch_path(spark, "metrics_batches"), f"metrics_by_host_{uuid.uuid4().hex}"
-    metrics = materialize(tables.metrics_rows(_judged(spark, sf)), "metrics")
     for batch in range(3):
         part = metrics.filter(f"CASE WHEN minute(ts) < 20 THEN 0 WHEN minute(ts) < 40 THEN 1 ELSE 2 END = {batch}")
         tables.append_batch(part, path, batch, date_col="ts")
@@ -862,15 +862,15 @@ def _metrics_by_host(spark: SparkSession, sf: str) -> tuple[str, str]:
 
 def compacted_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Events and gaps per host and hour from the compacted table, once all batches are in it."""
-    path, view = _metrics_by_host(spark, sf)
+    path, view = _metrics_by_host(materialize(tables.metrics_rows(_judged(spark, sf)), "metrics"))
     tables.compact_batches(spark, path, view, upto=2)
     return evidence.hourly_gaps(spark.table(view)).withColumn("largest_gap", F.round(F.col("largest_gap") + 1e-9, 6))
 
 
 def stored_lookback(spark: SparkSession, sf: str) -> DataFrame:
     """Means over each alert's lookback from the compacted table and the batch since."""
-    alerts = _stored_alerts(spark, sf)[1]
-    path, view = _metrics_by_host(spark, sf)
+    metrics, alerts = detection.detect(_telemetry(spark, sf), STAND_IN)
+    path, view = _metrics_by_host(tables.metrics_rows(metrics))
     return rounded(evidence.recent_means(alerts, tables.read_by_host(spark, path, view)))
 
 

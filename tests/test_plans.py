@@ -81,3 +81,10 @@ def test_table_by_host_is_read_without_an_exchange(large_plans, tmp_path):
     join = re.search(r"SortMergeJoin \[host_id[^\n]*\n(.*?)(?=\n\s*\+- [^\n]*alert_id[^\n]*LeftOuter|\Z)", text, re.S).group(1)
     assert join.count("Exchange") == 1 and "Bucketed: true" in join  # the alerts, not the table
     large_plans.sql("DROP TABLE by_host_plan")
+
+
+def test_stored_lookback_scores_the_telemetry_once(spark, monkeypatch):
+    calls, score = [], catalog.detection.score_with_column
+    monkeypatch.setattr(catalog.detection, "score_with_column", lambda *a, **k: calls.append(a) or score(*a, **k))
+    assert catalog.stored_lookback(spark, SF).count() > 0
+    assert len(calls) == 1
