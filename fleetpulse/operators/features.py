@@ -63,17 +63,15 @@ def feature_columns() -> list[str]:
 
 
 def recent_windows(config: DetectorConfig = DETECTOR) -> list[str]:
-    """The last values of each metric, oldest first, the current one included."""
-    frame = last_rows(config.rolling_window)
-    return [f"collect_list({m}) {frame} AS _{m}_recent" for m in METRICS]
+    """The last readings, oldest first, the current ones included: one list for all metrics."""
+    return [f"collect_list({SNAPSHOT}) {last_rows(config.rolling_window)} AS {RECENT}"]
 
 
-RECENT_WINDOW_NAMES = tuple(f"_{m}_recent" for m in METRICS)
-RECENT_SNAPSHOTS = (
-    f"transform(arrays_zip({', '.join(RECENT_WINDOW_NAMES)}), s -> named_struct("
-    + ", ".join(f"'{m}', s._{m}_recent" for m in METRICS)
-    + "))"
-)
+RECENT = "_recent"
+_RECENT_LISTS = ", ".join(f"array_compact({RECENT}.{m})" for m in METRICS)
+_RECENT_FIELDS = ", ".join(f"'{m}', s['{i}']" for i, m in enumerate(METRICS))
+# a metric's missing readings are left out of its list
+RECENT_SNAPSHOTS = f"transform(arrays_zip({_RECENT_LISTS}), s -> named_struct({_RECENT_FIELDS}))"
 
 
 def add_features(
@@ -104,7 +102,7 @@ def recent_snapshots(
 
     def build(df: DataFrame) -> DataFrame:
         return df.selectExpr("*", *recent_windows(config)).selectExpr(
-            f"* EXCEPT ({', '.join(RECENT_WINDOW_NAMES)})", f"{RECENT_SNAPSHOTS} AS recent_metrics"
+            f"* EXCEPT ({RECENT})", f"{RECENT_SNAPSHOTS} AS recent_metrics"
         )
 
     return over_chunks(events, config.rolling_window - 1, build, layout)

@@ -49,7 +49,7 @@ def _judge(scored: DataFrame, config: DetectorConfig, layout: LayoutConfig) -> D
             .selectExpr(f"* EXCEPT ({threshold.HISTORY})", *threshold.threshold_columns(config))
             .selectExpr("*", forecast.forecast_column(config))
             .selectExpr(
-                f"* EXCEPT (_x, {', '.join(features.RECENT_WINDOW_NAMES)})",
+                f"* EXCEPT (_x, {features.RECENT})",
                 f"""CASE WHEN is_anomaly OR predicted_breach_minutes IS NOT NULL
                     THEN {features.RECENT_SNAPSHOTS} END AS recent_metrics""",
             )
@@ -96,5 +96,5 @@ def detect(
         metrics = score_with_column(telemetry, score_col, config, layout)
     else:
         metrics = score_with_forest(telemetry, config, layout)
-    metrics = materialize(metrics, "metrics")
+    metrics = materialize(metrics, "metrics", dictionary=False)
     return metrics, build_alerts(metrics, config, layout)

@@ -46,8 +46,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/fleetpulse/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write df as a table in the shared folder and read it back.
+def materialize(df: DataFrame, name: str, compression: str = "zstd", dictionary: bool = True) -> DataFrame:
+    """Write df as a table in the shared folder and read it back; without a dictionary where few values repeat.
 
     Used where several later steps read the same result. It cuts the lineage, so a lost
     executor costs a re-read and not a re-computation, and the columnar copy keeps column
@@ -55,7 +55,8 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    writer = df.write.option("compression", compression)
+    (writer if dictionary else writer.option("parquet.enable.dictionary", "false")).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
