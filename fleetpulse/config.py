@@ -64,6 +64,8 @@ class LayoutConfig:
     cells_per_group: int = 3600
     # window frames run over chunks of this many events (plus the lookback rows)
     chunk_rows: int = 2048
+    # successive versions of a host that score so many events together, one at least, are fitted in one group
+    scoring_rows: int = 4000
     # least number of tasks per core where the work is heavy for its bytes
     tasks_per_core: int = 4
     # cooldowns are walked over spans of this many candidates (cut between cells)

@@ -9,6 +9,7 @@ constant. So the last bits of a feature, which depend on the order of a sum, do
 
 from __future__ import annotations
 
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -32,50 +33,98 @@ def expected_path(size: np.ndarray | int) -> np.ndarray:
     return np.where(m <= 1, 0.0, np.where(m == 2, 1.0, value))
 
 
+@lru_cache(maxsize=4)
+def _random(seed: int, trees: int, rows: int, psi: int, later: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows drawn for each tree, and the random numbers that follow; the same for all forests of one shape."""
+    numbers = np.random.default_rng(seed).random(trees * rows + later)
+    drawn = np.argpartition(numbers[: trees * rows].reshape(trees, rows), psi - 1, axis=1)[:, :psi].ravel()
+    return drawn, numbers[trees * rows :]
+
+
+def _runs(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
+
+
 def fit_forest(x: np.ndarray, trees: int, subsample: int, seed: int) -> Forest:
     """Grow the forest; rows of x must already be in a fixed order."""
     x = x.astype(np.float32)
-    psi = min(subsample, len(x))
+    rows, width = x.shape
+    psi = min(subsample, rows)
     depth = int(np.ceil(np.log2(max(psi, 2))))
     nodes = 2 ** (depth + 1) - 1
-    rng = np.random.default_rng(seed)
+    drawn, numbers = _random(seed, trees, rows, psi, trees * (2**depth - 1) * (width + 1))
 
     feature = np.full(trees * nodes, -1, dtype=np.int16)
     threshold = np.zeros(trees * nodes)
     size = np.zeros(trees * nodes, dtype=np.int32)
 
-    # Drawn rows of all trees, kept sorted by node; `node` counts through all trees.
-    data = x[np.argpartition(rng.random((trees, len(x))), psi - 1, axis=1)[:, :psi].ravel()]
-    node = np.repeat(np.arange(trees) * nodes, psi)
-    first = np.repeat(np.arange(trees) * nodes, psi)
+    # each column in ascending order, NaN last: row at a rank, its value, and the rank of a row
+    order = np.argsort(x, axis=0, kind="stable").T
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.broadcast_to(np.arange(rows), order.shape), axis=1)
+    values = np.take_along_axis(x.T, order, axis=1).ravel()
+    columns, order, rank = x.T, order.ravel(), rank.ravel()
+
+    def ascending(chosen: np.ndarray, sizes: np.ndarray, held: np.ndarray) -> np.ndarray:
+        """Place in order and values of the nodes' rows, in each node by its chosen column."""
+        node = np.repeat(np.arange(len(sizes)) * rows, sizes)
+        column = np.repeat(chosen * rows, sizes)
+        key = (node + rank.take(column + held)).astype(np.int32 if len(sizes) * rows < 2**31 else np.int64)
+        key.sort()
+        return key - node + column
+
+    # Rows of all trees, kept sorted by node, without those alone in a node; nodes count through all trees.
+    ids = first = np.arange(trees) * nodes
+    counts = np.full(trees, psi)
+    drawn = drawn[: len(drawn) if psi > 1 else 0]
     for level in range(depth + 1):
-        starts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
-        counts = np.diff(np.append(starts, len(node)))
-        ids = node[starts]
         size[ids] = counts
         if level == depth:
             break
-        lo = np.minimum.reduceat(data, starts, axis=0).astype(np.float64)
-        hi = np.maximum.reduceat(data, starts, axis=0).astype(np.float64)
-        # a random feature among those that still vary in the node
-        draw = np.where(hi > lo + CONSTANT_SPAN, rng.random(lo.shape), -1.0)
+        # every node has its random numbers; those of a single row need none and are left out from here on
+        several = np.flatnonzero(counts > 1)
+        draw, at_cut = numbers[: len(ids) * width].reshape(-1, width)[several], numbers[len(ids) * width :][: len(ids)][several]
+        numbers = numbers[len(ids) * (width + 1) :]
+        ids, first, counts = ids[several], first[several], counts[several]
+        if not len(ids):
+            break
+        starts = _runs(counts)
+        # a random feature among those that still vary in the node: mostly the one with the largest draw
         chosen = draw.argmax(axis=1)
-        pick = np.arange(len(ids))
-        splits = draw[pick, chosen] >= 0.0
-        low, high = lo[pick, chosen], hi[pick, chosen]
-        cut = low + rng.random(len(ids)) * (high - low)
+        place = ascending(chosen, counts, drawn)
+        low = values[place[starts]].astype(np.float64)
+        high = values[place[starts + counts - 1]].astype(np.float64)
+        splits = high > low + CONSTANT_SPAN
+        stuck = np.flatnonzero(~splits)
+        if len(stuck):  # it does not vary, so the others are looked at
+            sizes = counts[stuck]
+            within = _runs(sizes)
+            of = np.repeat(starts[stuck] - within, sizes) + np.arange(sizes.sum())
+            held = columns.take(drawn[of], axis=1)
+            lo, hi = (f.reduceat(held, within, axis=1).astype(np.float64) for f in (np.minimum, np.maximum))
+            among = np.where(hi > lo + CONSTANT_SPAN, draw[stuck].T, -1.0)
+            found = among.argmax(axis=0)
+            pick = np.arange(len(stuck))
+            chosen[stuck], splits[stuck] = found, among[found, pick] >= 0.0
+            low[stuck], high[stuck] = lo[found, pick], hi[found, pick]
+            place[of] = ascending(found, sizes, drawn[of])
+        cut = low + at_cut * (high - low)
         cut = np.where(cut >= high, low, cut)  # keep both children non-empty after rounding
         feature[ids[splits]] = chosen[splits]
         threshold[ids[splits]] = cut[splits]
         if not splits.any():
             break
 
-        group = np.repeat(pick, counts)
-        right = data[np.arange(len(data)), chosen[group]] > cut[group]
-        child = first + 2 * (node - first) + 1 + right
-        moving = np.flatnonzero(splits[group])
-        order = moving[np.argsort(child[moving], kind="stable")]
-        data, node, first = data[order], child[order], first[order]
+        # the rows of the left child come first already
+        rights = np.add.reduceat(values.take(place) > np.repeat(cut, counts), starts, dtype=np.int64)[splits]
+        lefts = counts[splits] - rights
+        left = 2 * ids[splits] - first[splits] + 1
+        ids = np.column_stack([left, left + 1]).ravel()
+        children = np.column_stack([lefts, rights]).ravel()
+        drawn = order.take(place[np.repeat(splits, counts)])[np.repeat(children > 1, children)]
+        first = np.repeat(first[splits], 2)
+        here = children > 0  # infinite readings may leave a side empty
+        ids, counts, first = ids[here], children[here], first[here]
     shape = (trees, nodes)
     return Forest(feature.reshape(shape), threshold.reshape(shape), size.reshape(shape), psi)
 
@@ -83,19 +132,28 @@ def fit_forest(x: np.ndarray, trees: int, subsample: int, seed: int) -> Forest:
 def score_forest(forest: Forest, x: np.ndarray) -> np.ndarray:
     """Anomaly score 2^(-mean path / expected path) in (0, 1]; larger is more anomalous."""
     trees, nodes = forest.feature.shape
-    first = (np.arange(trees) * nodes).astype(np.int32)
-    feature, threshold = forest.feature.ravel(), forest.threshold.ravel()
-    values = x.astype(np.float32).ravel()
-    row = (np.arange(len(x)) * x.shape[1]).astype(np.int32)[:, None]
-    at = np.tile(first, (len(x), 1))  # node of each row in each tree, counted through all trees
-    while True:
-        split = feature.take(at)
-        inner = split >= 0
-        if not inner.any():
-            break
-        right = values.take(row + np.maximum(split, 0)) > threshold.take(at)
-        at = np.where(inner, 2 * at - first + 1 + right, at)
-    depth = np.floor(np.log2(np.arange(nodes) + 1))
-    path = (np.tile(depth, trees) + expected_path(forest.size.ravel())).take(at)
     scale = float(expected_path(forest.subsample))
-    return np.exp2(-path.mean(axis=1) / scale) if scale > 0 else np.full(len(x), 0.5)
+    if scale <= 0:
+        return np.full(len(x), 0.5)
+    # a leaf leads to itself, so all rows take the same number of steps
+    feature, itself = forest.feature.ravel(), np.arange(trees * nodes)
+    leaf, first = feature < 0, np.arange(trees) * nodes
+    left = np.where(leaf, itself, 2 * itself - np.repeat(first, nodes) + 1)
+    column = np.where(leaf, 0, feature.astype(np.int64) * len(x))
+    threshold = np.where(leaf, np.inf, forest.threshold.ravel())
+    values = x.T.astype(np.float32).astype(np.float64).ravel()
+    row = np.arange(len(x))
+    at = np.repeat(first[:, None], len(x), axis=1)  # node of each row in each tree, counted through all trees
+    after, cell, value, cut = np.empty_like(at), np.empty_like(at), np.empty(at.shape), np.empty(at.shape)
+    depth = np.floor(np.log2(np.arange(nodes) + 1))
+    for _ in range(int(depth[-1])):
+        column.take(at, out=cell, mode="clip")  # no position is out of range; so take needs no copy
+        cell += row
+        values.take(cell, out=value, mode="clip")
+        threshold.take(at, out=cut, mode="clip")
+        left.take(at, out=after, mode="clip")
+        after += value > cut
+        at, after = after, at
+    rest = expected_path(np.arange(int(forest.size.max()) + 1)).take(forest.size)
+    path = np.ascontiguousarray((depth + rest).take(at).T)
+    return np.exp2(-path.mean(axis=1) / scale)

@@ -139,57 +139,62 @@ _MODEL_ARROW = pa.schema(
 )
 
 
-def score_events(
-    featured: DataFrame, config: DetectorConfig = DETECTOR, layout: LayoutConfig = LAYOUT
-) -> DataFrame:
-    """Add raw_score and model_version to every event; null for warm-up events.
+def scoring_blocks(featured: DataFrame, config: DetectorConfig = DETECTOR, layout: LayoutConfig = LAYOUT) -> DataFrame:
+    """Blocks of successive versions: the events they score, and those before that train them.
 
-    Each version's training rows and the rows it scores meet in one group of at most
-    `train_window + retrain_interval` rows, so the forest is fitted and used in the same task
-    and is never written or shuffled. An event travels once as itself and once per version it
-    trains; training copies carry features only.
+    An event is in its own block as itself. Only the last `train_window` events before a block are also in it, as
+    copies that carry features only; with the default of eight versions a block these are a quarter of all events.
     """
     payload = [c for c in featured.columns if c not in ("host_id", "n", *FEATURES)]
-    scored_schema = T.StructType(
-        [f for f in featured.schema.fields]
-        + [T.StructField("model_version", T.IntegerType()), T.StructField("raw_score", T.DoubleType())]
-    )
-
     # version 0 collects the warm-up events, which no model scores
-    copies = featured.selectExpr(
-        "*",
+    span = max(1, layout.scoring_rows // config.retrain_interval)
+    return featured.selectExpr(
+        "*", f"{version_of(config)} AS model_version", f"CAST(coalesce({version_of(config)}, 0) div {span} AS INT) AS _own"
+    ).selectExpr(
+        "* EXCEPT (_own)",
         f"""inline(concat(
-            array(named_struct('model_version', coalesce({version_of(config)}, 0), '_trains', false)),
-            transform({trained_versions(config)},
-                v -> named_struct('model_version', v, '_trains', true)))) """,
+            array(named_struct('_block', _own, '_trains', false)),
+            transform(array_except(transform({trained_versions(config)}, v -> CAST(v div {span} AS INT)), array(_own)),
+                b -> named_struct('_block', b, '_trains', true)))) """,
     ).selectExpr(
         "host_id",
         "n",
         *FEATURES,
         *[f"CASE WHEN NOT _trains THEN {c} END AS {c}" for c in payload],
         "model_version",
+        "_block",
         "_trains",
     )
 
-    def score(key: tuple, table: pa.Table) -> pa.Table:
-        version = key[1].as_py()
-        trains = table["_trains"]
-        rows = table.filter(pa.compute.invert(trains)).drop_columns(["_trains"])
-        if version == 0:
-            scores = pa.nulls(rows.num_rows, pa.float64())
-            versions = pa.nulls(rows.num_rows, pa.int32())
-        else:
-            if rows.num_rows:
-                train = table.filter(trains).sort_by("n")
-                scores = pa.array(score_forest(_fit(_matrix(train), config), _matrix(rows)))
-            else:
-                scores = pa.array([], pa.float64())
-            versions = rows["model_version"]
-        rows = rows.drop_columns(["model_version"])
-        rows = rows.append_column("model_version", versions).append_column("raw_score", scores)
-        return rows.select(scored_schema.names)
-
-    return spread(copies, layout, *GROUP).groupBy(*GROUP).applyInArrow(score, scored_schema)
+
+def score_events(
+    featured: DataFrame, config: DetectorConfig = DETECTOR, layout: LayoutConfig = LAYOUT
+) -> DataFrame:
+    """Add raw_score and model_version to every event; null for warm-up events.
+
+    Each block of `scoring_blocks` is one group, so a forest is fitted and used in the same task and is never written or
+    shuffled.
+    """
+    scored_schema = T.StructType(
+        [f for f in featured.schema.fields]
+        + [T.StructField("model_version", T.IntegerType()), T.StructField("raw_score", T.DoubleType())]
+    )
+
+    def score(table: pa.Table) -> pa.Table:
+        table = table.sort_by("n")
+        own = ~table["_trains"].to_numpy()
+        n, x = table["n"].to_numpy(), _matrix(table)
+        versions = np.where(own, table["model_version"].fill_null(0).to_numpy(), 0)
+        scores = np.full(len(n), np.nan)
+        for version in np.unique(versions[versions > 0]):
+            fitted_at = config.warmup_events + (int(version) - 1) * config.retrain_interval
+            first, last = np.searchsorted(n, [fitted_at - config.train_window, fitted_at], side="right")
+            due = np.flatnonzero(versions == version)
+            scores[due] = score_forest(_fit(x[first:last], config), x[due])
+        table = table.append_column("raw_score", pa.array(scores, mask=versions == 0))
+        return table.filter(pa.array(own)).select(scored_schema.names)
+
+    return spread(scoring_blocks(featured, config, layout), layout, "host_id", "_block").groupBy("host_id", "_block").applyInArrow(score, scored_schema)
 
 
 def score_with_models(

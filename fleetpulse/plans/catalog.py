@@ -14,6 +14,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from fleetpulse.config import METRICS, InvestigationConfig
 from fleetpulse.operators import alerts as alert_ops
@@ -652,6 +653,11 @@ def check_latest_diagnoses(spark: SparkSession, sf: str) -> DataFrame:
 FILES_PER_SLICE = 4
 
 
+def _slice_files(spark: SparkSession) -> int:
+    """Files of a slice of telemetry messages: a batch of the stream, written and read on all cores."""
+    return max(FILES_PER_SLICE, spark.sparkContext.defaultParallelism)
+
+
 def _message_files(spark: SparkSession, telemetry: DataFrame, slices: int = 3, late: bool = False) -> str:
     """Telemetry messages as files that arrive slice by slice in time order; with `late`, the first slice last."""
     path = scratch_path(spark, "messages")
@@ -661,14 +667,14 @@ def _message_files(spark: SparkSession, telemetry: DataFrame, slices: int = 3, l
         part = telemetry.filter(
             (F.unix_seconds("ts") >= bounds.lo + i * width) & (F.unix_seconds("ts") < bounds.lo + (i + 1) * width)
         )
-        messages.encode_telemetry(part).repartition(FILES_PER_SLICE).write.mode("append").parquet(path)
+        messages.encode_telemetry(part).repartition(_slice_files(spark)).write.mode("append").parquet(path)
     return path
 
 
 def _message_stream(spark: SparkSession, sf: str, telemetry: DataFrame | None = None, late: bool = False) -> DataFrame:
     source = _telemetry(spark, sf) if telemetry is None else telemetry
     return messages.file_stream(
-        spark, _message_files(spark, source, late=late), max_files_per_trigger=FILES_PER_SLICE
+        spark, _message_files(spark, source, late=late), max_files_per_trigger=_slice_files(spark)
     )
 
 
@@ -687,12 +693,15 @@ def telemetry_stream(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(spark.read.schema(decoded.schema).parquet(out).select(*columns))
 
 
-def _detected_stream(spark: SparkSession, sf: str, score_col: str | None) -> str:
+def _start_detection(spark: SparkSession, sf: str, score_col: str | None) -> tuple[StreamingQuery, str]:
     out = scratch_path(spark, "stream_detect")
     stream = _message_stream(spark, sf)
-    stream_detection.run_detection(
-        stream, out, scratch_path(spark, "checkpoint"), score_col
-    ).awaitTermination()
+    return stream_detection.run_detection(stream, out, scratch_path(spark, "checkpoint"), score_col), out
+
+
+def _detected_stream(spark: SparkSession, sf: str, score_col: str | None) -> str:
+    query, out = _start_detection(spark, sf, score_col)
+    query.awaitTermination()
     return out
 
 
@@ -716,10 +725,17 @@ def stream_alerts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_batch_parity(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows where streaming and batch detection with forest scores disagree, per host."""
-    out = _detected_stream(spark, sf, None)
+    """Rows where streaming and batch detection with forest scores disagree, per host.
+
+    The stream keeps a task a host busy at most, so the batch runs beside it on the cores that are left.
+    """
+    query, out = _start_detection(spark, sf, None)
+    try:
+        batch, alerts = detection.detect(_telemetry(spark, sf))
+        query.awaitTermination()
+    finally:
+        query.stop()
     streamed = stream_detection.stored(spark, f"{out}/metrics")
-    batch, alerts = detection.detect(_telemetry(spark, sf))
     sent = alerts.select("event_id").distinct().withColumn("published", F.lit(True))
     batch = batch.join(sent, "event_id", "left").withColumns(
         {"published": F.coalesce("published", F.lit(False)), "event_id": F.col("event_id").cast("string")}

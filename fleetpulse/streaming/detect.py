@@ -74,10 +74,11 @@ class HostProcessor(StatefulProcessor):
         given = rows[self.score_col].to_numpy(dtype=float) if self.score_col else None
         found = advance(carried, rows[list(METRICS)].to_numpy(dtype=float), times, self.config, given)
         candidate = found["is_anomaly"] | ~np.isnan(found["predicted_breach_minutes"])
-        recent = [
-            [dict(zip(METRICS, map(float, s))) for s in window.T if not np.isnan(s).any()] if wanted else None
-            for window, wanted in zip(found["recent"], candidate)
-        ]
+        windows = found["recent"][candidate].transpose(0, 2, 1)
+        whole = ~np.isnan(windows).any(axis=2)
+        recent = np.full(len(rows), None, dtype=object)
+        for at, window, here in zip(np.flatnonzero(candidate), windows.tolist(), whole.tolist()):
+            recent[at] = [dict(zip(METRICS, s)) for s, is_whole in zip(window, here) if is_whole]
         return rows[_INPUT].assign(
             n=found["n"],
             features=list(found["features"]),

@@ -205,6 +205,22 @@ def test_stored_models_score_like_a_whole_pass(spark):
     assert got.columns[:-2] == featured.columns
 
 
+def test_blocks_of_versions_score_alike_and_copy_few_events(spark):
+    config = DetectorConfig(n_trees=8, warmup_events=60, retrain_interval=50, train_window=120)
+    rows = [tuple(r.values()) for host, total, seed in (("a", 1290, 1), ("b", 60, 2), ("c", 61, 3)) for r in host_events(host, total, seed, 10_000 * seed)]
+    featured = features.add_features(spark.createDataFrame(rows, SCHEMA), config, TINY).cache()
+    scores = []
+    for size in (1, 100, 150, 10_000):  # one version a block, some, all
+        layout = LayoutConfig(scoring_rows=size)
+        scored = model.score_events(featured, config, layout)
+        assert scored.columns == [*featured.columns, "model_version", "raw_score"]
+        scores.append({r.event_id: (r.host_id, r.n, r.cpu_pct, r.model_version, r.raw_score) for r in scored.collect()})
+    assert len(scores[0]) == len(rows) and all(s == scores[0] for s in scores[1:])
+    default = model.scoring_blocks(featured.filter("host_id = 'a'"), config, LayoutConfig(scoring_rows=400))
+    assert default.count() < 1290 * 1.4
+    assert default.filter("_trains AND event_id IS NOT NULL").count() == 0
+
+
 def test_detection_quality_counts_episodes(spark):
     labels = [None, None, "spike", "spike", None, "ramp", "ramp", "ramp", "spike", None, "ramp", "spike"]
     flags = [True, False, False, True, False, False, False, False, True, False, False, False]

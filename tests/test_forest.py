@@ -66,3 +66,67 @@ def test_seed_fixes_the_forest():
     first, second = fit_forest(x, 10, 256, 42), fit_forest(x, 10, 256, 42)
     np.testing.assert_array_equal(first.threshold, second.threshold)
     assert first.subsample == 200 and first.feature.shape == (10, 511)
+
+
+def grow(x: np.ndarray, psi: int, depth: int, rng: np.random.Generator, trees: int) -> list[dict]:
+    """Trees node by node, with the random numbers of a level drawn for all its nodes together."""
+    x = x.astype(np.float32)
+    drawn = np.argpartition(rng.random((trees, len(x))), psi - 1, axis=1)[:, :psi]
+    level, found = [(t, 0, x[d]) for t, d in enumerate(drawn)], [{} for _ in range(trees)]
+    for left in range(depth, -1, -1):
+        for t, node, rows in level:
+            found[t][node] = (-1, 0.0, len(rows))
+        if not left:
+            break
+        draws, at, after = rng.random((len(level), x.shape[1])), rng.random(len(level)), []
+        for (t, node, rows), draw, u in zip(level, draws, at):
+            low, high = rows.min(axis=0).astype(float), rows.max(axis=0).astype(float)
+            draw = np.where(high > low + 1e-7, draw, -1.0)
+            f = int(draw.argmax())
+            if draw[f] < 0:
+                continue
+            cut = low[f] + u * (high[f] - low[f])
+            cut = low[f] if cut >= high[f] else cut
+            found[t][node] = (f, cut, len(rows))
+            parts = rows[~(rows[:, f] > cut)], rows[rows[:, f] > cut]
+            after += [(t, 2 * node + 1 + i, part) for i, part in enumerate(parts) if len(part)]
+        level = after
+        if not level:
+            break
+    return found
+
+
+def test_forest_equals_trees_grown_node_by_node():
+    rng = np.random.default_rng(3)
+    for kind in ("plain", "few values", "nan", "infinite", "repeated", "one row"):
+        x = rng.normal(size=(150, 5)) * 10
+        if kind == "few values":
+            x = np.round(x / 10)
+        if kind == "nan":
+            x[rng.random(x.shape) < 0.05] = np.nan
+        if kind == "infinite":
+            x[rng.random(x.shape) < 0.05], x[rng.random(x.shape) < 0.05] = np.inf, -np.inf
+        if kind == "repeated":
+            x = np.repeat(x[:8], 15, axis=0)
+        if kind == "one row":
+            x = x[:1]
+        psi = min(64, len(x))
+        with np.errstate(invalid="ignore"):
+            forest = fit_forest(x, 7, 64, 11)
+            want = grow(x, psi, int(np.ceil(np.log2(max(psi, 2)))), np.random.default_rng(11), 7)
+        for t, tree in enumerate(want):
+            used = np.flatnonzero(forest.size[t])
+            assert sorted(tree) == used.tolist(), kind
+            got = {i: (forest.feature[t, i], forest.threshold[t, i], forest.size[t, i]) for i in used}
+            for i in used:
+                np.testing.assert_array_equal(got[i], tree[i], err_msg=kind)
+
+
+def test_a_forest_draws_its_random_numbers_once_for_all_fits_of_a_shape(monkeypatch):
+    x, drawn = np.random.default_rng(4).normal(size=(2, 90, 3)), []
+    make = np.random.default_rng
+    monkeypatch.setattr(np.random, "default_rng", lambda seed: drawn.append(seed) or make(seed))
+    first = fit_forest(x[0], 5, 32, 77)
+    fit_forest(x[1], 5, 32, 77)
+    again = fit_forest(x[0], 5, 32, 77)
+    assert drawn == [77] and all(np.array_equal(a, b) for a, b in zip(first[:3], again[:3]))

@@ -12,6 +12,7 @@ from test_detection import SCHEMA, host_events
 
 from fleetpulse.config import DetectorConfig
 from fleetpulse.operators import alerts
+from fleetpulse.plans import catalog
 from fleetpulse.plans.detect import score_with_column, score_with_forest
 from fleetpulse.sources import messages
 from fleetpulse.streaming import dashboard as stream_dash
@@ -212,3 +213,11 @@ def test_stream_sink_needs_a_target(spark, fleet, tmp_path):
     messages.encode_telemetry(fleet).write.parquet(str(tmp_path / "in"))
     with pytest.raises(ValueError, match="sink"):
         messages.stream_sink(messages.file_stream(spark, str(tmp_path / "in")), str(tmp_path / "cp"))
+
+
+def test_parity_runs_the_batch_beside_the_stream(spark, monkeypatch):
+    seen, detect = [], catalog.detection.detect
+    monkeypatch.setattr(catalog.detection, "detect", lambda *a: seen.append(len(spark.streams.active)) or detect(*a))
+    rows = catalog.stream_batch_parity(spark, "/root/testdata/sf0.001").collect()
+    assert seen == [1] and len(rows) == 6 and sum(r.differences for r in rows) == 0
+    assert not spark.streams.active
