@@ -144,7 +144,7 @@ def candidate_groups(classes: DataFrame) -> DataFrame:
     """node, label: classes that share a band key with another one, by group."""
     keys = classes.select("node", F.explode("bands").alias("key"))
     heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last").select("key", "head")
-    stars = keys.join(heads, "key").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    stars = keys.join(heads, "key").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     return components(stars)
 
 
