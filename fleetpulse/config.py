@@ -66,6 +66,8 @@ class LayoutConfig:
     chunk_rows: int = 2048
     # successive versions of a host that score so many events together, one at least, are fitted in one group
     scoring_rows: int = 4000
+    # a row group of a stored model table holds forests of about so many nodes in all, one at least
+    model_block_nodes: int = 1 << 19
     # least number of tasks per core where the work is heavy for its bytes
     tasks_per_core: int = 4
     # cooldowns are walked over spans of this many candidates (cut between cells)

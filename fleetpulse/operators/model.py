@@ -125,6 +125,12 @@ def fit_models(
     return spread(rows, layout, *GROUP).groupBy(*GROUP).applyInArrow(fit, MODEL_SCHEMA)
 
 
+def block_rows(config: DetectorConfig = DETECTOR, layout: LayoutConfig = LAYOUT) -> int:
+    """How many forests a row group of a stored model table holds, as a reader decodes a whole one at once."""
+    depth = int(np.ceil(np.log2(max(config.subsample, 2))))
+    return max(1, layout.model_block_nodes // (config.n_trees * (2 ** (depth + 1) - 1)))
+
+
 _MODEL_ARROW = pa.schema(
     [
         ("host_id", pa.string()),
@@ -209,7 +215,8 @@ def score_with_models(
     versioned = featured.selectExpr("*", f"{version_of(config)} AS model_version")
     schema = T.StructType([*versioned.schema.fields, T.StructField("raw_score", T.DoubleType())])
     due = versioned.filter("model_version IS NOT NULL")
-    wanted = due.select(*GROUP).distinct()
+    # dealt out like the groups below: a join that is not broadcast then sends and sorts the models as the cogroup needs them
+    wanted = spread(due.select(*GROUP).distinct(), layout, *GROUP)
     own = models.join(wanted, list(GROUP), "left_semi").select([f.name for f in MODEL_SCHEMA])
 
     def score(key: tuple, events: pa.Table, model: pa.Table) -> pa.Table:

@@ -374,7 +374,7 @@ def iforest_scores(spark: SparkSession, sf: str) -> DataFrame:
 def iforest_stored_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Scores from the stored model table against those of one pass over the history: per host and version."""
     featured = materialize(features.add_features(_telemetry(spark, sf)), "featured")
-    models = materialize(model.fit_models(featured), "models")
+    models = materialize(model.fit_models(featured), "models", block_rows=model.block_rows())
     stored = model.score_with_models(featured, models).select("host_id", "n", "model_version", "raw_score")
     fitted = model.score_events(featured).select("host_id", "n", F.col("model_version").alias("v"), F.col("raw_score").alias("s"))
     both = stored.join(fitted, ["host_id", "n"], "full")

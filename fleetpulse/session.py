@@ -46,9 +46,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/fleetpulse/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, compression: str = "zstd", dictionary: bool = True) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "zstd", dictionary: bool = True, block_rows: int | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back; without a dictionary where few values repeat.
 
+    Readers decode up to 4,096 rows of a row group at once, so wide rows need `block_rows`, the most that a row group holds.
+
     Used where several later steps read the same result. It cuts the lineage, so a lost
     executor costs a re-read and not a re-computation, and the columnar copy keeps column
     pruning and filter pushdown for its readers.
@@ -56,6 +58,8 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd", dictionary:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     writer = df.write.option("compression", compression)
+    if block_rows is not None:
+        writer = writer.option("parquet.block.row.count.limit", str(block_rows))
     (writer if dictionary else writer.option("parquet.enable.dictionary", "false")).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
