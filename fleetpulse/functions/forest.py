@@ -41,6 +41,11 @@ def _random(seed: int, trees: int, rows: int, psi: int, later: int) -> tuple[np.
     return drawn, numbers[trees * rows :]
 
 
+def node_count(subsample: int) -> int:
+    """Places of a tree that such a subsample grows, all levels filled."""
+    return 2 ** (int(np.ceil(np.log2(max(subsample, 2)))) + 1) - 1
+
+
 def _runs(sizes: np.ndarray) -> np.ndarray:
     return np.cumsum(sizes) - sizes
 
@@ -50,8 +55,8 @@ def fit_forest(x: np.ndarray, trees: int, subsample: int, seed: int) -> Forest:
     x = x.astype(np.float32)
     rows, width = x.shape
     psi = min(subsample, rows)
-    depth = int(np.ceil(np.log2(max(psi, 2))))
-    nodes = 2 ** (depth + 1) - 1
+    nodes = node_count(psi)
+    depth = nodes.bit_length() - 1
     drawn, numbers = _random(seed, trees, rows, psi, trees * (2**depth - 1) * (width + 1))
 
     feature = np.full(trees * nodes, -1, dtype=np.int16)
@@ -157,3 +162,46 @@ def score_forest(forest: Forest, x: np.ndarray) -> np.ndarray:
     rest = expected_path(np.arange(int(forest.size.max()) + 1)).take(forest.size)
     path = np.ascontiguousarray((depth + rest).take(at).T)
     return np.exp2(-path.mean(axis=1) / scale)
+
+
+def _leaves(splits: np.ndarray) -> np.ndarray:
+    """Where trees end: the roots and children of splits that are no splits themselves."""
+    held = np.ones_like(splits)
+    held[:, 1:] = np.repeat(splits[:, : splits.shape[1] // 2], 2, axis=1)
+    return held & ~splits
+
+
+def _narrow(whole: np.ndarray) -> bytes:
+    return whole.astype(np.min_scalar_type(whole.max(initial=0))).tobytes()
+
+
+def _widened(packed: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(packed, f"u{max(1, len(packed) // max(1, count))}")
+
+
+def pack_forest(forest: Forest) -> dict[str, bytes]:
+    """The forest without its unused places: a bit a place for splits, then their features and cuts, and the leaves' sizes."""
+    splits = forest.feature >= 0
+    return {
+        "splits": np.packbits(splits).tobytes(),
+        "feature": _narrow(forest.feature[splits]),
+        "threshold": forest.threshold[splits].tobytes(),
+        "size": _narrow(forest.size[_leaves(splits)]),
+    }
+
+
+def unpack_forest(packed: dict[str, bytes], trees: int, subsample: int) -> Forest:
+    """What `pack_forest` was given, bit for bit; a split holds the rows of its two children."""
+    nodes = node_count(subsample)
+    shape = (trees, nodes)
+    splits = np.unpackbits(np.frombuffer(packed["splits"], np.uint8), count=trees * nodes).astype(bool).reshape(shape)
+    leaves = _leaves(splits)
+    feature, threshold, size = np.full(shape, -1, np.int16), np.zeros(shape), np.zeros(shape, np.int32)
+    feature[splits] = _widened(packed["feature"], np.count_nonzero(splits))
+    threshold[splits] = np.frombuffer(packed["threshold"])
+    size[leaves] = _widened(packed["size"], np.count_nonzero(leaves))
+    for level in reversed(range(nodes.bit_length() - 1)):
+        first, below = 2**level - 1, 2 ** (level + 1) - 1
+        children = size[:, below : 2 * below + 1].reshape(trees, -1, 2).sum(axis=2)
+        size[:, first:below] += children * splits[:, first:below]
+    return Forest(feature, threshold, size, subsample)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetpulse.config import DETECTOR, FEATURES, LAYOUT, DetectorConfig, LayoutConfig
-from fleetpulse.functions.forest import Forest, fit_forest, score_forest
+from fleetpulse.functions.forest import Forest, fit_forest, node_count, pack_forest, score_forest, unpack_forest
 from fleetpulse.operators.series import spread
 
 GROUP = ("host_id", "model_version")
@@ -35,6 +35,11 @@ MODEL_SCHEMA = T.StructType(
     ]
 )
 
+# the same forests without the unused places of their trees, see `pack_forest`: a ninth of the bytes, and no list to take apart
+PACKED_SCHEMA = T.StructType(
+    [*MODEL_SCHEMA.fields[:5], *[T.StructField(c, T.BinaryType()) for c in ("splits", "feature", "threshold", "size")]]
+)
+
 
 def version_of(config: DetectorConfig = DETECTOR) -> str:
     """Version that scores event n; null during warm-up."""
@@ -93,42 +98,40 @@ def _fit(x: np.ndarray, config: DetectorConfig) -> Forest:
 
 
 def fit_models(
-    featured: DataFrame, config: DetectorConfig = DETECTOR, layout: LayoutConfig = LAYOUT
+    featured: DataFrame, config: DetectorConfig = DETECTOR, layout: LayoutConfig = LAYOUT, packed: bool = False
 ) -> DataFrame:
-    """One forest per (host, version) as flat arrays.
+    """One forest per (host, version) as flat arrays; packed, in the form that a model table is stored and sent in.
 
     Groups hold at most `train_window` rows. Scoring a whole history does not go through this table,
     since a forest is far larger than the events it scores, see `score_events`; scoring new events of
     known versions does, see `score_with_models`.
     """
+    schema, arrow = (PACKED_SCHEMA, _PACKED_ARROW) if packed else (MODEL_SCHEMA, _MODEL_ARROW)
 
     def fit(key: tuple, table: pa.Table) -> pa.Table:
         host, version = key[0].as_py(), key[1].as_py()
         table = table.sort_by("n")
         fitting_event = config.warmup_events + (version - 1) * config.retrain_interval
         if table["n"][-1].as_py() != fitting_event:
-            return pa.table({f.name: [] for f in MODEL_SCHEMA}, schema=_MODEL_ARROW)
+            return arrow.empty_table()
         forest = _fit(_matrix(table), config)
-        row = {
-            "host_id": [host],
-            "model_version": [version],
-            "n_train": [table.num_rows],
-            "subsample": [forest.subsample],
-            "n_trees": [config.n_trees],
-            "feature": [forest.feature.ravel()],
-            "threshold": [forest.threshold.ravel()],
-            "size": [forest.size.ravel()],
+        about = {
+            "host_id": host,
+            "model_version": version,
+            "n_train": table.num_rows,
+            "subsample": forest.subsample,
+            "n_trees": config.n_trees,
         }
-        return pa.table(row, schema=_MODEL_ARROW)
+        nodes = pack_forest(forest) if packed else {c: getattr(forest, c).ravel() for c in ("feature", "threshold", "size")}
+        return pa.table({c: [value] for c, value in (about | nodes).items()}, schema=arrow)
 
     rows = training_rows(featured.select("host_id", "n", *FEATURES), config)
-    return spread(rows, layout, *GROUP).groupBy(*GROUP).applyInArrow(fit, MODEL_SCHEMA)
+    return spread(rows, layout, *GROUP).groupBy(*GROUP).applyInArrow(fit, schema)
 
 
 def block_rows(config: DetectorConfig = DETECTOR, layout: LayoutConfig = LAYOUT) -> int:
     """How many forests a row group of a stored model table holds, as a reader decodes a whole one at once."""
-    depth = int(np.ceil(np.log2(max(config.subsample, 2))))
-    return max(1, layout.model_block_nodes // (config.n_trees * (2 ** (depth + 1) - 1)))
+    return max(1, layout.model_block_nodes // (config.n_trees * node_count(config.subsample)))
 
 
 _MODEL_ARROW = pa.schema(
@@ -143,6 +146,7 @@ _MODEL_ARROW = pa.schema(
         ("size", pa.list_(pa.int32())),
     ]
 )
+_PACKED_ARROW = pa.schema([*list(_MODEL_ARROW)[:5], *[(c, pa.binary()) for c in ("splits", "feature", "threshold", "size")]])
 
 
 def scoring_blocks(featured: DataFrame, config: DetectorConfig = DETECTOR, layout: LayoutConfig = LAYOUT) -> DataFrame:
@@ -206,7 +210,7 @@ def score_events(
 def score_with_models(
     featured: DataFrame, models: DataFrame, config: DetectorConfig = DETECTOR, layout: LayoutConfig = LAYOUT
 ) -> DataFrame:
-    """Add raw_score and model_version from the table that `fit_models` gave, without a fit.
+    """Add raw_score and model_version from the table that `fit_models` gave, packed or not, without a fit.
 
     A version meets the events that it scores, `retrain_interval` of a host at most, in one group of a cogroup; only
     models that some event needs are read into the exchange, and warm-up events are left out of it. Events whose
@@ -217,15 +221,21 @@ def score_with_models(
     due = versioned.filter("model_version IS NOT NULL")
     # dealt out like the groups below: a join that is not broadcast then sends and sorts the models as the cogroup needs them
     wanted = spread(due.select(*GROUP).distinct(), layout, *GROUP)
-    own = models.join(wanted, list(GROUP), "left_semi").select([f.name for f in MODEL_SCHEMA])
+    packed = "splits" in models.columns
+    own = models.join(wanted, list(GROUP), "left_semi").select((PACKED_SCHEMA if packed else MODEL_SCHEMA).names)
+
+    def forest_of(row: pa.Table) -> Forest:
+        trees, subsample = row["n_trees"][0].as_py(), row["subsample"][0].as_py()
+        if packed:
+            return unpack_forest({c: row[c][0].as_py() for c in ("splits", "feature", "threshold", "size")}, trees, subsample)
+        arrays = [row[c].combine_chunks().flatten().to_numpy().reshape(trees, -1) for c in ("feature", "threshold", "size")]
+        return Forest(*arrays, subsample)
 
     def score(key: tuple, events: pa.Table, model: pa.Table) -> pa.Table:
         if not model.num_rows or not events.num_rows:
             scores = pa.nulls(events.num_rows, pa.float64())
         else:
-            trees, first = model["n_trees"][0].as_py(), model.slice(0, 1)
-            arrays = [first[c].combine_chunks().flatten().to_numpy().reshape(trees, -1) for c in ("feature", "threshold", "size")]
-            scores = pa.array(score_forest(Forest(*arrays, first["subsample"][0].as_py()), _matrix(events)))
+            scores = pa.array(score_forest(forest_of(model.slice(0, 1)), _matrix(events)))
         return events.append_column("raw_score", scores).select(schema.names)
 
     groups = [spread(side, layout, *GROUP).groupBy(*GROUP) for side in (due, own)]

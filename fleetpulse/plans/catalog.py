@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from fleetpulse.config import METRICS, InvestigationConfig
+from fleetpulse.config import FEATURES, METRICS, InvestigationConfig
 from fleetpulse.operators import alerts as alert_ops
 from fleetpulse.operators import dashboard as dash
 from fleetpulse.operators import diagnosis as diag
@@ -374,9 +374,10 @@ def iforest_scores(spark: SparkSession, sf: str) -> DataFrame:
 def iforest_stored_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Scores from the stored model table against those of one pass over the history: per host and version."""
     featured = materialize(features.add_features(_telemetry(spark, sf)), "featured")
-    models = materialize(model.fit_models(featured), "models", block_rows=model.block_rows())
-    stored = model.score_with_models(featured, models).select("host_id", "n", "model_version", "raw_score")
-    fitted = model.score_events(featured).select("host_id", "n", F.col("model_version").alias("v"), F.col("raw_score").alias("s"))
+    models = materialize(model.fit_models(featured, packed=True), "models", block_rows=model.block_rows())
+    rows = featured.select("host_id", "n", *FEATURES)
+    stored = model.score_with_models(rows, models).select("host_id", "n", "model_version", "raw_score")
+    fitted = model.score_events(rows).select("host_id", "n", F.col("model_version").alias("v"), F.col("raw_score").alias("s"))
     both = stored.join(fitted, ["host_id", "n"], "full")
     return both.groupBy("host_id", F.coalesce("model_version", F.lit(0)).cast("long").alias("model_version")).agg(
         F.count("*").alias("events"),

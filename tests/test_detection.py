@@ -220,10 +220,13 @@ def test_stored_models_lie_in_small_row_groups_and_are_sent_once(spark):
     (file,) = stored.inputFiles()
     about = pq.ParquetFile(unquote(urlparse(file).path)).metadata
     assert [about.row_group(i).num_rows for i in range(about.num_row_groups)] == [5, 5, 3]
-    scored = model.score_with_models(featured, stored, config, TINY)
-    assert {r.event_id: r.raw_score for r in scored.collect()} == {
-        r.event_id: r.raw_score for r in model.score_events(featured, config, TINY).collect()
-    }
+    packed = model.fit_models(featured, config, TINY, packed=True)
+    want = {r.event_id: (r.model_version, r.raw_score) for r in model.score_events(featured, config, TINY).collect()}
+    for table in (stored, materialize(packed, "models", block_rows=model.block_rows(config, layout))):
+        scored = model.score_with_models(featured, table, config, TINY)
+        assert {r.event_id: (r.model_version, r.raw_score) for r in scored.collect()} == want
+    about = ["host_id", "model_version", "n_train", "subsample", "n_trees"]
+    assert {tuple(r) for r in packed.select(about).collect()} == {tuple(r) for r in stored.select(about).collect()}
 
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with keys too many to broadcast
     try:

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from fleetpulse.functions.forest import expected_path, fit_forest, score_forest
+from fleetpulse.functions.forest import expected_path, fit_forest, pack_forest, score_forest, unpack_forest
 
 
 def walk(forest, tree: int, x: np.ndarray) -> float:
@@ -130,3 +130,22 @@ def test_a_forest_draws_its_random_numbers_once_for_all_fits_of_a_shape(monkeypa
     fit_forest(x[1], 5, 32, 77)
     again = fit_forest(x[0], 5, 32, 77)
     assert drawn == [77] and all(np.array_equal(a, b) for a, b in zip(first[:3], again[:3]))
+
+
+def test_packed_forests_come_back_bit_for_bit():
+    rng = np.random.default_rng(8)
+    usual = rng.gamma(2.0, 10.0, (900, 12))
+    odd = rng.integers(0, 3, (400, 5)).astype(float)
+    odd[rng.random(odd.shape) < 0.1], odd[rng.random(odd.shape) < 0.1] = np.nan, np.inf
+    odd[rng.random(odd.shape) < 0.1] = -np.inf
+    for x, trees, subsample in (
+        (usual, 100, 256), (usual, 3, 700), (usual[:3], 4, 256), (usual[:1], 2, 256), (np.ones((700, 2)), 3, 600), (odd, 40, 300)
+    ):
+        forest = fit_forest(x, trees, subsample, 42)
+        packed = pack_forest(forest)
+        back = unpack_forest(packed, trees, forest.subsample)
+        for was, now in zip(forest[:3], back[:3], strict=True):
+            assert was.dtype == now.dtype and np.array_equal(was, now, equal_nan=was.dtype == np.float64)
+        assert np.array_equal(score_forest(forest, x), score_forest(back, x), equal_nan=True)
+    forest = fit_forest(usual, 100, 256, 42)
+    assert sum(map(len, pack_forest(forest).values())) * 6 < sum(a.nbytes for a in forest[:3])
