@@ -213,7 +213,7 @@ def score_with_models(
     """Add raw_score and model_version from the table that `fit_models` gave, packed or not, without a fit.
 
     A version meets the events that it scores, `retrain_interval` of a host at most, in one group of a cogroup; only
-    models that some event needs are read into the exchange, and warm-up events are left out of it. Events whose
+    models that some event needs reach it, and warm-up events are left out of it. Events whose
     model is not in the table get their version and no score. Pass new events only, with their features and numbers.
     """
     versioned = featured.selectExpr("*", f"{version_of(config)} AS model_version")

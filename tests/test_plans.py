@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from fleetpulse.operators import alerts, dashboard, evidence
+from fleetpulse.operators import alerts, dashboard, evidence, model
 from fleetpulse.plans import catalog
 from fleetpulse.plans.investigate import investigate
 from fleetpulse.session import materialize
@@ -88,3 +88,23 @@ def test_stored_lookback_scores_the_telemetry_once(spark, monkeypatch):
     monkeypatch.setattr(catalog.detection, "score_with_column", lambda *a, **k: calls.append(a) or score(*a, **k))
     assert catalog.stored_lookback(spark, SF).count() > 0
     assert len(calls) == 1
+
+
+def test_stored_scores_keep_forests_in_small_row_groups(spark, monkeypatch, tmp_path):
+    kept = {}
+
+    def recorded(df, name, **options):
+        kept[name] = (materialize(df, name, **options), options)
+        return kept[name][0]
+
+    monkeypatch.setattr(catalog, "materialize", recorded)
+    events = spark.range(6 * 125).selectExpr(
+        "id AS event_id", "timestamp_seconds(1704067200 + id) AS ts", "id % 77 AS user_id", "'view' AS event_type",
+        "double(id * 37 % 101) AS value", """concat('{"k": ', id % 53, '}') AS props""",
+    )
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    got = catalog.iforest_stored_scores(spark, str(tmp_path)).collect()
+    assert sorted((r.model_version, r.events, r.scored, r.differences) for r in got) == [(0, 120, 0, 0)] * 6 + [(1, 5, 5, 0)] * 6
+    models, options = kept["models"]
+    assert models.count() == 6 and options["block_rows"] == model.block_rows()
+    assert not [t for _, t in models.dtypes if t.startswith("array")]  # a list of all nodes is taken apart by element
