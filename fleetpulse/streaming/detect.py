@@ -142,7 +142,11 @@ def deduplicated(telemetry: DataFrame, within: str | None = None) -> DataFrame:
 
 
 class LateRows(StreamingQueryListener):
-    """Stores how many rows each batch of a query left out for being late: batch_id, reject_reason, rows."""
+    """Stores how many rows each batch of a query left out for being late: batch_id, reject_reason, rows.
+
+    Nobody can wait for the listener, so a batch's folder is moved into place with its file in it, as one that is
+    seen empty can't be read.
+    """
 
     def __init__(self, spark: SparkSession, query_name: str, out: str) -> None:
         self.spark, self.query_name, self.out, self.run = spark, query_name, out, None
@@ -155,8 +159,8 @@ class LateRows(StreamingQueryListener):
         progress = event.progress
         rows = sum(op.numRowsDroppedByWatermark for op in progress.stateOperators)
         if progress.name == self.query_name and rows:
-            late = self.spark.createDataFrame([(progress.batchId, "late", rows)], LATE_ROWS)
-            append_batch(late, self.out, progress.batchId)
+            late = self.spark.createDataFrame([(progress.batchId, "late", rows)], LATE_ROWS).selectExpr("*", "batch_id AS batch")
+            late.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(self.out)
 
     def onQueryIdle(self, event: QueryIdleEvent) -> None:  # noqa: N802
         pass

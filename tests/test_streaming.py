@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import threading
 import time
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -169,6 +171,29 @@ def test_bounded_dedup_forgets_and_counts_late_rows(spark, fleet, tmp_path):
     assert states[-1]["numRowsTotal"] < fleet.count() / 3  # ids older than the span are gone
 
 
+def test_folders_of_late_rows_are_never_seen_empty(spark, tmp_path):
+    out, empty, over = tmp_path / "late", [], threading.Event()
+
+    def watch():
+        while not over.is_set():
+            empty.extend(p.name for p in out.glob("batch=*") if not [*p.glob("*.parquet")])
+
+    def count(batch: int, rows: int) -> None:
+        progress = SimpleNamespace(name="q", batchId=batch, stateOperators=[SimpleNamespace(numRowsDroppedByWatermark=rows)])
+        listener.onQueryProgress(SimpleNamespace(progress=progress))
+
+    listener = stream.LateRows(spark, "q", str(out))
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    count(3, 7)
+    count(5, 2)
+    over.set()
+    watcher.join()
+    assert not empty
+    count(5, 4)  # a batch that is run again replaces its count
+    assert sorted(tuple(r) for r in stream.stored(spark, str(out)).collect()) == [(3, "late", 7), (5, "late", 4)]
+
+
 def test_windows_are_upserted_over_restarts(spark, fleet, tmp_path):
     source, out, checkpoint = (str(tmp_path / d) for d in ("in", "out", "cp"))
     for low, high in ((0, 303), (303, 307), (307, 10**9)):  # cuts inside windows
